@@ -96,7 +96,7 @@ def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def parse_labels(lines: DataFrame) -> DataFrame:
-    """(utt, labels) of (line, value) rows: start/end/phone triples, a later key wins."""
+    """(utt, labels) of (file, line, value) rows: start/end/phone triples, a later key wins."""
     words = F.split(strip(F.col("value")), f"{WS}+")
     triples = F.transform(
         F.when(F.size("w") >= 4, F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 3).cast("int") - 1)).otherwise(
@@ -106,8 +106,8 @@ def parse_labels(lines: DataFrame) -> DataFrame:
             F.get("w", i * 3 + 1).alias("start"), F.get("w", i * 3 + 2).alias("end"), F.get("w", i * 3 + 3).alias("phone")
         ),
     )
-    parsed = lines.select("line", words.alias("w")).select("line", F.get("w", F.lit(0)).alias("utt"), triples.alias("labels"))
-    return keep_last(parsed, ["utt"], F.col("line")).select("utt", "labels")
+    parsed = lines.select(F.struct("file", "line").alias("at"), words.alias("w")).select("at", F.get("w", F.lit(0)).alias("utt"), triples.alias("labels"))
+    return keep_last(parsed, ["utt"], F.col("at")).select("utt", "labels")
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -115,13 +115,16 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_clip_tsv(spark: SparkSession, folder: str, name: str = "train.tsv") -> DataFrame:
-    """(lang, spk, clip, text) of ``<folder>/<lang>/train.tsv``; header lines start with ``client``."""
+    """(lang, spk, clip, text) of ``<folder>/<lang>/train.tsv``; header lines start with ``client``.
+
+    A language folder may also be a partition folder ``lang=<lang>``.
+    """
     columns = F.split(strip(F.col("value")), "\t")
     return (
         spark.read.text(f"{folder}/*/{name}")
         .where(~F.col("value").startswith("client"))
         .select(
-            F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("lang"),
+            F.regexp_extract(F.col("_metadata.file_path"), "([^/=]+)/[^/]+$", 1).alias("lang"),
             columns[0].alias("spk"),
             columns[1].alias("clip"),
             columns[2].alias("text"),
@@ -135,6 +138,7 @@ def read_named_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
         spark.read.schema(schema)
         .option("header", True)
         .option("sep", "\t")
+        .option("escape", '"')
         .option("nullValue", "\u0000")
         .option("emptyValue", "")
         .csv(path)
