@@ -41,13 +41,13 @@ def batch_fixed(df: DataFrame, size: int, order: Sequence[Column]) -> DataFrame:
 def _leading_bits(length: Column) -> tuple[Column, Column]:
     """(magnitude, leading five bits) of a length: steps at most 1/16 wide."""
     drop = F.greatest(F.length(F.bin(length)) - 5, F.lit(0))
-    return drop, F.shiftright(length, drop)
+    return drop, F.call_function("shiftright", length, drop)
 
 
 def _length_class(length: Column) -> Column:
     """The smallest length of the step a length is in."""
     drop, leading = _leading_bits(length)
-    return F.shiftleft(leading, drop)
+    return F.call_function("shiftleft", leading, drop)
 
 
 def _in_classes(

@@ -127,7 +127,7 @@ def parse_log(lines: DataFrame, line: str, start_pattern: str, end_pattern: str,
 
 def decode_rtf(pairs: DataFrame, begin: Column, finish: Column, length_s: Column) -> DataFrame:
     """One row: utterances, real-time factor and mean latency in seconds."""
-    seconds = (F.unix_micros(finish) - F.unix_micros(begin)) / F.lit(1000000.0)
+    seconds = (F.unix_micros(finish.cast("timestamp")) - F.unix_micros(begin.cast("timestamp"))) / F.lit(1000000.0)
     timed = pairs.select(seconds.alias("_decode"), length_s.alias("_audio"))
     return timed.agg(
         F.count(F.lit(1)).alias("utterances"),

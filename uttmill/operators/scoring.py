@@ -51,15 +51,15 @@ def error_rates(counts: DataFrame, dset: str = "dset", spk: str = "spk") -> Data
 
 def _grams(tokens: Column, max_n: int) -> Column:
     """ARRAY<STRUCT<n, gram>> of the n-grams of a token array; tokens are joined by a space."""
-    parts = []
-    for n in range(1, max_n + 1):
+
+    def of(n: int) -> Column:
         starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1)))
-        grams = F.transform(
+        return F.transform(
             F.coalesce(starts, F.array().cast("array<int>")),
-            lambda i, n=n: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(tokens, i, n), " ").alias("gram")),
+            lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(tokens, i, n), " ").alias("gram")),
         )
-        parts.append(grams)
-    return F.concat(*parts)
+
+    return F.concat(*[of(n) for n in range(1, max_n + 1)])
 
 
 def gram_matches(df: DataFrame, key: str, ref: Column, hyp: Column, max_n: int) -> DataFrame:

@@ -46,31 +46,54 @@ def build_vocab(
 
 
 def translate(
-    df: DataFrame, table: DataFrame, column: str, key: str, source: str, target: str, default: Column, max_map: int = MAX_MAP
+    df: DataFrame,
+    table: DataFrame,
+    columns: Sequence[str],
+    key: str,
+    source: str,
+    target: str,
+    default: Column,
+    max_map: int = MAX_MAP,
 ) -> DataFrame:
-    """Replaces every element of an array column by its partner in ``table``.
+    """Replaces every element of the array columns by its partner in ``table``.
 
     Up to ``max_map`` entries become a literal map, and no row moves (looking up a map
     is linear in its size, so it has to stay small).  A larger table is joined element
     by element: the rows are partitioned by ``key`` before they are exploded, so the
-    elements themselves are not shuffled for the regrouping, and Spark broadcasts the
-    table or not by its measured size.
+    elements are regrouped where they are, and Spark broadcasts the table or not by its
+    measured size.
     """
+    columns = list(columns)
     known = table.select(source, target).take(max_map + 1)
     if len(known) <= max_map:
-        entries = [F.lit(x) for row in known for x in row]
-        lookup = F.create_map(*entries)
-        return df.withColumn(column, F.transform(column, lambda x: F.coalesce(F.try_element_at(lookup, x), default)))
+        lookup = F.create_map(*[F.lit(x) for row in known for x in row])
+        return df.select(
+            *[
+                F.transform(c, lambda x: F.coalesce(F.try_element_at(lookup, x), default)).alias(c)
+                if c in columns
+                else c
+                for c in df.columns
+            ]
+        )
+
+    def places_of(at: int, column: str) -> Column:
+        return F.transform(column, lambda x, i: F.struct(F.lit(at).alias("_at"), i.alias("_pos"), x.alias(source)))
+
+    def values_of(at: int) -> Column:
+        return F.transform(F.filter("_places", lambda s: s["_at"] == at), lambda s: s[target])
+
     rows = df.repartition(key)
-    places = rows.select(key, F.posexplode_outer(column).alias("_pos", source))
-    found = places.join(table.select(source, target), source, "left").withColumn(
-        target, F.when(F.col("_pos").isNotNull(), F.coalesce(F.col(target), default))
+    places = F.concat(*[places_of(at, c) for at, c in enumerate(columns)])
+    found = (
+        rows.select(key, F.inline_outer(places))
+        .join(table.select(source, target), source, "left")
+        .withColumn(target, F.when(F.col("_pos").isNotNull(), F.coalesce(F.col(target), default)))
     )
     regrouped = found.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct("_pos", target)))).alias("_places")
+        F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct("_at", "_pos", target)))).alias("_places")
     )
-    values = F.transform("_places", lambda s: s[target])
-    return rows.drop(column).join(regrouped.select(key, values.alias(column)), key)
+    values = [values_of(at).alias(c) for at, c in enumerate(columns)]
+    return rows.drop(*columns).join(regrouped.select(key, *values), key).select(*df.columns)
 
 
 def tokens_to_ids(
@@ -78,9 +101,7 @@ def tokens_to_ids(
 ) -> DataFrame:
     """Replaces token columns by id columns; a token outside the vocabulary gets the unknown id."""
     default = F.lit(vocab.where(F.col("token") == unknown).agg(F.max("id")).first()[0])
-    for column in columns:
-        df = translate(df, vocab, column, key, "token", "id", default, max_map)
-    return df
+    return translate(df, vocab, columns, key, "token", "id", default, max_map)
 
 
 def ids_to_text(
@@ -88,7 +109,7 @@ def ids_to_text(
 ) -> DataFrame:
     """Adds ``token`` and ``text`` for a column of ids; an id outside the vocabulary is an error."""
     missing = F.raise_error(F.lit("an id is not in the vocabulary")).cast("string")
-    named = translate(df.withColumn("token", ids), vocab, "token", key, "id", "token", missing, max_map)
+    named = translate(df.withColumn("token", ids), vocab, ["token"], key, "id", "token", missing, max_map)
     return named.withColumn("text", tokens_to_text(F.col("token"), level))
 
 

@@ -81,8 +81,8 @@ def build_instruction_set(
     """(dealt, leftover) from generated targets.
 
     ``rows`` (shard, line, text, prefix, postfix, output), the last three as JSON
-    literals; ``utts`` (utt, text, <utt_order>, …).  Prefix, postfix and output become
-    token ids, invalid targets go, the rest is dealt over the utterances.
+    literals; ``utts`` (utt, text, <utt_order>, …).  Invalid targets go, the rest is
+    dealt over the utterances, and prefix, postfix and output become token ids.
     """
     # position in the order (shard, line): a shard has fewer than 2^40 lines
     order = F.shiftleft(F.col("shard"), 40) + F.col("line")
@@ -92,6 +92,6 @@ def build_instruction_set(
         *[tokenize(json_unquote(F.col(c)), level).alias(c) for c in ("prefix", "postfix", "output")],
     )
     valid = unquoted.where(valid_target(F.col("prefix"), F.col("postfix"), F.col("output")))
-    ids = tokens_to_ids(valid, vocab, ["prefix", "postfix", "output"], "_order")
-    dealt, leftover = deal_targets(utts, ids, utt_order, "_order", hot_rows)
-    return dealt.drop("_order"), leftover.drop("_order")
+    dealt, leftover = deal_targets(utts, valid, utt_order, "_order", hot_rows)
+    ids = tokens_to_ids(dealt.drop("_order"), vocab, ["prefix", "postfix", "output"], "new_utt")
+    return ids, leftover.drop("_order")
