@@ -228,7 +228,7 @@ def j1(spark, d):
 
 @query(
     "j2_intersect_manifests",
-    f"""WITH {MANIFEST} SELECT utt, text, spk, samples FROM m WHERE doc_id % 3 <> 0 AND samples > 400000
+    f"""WITH {MANIFEST} SELECT utt, text, spk, samples FROM m WHERE lang <> 'es' AND samples > 400000
       AND doc_id IN (SELECT doc_id FROM labels)""",
 )
 def j2(spark, d):
@@ -236,7 +236,7 @@ def j2(spark, d):
     labelled = manifests.semi_filter(whole, table(spark, d, "labels"), "doc_id")
     return manifests.intersect_manifests(
         {
-            "text": whole.where("doc_id % 3 <> 0").select("utt", "text"),
+            "text": whole.where("lang <> 'es'").select("utt", "text"),
             "spk": labelled.select("utt", "spk"),
             "samples": whole.where("samples > 400000").select("utt", "samples"),
         }
@@ -334,13 +334,13 @@ def g4(spark, d):
 
 @query(
     "j13_pair_ref_hyp",
-    f"""WITH {PAIRS}, r AS (SELECT * FROM p WHERE conv_id % 5 <> 0), h AS (SELECT * FROM p WHERE conv_id % 7 <> 0)
+    f"""WITH {PAIRS}, r AS (SELECT * FROM p WHERE len(ref) > 200), h AS (SELECT * FROM p WHERE len(hyp) > 200)
     SELECT coalesce(r.utt, h.utt) AS utt, r.spk, r.ref, h.hyp, '('||coalesce(r.spk, '')||'-'||coalesce(r.utt, h.utt)||')' AS label,
       r.utt IS NOT NULL AS has_ref, h.utt IS NOT NULL AS has_hyp FROM r FULL JOIN h ON r.utt = h.utt""",
 )
 def j13(spark, d):
     rows = pairs(spark, d)
-    return manifests.pair_ref_hyp(rows.where("conv_id % 5 <> 0"), rows.where("conv_id % 7 <> 0"))
+    return manifests.pair_ref_hyp(rows.where("length(ref) > 200"), rows.where("length(hyp) > 200"))
 
 
 @query(

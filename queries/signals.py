@@ -72,11 +72,11 @@ def d3(spark, d):
     return _waves(spark, d).select("utt", F.round(power, 6).alias("power"))
 
 
-# Noises: even vectors, the first 40 samples of every fourth, twice the samples of the others.
+# Noises: every vector, cut to 40 samples or doubled, so that both wrapping and cropping occur.
 _NOISY = f"""{_FRAMES.replace('> 0.9', '> 0.01')}, sm AS (SELECT utt, generate_subscripts(x, 1) - 1 AS i, unnest(x) AS v FROM wv),
  ap AS (SELECT sm.utt, avg(v * v) AS power FROM sm JOIN fa ON fa.utt = sm.utt AND fa.frame = least(i // 8, 6) WHERE active GROUP BY sm.utt),
- po AS (SELECT vec_id AS noise_id, CASE WHEN vec_id % 4 = 0 THEN e[1:40] ELSE e || e END AS noise, row_number() OVER (ORDER BY {digest_sql(SEED, 'vec_id')}) - 1 AS slot
-   FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id % 2 = 0)),
+ po AS (SELECT vec_id AS noise_id, CASE WHEN vec_id % 2 = 0 THEN e[1:40] ELSE e || e END AS noise, row_number() OVER (ORDER BY {digest_sql(SEED, 'vec_id')}) - 1 AS slot
+   FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)),
  dr AS (SELECT utt, x, CASE WHEN {unit_sql(SEED, "'apply'", 'utt')} <= 0.8 THEN {slot_sql(SEED, '(SELECT count(*) FROM po)', 'utt')} END AS slot,
    -3 + 7 * {unit_sql(SEED, "'db'", 'utt')} AS db FROM wv),
  of AS (SELECT dr.*, noise_id, noise, {slot_sql(SEED, 'greatest(abs(len(x) - len(noise)), 1)', "'offset'", 'utt')} AS o FROM dr LEFT JOIN po USING (slot)),
@@ -93,10 +93,10 @@ _NOISY = f"""{_FRAMES.replace('> 0.9', '> 0.01')}, sm AS (SELECT utt, generate_s
     f"""WITH {_NOISY} SELECT utt, noise_id, short_noise, generate_subscripts(x, 1)::BIGINT - 1 AS i, round(CASE WHEN peak > 1 THEN unnest(x) / peak ELSE unnest(x) END, 6) AS value FROM pk""",
 )
 def d4(spark, d):
-    even = table(spark, d, "embeddings").where("vec_id % 2 = 0").withColumn("e", F.col("embedding").cast("array<double>"))
-    pool = even.select(
+    whole = table(spark, d, "embeddings").withColumn("e", F.col("embedding").cast("array<double>"))
+    pool = whole.select(
         F.col("vec_id").alias("noise_id"),
-        F.when(F.col("vec_id") % 4 == 0, F.slice("e", 1, 40)).otherwise(F.concat("e", "e")).alias("noise"),
+        F.when(F.col("vec_id") % 2 == 0, F.slice("e", 1, 40)).otherwise(F.concat("e", "e")).alias("noise"),
     )
     noisy = signals.add_noise(_waves(spark, d), pool, "x", -3.0, 4.0, 0.8, SEED, short_share=0.7, length=16, shift=8)
     return _rows(noisy, extra=["noise_id", "short_noise"])

@@ -6,11 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..fixed_values import IGNORE_ID
+from .let import let
 
 
 def ctc_collapse(ids: Column, exclude: list[int]) -> Column:
     """One of each run of equal neighbours, then without the excluded ids."""
-    heads = F.filter(ids, lambda x, i: (i == 0) | (x != F.get(ids, i - 1)))
+    heads = let(ids, lambda y: F.filter(y, lambda x, i: (i == 0) | (x != F.get(y, i - 1))))
     return F.filter(heads, lambda x: ~x.isin(exclude))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import FAILED_SCORE, FAILED_TEXT, FAILED_TOKEN_ID, REPORT_WEIGHTS, SPACE
 from ..functions.edits import edit_counts
+from ..functions.let import let
 from ..functions.sequences import count_equal
 from ..functions.text import WS
 from .manifests import fill_failed
@@ -52,14 +53,14 @@ def error_rates(counts: DataFrame, dset: str = "dset", spk: str = "spk") -> Data
 def _grams(tokens: Column, max_n: int) -> Column:
     """ARRAY<STRUCT<n, gram>> of the n-grams of a token array; tokens are joined by a space."""
 
-    def of(n: int) -> Column:
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1)))
+    def of(words: Column, n: int) -> Column:
+        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1)))
         return F.transform(
             F.coalesce(starts, F.array().cast("array<int>")),
-            lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(tokens, i, n), " ").alias("gram")),
+            lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(words, i, n), " ").alias("gram")),
         )
 
-    return F.concat(*[of(n) for n in range(1, max_n + 1)])
+    return let(tokens, lambda words: F.concat(*[of(words, n) for n in range(1, max_n + 1)]))
 
 
 def gram_matches(df: DataFrame, key: str, ref: Column, hyp: Column, max_n: int) -> DataFrame:

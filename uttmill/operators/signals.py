@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.chance import slot, uniform
+from ..functions.let import let
 from .sampling import pick_mixing_sources, sample_from_pool
 from .vocabulary import feature_stats
 
@@ -53,20 +54,22 @@ def frame_table(
 def frame_powers(samples: Column, length: int, shift: int) -> Column:
     """Mean power of each frame of a row (not centered, zero-padded at the end); null if too short."""
     n = F.size(samples)
-    frames = F.floor((n - length + shift - 1) / F.lit(shift)).cast("int")
-    if shift > length:  # the end of a row is padded by less than a frame
-        frames = F.floor((n - length + F.pmod(F.pmod(-(n - length), F.lit(shift)), F.lit(length))) / F.lit(shift)).cast("int")
+    padding = F.pmod(F.pmod(-(n - length), F.lit(shift)), F.lit(length))
+    last = F.floor((n + padding - length) / F.lit(shift)).cast("int")
     powers = F.transform(
-        F.sequence(F.lit(0), frames), lambda f: energy(F.slice(samples, f * shift + 1, F.lit(length))) / length
+        F.sequence(F.lit(0), last), lambda f: energy(F.slice(samples, f * shift + 1, F.lit(length))) / length
     )
     return F.when(n >= length, powers)
 
 
 def active_frames(samples: Column, threshold: float = 0.01, length: int = 1024, shift: int = 512) -> Column:
     """ARRAY<BOOLEAN> per frame, null where every sample counts as active (short or silent rows)."""
-    powers = frame_powers(samples, length, shift)
-    mean = F.aggregate(powers, F.lit(0.0).cast("double"), lambda a, p: a + p) / F.size(powers)
-    return F.when(mean > 0, F.transform(powers, lambda p: p / mean > threshold))
+
+    def flags(powers: Column) -> Column:
+        mean = F.aggregate(powers, F.lit(0.0).cast("double"), lambda a, p: a + p) / F.size(powers)
+        return let(mean, lambda m: F.when(m > 0, F.transform(powers, lambda p: p / m > threshold)))
+
+    return let(frame_powers(samples, length, shift), flags)
 
 
 def non_silence(df: DataFrame, samples: str, utt: str = "utt", threshold=0.01, length=1024, shift=512) -> DataFrame:
@@ -74,32 +77,34 @@ def non_silence(df: DataFrame, samples: str, utt: str = "utt", threshold=0.01, l
 
     A row that is too short or all zero has one active frame, which stands for all of it.
     """
-    wide = F.col(samples).cast("array<double>")
-    flags = F.coalesce(active_frames(wide, threshold, length, shift), F.array(F.lit(True)))
+    flags = let(
+        F.col(samples).cast("array<double>"),
+        lambda x: F.coalesce(active_frames(x, threshold, length, shift), F.array(F.lit(True))),
+    )
     return df.select(utt, F.posexplode(flags).alias("frame", "active")).withColumn("frame", F.col("frame").cast("bigint"))
 
 
 def activity_mask(samples: Column, threshold=0.01, length=1024, shift=512) -> Column:
     """ARRAY<BOOLEAN> per sample: each frame covers ``shift`` samples, the last one the rest."""
-    flags = active_frames(samples, threshold, length, shift)
-    return F.transform(
-        samples,
-        lambda x, i: F.coalesce(F.get(flags, F.least(F.floor(i / F.lit(shift)).cast("int"), F.size(flags) - 1)), F.lit(True)),
-    )
+
+    def spread(flags: Column) -> Column:
+        def at(i: Column) -> Column:
+            return F.least(F.floor(i / F.lit(shift)).cast("int"), F.size(flags) - 1)
+
+        return F.transform(samples, lambda x, i: F.coalesce(F.get(flags, at(i)), F.lit(True)))
+
+    return let(active_frames(samples, threshold, length, shift), spread)
 
 
 def active_power(samples: Column, threshold=0.01, length=1024, shift=512) -> Column:
     """Mean square over the active samples; null if there are none."""
-    mask = activity_mask(samples, threshold, length, shift)
-    kept = F.zip_with(samples, mask, lambda x, m: F.when(m, x * x))
-    sums = F.aggregate(
-        kept,
-        F.struct(F.lit(0.0).cast("double").alias("s"), F.lit(0).cast("bigint").alias("n")),
-        lambda a, v: F.struct(
-            (a["s"] + F.coalesce(v, F.lit(0.0))).alias("s"), (a["n"] + F.when(v.isNotNull(), 1).otherwise(0)).alias("n")
-        ),
-    )
-    return F.when(sums["n"] > 0, sums["s"] / sums["n"])
+
+    def power(x: Column) -> Column:
+        mask = activity_mask(x, threshold, length, shift)
+        kept = F.filter(F.zip_with(x, mask, lambda v, m: F.when(m, v * v)), lambda v: v.isNotNull())
+        return let(kept, lambda k: F.when(F.size(k) > 0, F.aggregate(k, F.lit(0.0).cast("double"), lambda a, v: a + v) / F.size(k)))
+
+    return let(samples, power)
 
 
 def fitted_noise(noise: Column, n: Column, offset: Column) -> Column:
@@ -130,47 +135,45 @@ def add_noise(
     ``short_noise``; rows without noise keep their samples.
     """
     drawn = sample_from_pool(df, pool, utt, "noise_id", probability, seed)
-    x, noise = F.col("_x"), F.col("_noise")
-    n, m = F.size("_x"), F.size("_noise")
-    gap = F.abs(n - m)
-    staged = (
-        drawn.withColumn("_x", F.col(samples).cast("array<double>"))
-        .withColumn("_noise", F.col("noise").cast("array<double>"))
-        .withColumn("noise_db", F.when(m.isNotNull(), uniform(seed, db_low, db_high, F.lit("db"), F.col(utt))))
-        .withColumn("_offset", slot(seed, F.greatest(gap, F.lit(1)), F.lit("offset"), F.col(utt)))
-        .withColumn("_fit", F.when(m > 0, fitted_noise(noise, n, F.col("_offset"))))
-        .withColumn("_power", active_power(x, length=length, shift=shift))
-        .withColumn(
-            "_scale",
-            F.pow(F.lit(10.0), -F.col("noise_db") / 20)
-            * F.sqrt("_power")
-            / F.sqrt(F.greatest(mean_power(F.col("_fit")), F.lit(1e-10))),
-        )
-    )
-    mixed = F.when(F.col("_scale").isNull(), x).otherwise(
-        F.zip_with("_x", "_fit", lambda a, b: a + F.col("_scale") * b)
-    )
+    n, m = F.size(samples), F.size("noise")
+    offset = slot(seed, F.greatest(F.abs(n - m), F.lit(1)), F.lit("offset"), F.col(utt))
+    level = uniform(seed, db_low, db_high, F.lit("db"), F.col(utt))
+
+    def mixed(x: Column) -> Column:
+        def at_scale(noise: Column) -> Column:
+            ratio = F.sqrt(active_power(x, length=length, shift=shift)) / F.sqrt(
+                F.greatest(mean_power(noise), F.lit(1e-10))
+            )
+            scale = F.pow(F.lit(10.0), -level / 20) * ratio
+            return let(scale, lambda k: F.when(k.isNull(), x).otherwise(F.zip_with(x, noise, lambda a, b: a + k * b)))
+
+        fitted = let(offset, lambda o: fitted_noise(F.col("noise").cast("array<double>"), n, o))
+        return F.when(m > 0, let(fitted, at_scale)).otherwise(x)
+
     return (
-        staged.withColumn("short_noise", F.coalesce(m / n < short_share, F.lit(False)))
-        .withColumn("_mixed", mixed)
-        .withColumn(samples, peak_guard(F.col("_mixed")))
-        .drop("_x", "noise", "_noise", "_offset", "_fit", "_power", "_scale", "_mixed")
+        drawn.withColumn("noise_db", F.when(m.isNotNull(), level))
+        .withColumn("short_noise", F.coalesce(m / n < short_share, F.lit(False)))
+        .withColumn(samples, peak_guard(let(F.col(samples).cast("array<double>"), mixed)))
+        .drop("noise")
     )
 
 
-def _peak(samples: Column) -> Column:
-    return F.array_max(F.transform(samples, lambda x: F.abs(x)))
+def _with_peak(samples: Column, body) -> Column:
+    def of(x: Column) -> Column:
+        return let(F.array_max(F.transform(x, lambda v: F.abs(v))), lambda peak: body(x, peak))
+
+    return let(samples, of)
 
 
 def peak_guard(samples: Column) -> Column:
     """Divided by its peak if that is above 1."""
-    peak = _peak(samples)
-    return F.when(peak > 1.0, F.transform(samples, lambda x: x / peak)).otherwise(samples)
+    return _with_peak(
+        samples, lambda x, peak: F.when(peak > 1.0, F.transform(x, lambda v: v / peak)).otherwise(x)
+    )
 
 
 def volume_normalize(samples: Column, volume: float) -> Column:
-    peak = _peak(samples)
-    return F.transform(samples, lambda x: x * volume / peak)
+    return _with_peak(samples, lambda x, peak: F.transform(x, lambda v: v * volume / peak))
 
 
 def fitted_source(samples: Column, n: Column) -> Column:
@@ -200,7 +203,7 @@ def mix_sources(
 
     def gained(wave: Column, place: Column) -> Column:
         gain = F.pow(F.lit(10.0), uniform(seed, -gain_db, gain_db, F.lit("gain"), F.col("utt"), place) / 20.0)
-        return F.transform(wave, lambda x: x * gain)
+        return let(gain, lambda g: let(wave, lambda w: F.transform(w, lambda x: x * g)))
 
     others = F.transform(
         "_partners", lambda p: gained(fitted_source(p["_p"], F.col("_n")), p["place"] + 1)
@@ -214,11 +217,18 @@ def mix_sources(
 
 def utterance_normalize(samples: Column) -> Column:
     """Zero mean and unit variance over the row; a constant row becomes zeros."""
-    n = F.size(samples)
-    mean = F.aggregate(samples, F.lit(0.0).cast("double"), lambda a, x: a + x) / n
-    variance = F.aggregate(samples, F.lit(0.0).cast("double"), lambda a, x: a + (x - mean) * (x - mean)) / n
-    deviation = F.greatest(F.sqrt(variance), F.lit(1e-20))
-    return F.transform(samples, lambda x: (x - mean) / deviation)
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0).cast("double"), lambda a, x: a + x)
+
+    def scaled(x: Column) -> Column:
+        deviation = F.greatest(F.sqrt(energy(x) / F.size(x)), F.lit(1e-20))
+        return let(deviation, lambda s: F.transform(x, lambda v: v / s))
+
+    def centered(x: Column) -> Column:
+        return let(total(x) / F.size(x), lambda mean: let(F.transform(x, lambda v: v - mean), scaled))
+
+    return let(samples, centered)
 
 
 def global_normalize(df: DataFrame, feature: str) -> DataFrame:
