@@ -13,17 +13,22 @@ from pyspark.sql.types import StringType
 
 from ..fixed_values import SPACE
 
-# All Unicode white space, as a Java character class.
+# All Unicode white space, as a Java character class and as a list.
 WS = r"[\s\x1C-\x1F\x85\p{Z}]"
+_WS_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(map(chr, range(0x2000, 0x200B)))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
+    return F.btrim(text, F.lit(_WS_CHARS))
 
 
 def squash(text: Column) -> Column:
     """Strip, and make one space of every run of white space."""
-    return F.regexp_replace(strip(text), f"{WS}+", " ")
+    return F.trim(F.regexp_replace(text, f"{WS}+", " "))
 
 
 @F.pandas_udf(StringType())
@@ -32,18 +37,36 @@ def _nfkc(text: pd.Series) -> pd.Series:
 
 
 def nfkc(text: Column) -> Column:
-    """Compatibility normalization; ASCII rows never leave the JVM as text."""
-    wide = F.when(text.rlike(r"[^\x00-\x7F]"), text)
+    """Compatibility normalization.
+
+    A text of ASCII, Latin-1 letters and basic Cyrillic is normal already and never
+    leaves the JVM.
+    """
+    is_wide = (F.octet_length(text) != F.length(text)) & text.rlike(r"[^\x00-\x7F\u00C0-\u00FF\u0410-\u044F]")
+    wide = F.when(is_wide, text)
     return F.coalesce(_nfkc(wide), text)
 
 
+# Everything that is no letter, number or control, and the controls that are white space.
+_NO_WORD = r"[\s\x1C-\x1F\x85[^a-z0-9\p{L}\p{N}\p{C}]]+"
+
+
+def _without(text: Column, opening: str, pattern: str) -> Column:
+    """Matches removed; a text without an opening bracket is not searched."""
+    present = text.contains(opening[0])
+    for bracket in opening[1:]:
+        present = present | text.contains(bracket)
+    return F.when(present, F.regexp_replace(text, pattern, "")).otherwise(text)
+
+
 def clean_basic(text: Column) -> Column:
-    """Lower case, no bracketed remarks, only letters and digits, single spaces."""
-    text = F.lower(text)
-    text = F.regexp_replace(text, r"[<\[][^>\]]*[>\]]", "")
-    text = F.regexp_replace(text, r"\([^)]+\)", "")
-    text = F.lower(F.regexp_replace(nfkc(text), r"[\p{M}\p{S}\p{P}]", " "))
-    return squash(text)
+    """Lower case, no bracketed remarks, only letters and digits, single spaces.
+
+    Marks, symbols and punctuation become spaces, and a run of spaces one space.
+    """
+    text = _without(F.lower(text), "<[", r"[<\[][^>\]]*[>\]]")
+    text = _without(text, "(", r"\([^)]+\)")
+    return F.trim(F.lower(F.regexp_replace(nfkc(text), _NO_WORD, " ")))
 
 
 CLEANERS: dict[str, Callable[[Column], Column]] = {"whisper_basic": clean_basic}
@@ -86,8 +109,10 @@ def tokenize(
     if level == "char":
         if symbols and remove_symbols:
             text = F.regexp_replace(text, _symbol_pattern(symbols), "")
-        pattern = "(?s)" + (_symbol_pattern(symbols) + "|." if symbols and not remove_symbols else ".")
-        tokens = F.regexp_extract_all(text, F.lit(pattern), 0)
+        if symbols and not remove_symbols:
+            tokens = F.regexp_extract_all(text, F.lit(f"(?s){_symbol_pattern(symbols)}|."), 0)
+        else:
+            tokens = F.when(text != "", F.split(text, "")).otherwise(F.array().cast("array<string>"))
         return F.transform(tokens, lambda t: F.when(t == " ", F.lit(SPACE)).otherwise(t))
     if level == "word":
         tokens = F.filter(F.split(text, f"{WS}+"), lambda t: t != "")

@@ -154,39 +154,39 @@ def dense_index(df: DataFrame, order: Sequence[Column], out: str = "index") -> D
     position is its place in its partition plus the rows of the partitions
     before it.  The table of partition sizes has one row per shuffle partition.
     """
-    placed = cut_lineage(df.orderBy(*order)).withColumn("_id", F.monotonically_increasing_id())
-    placed = placed.withColumn("_part", F.shiftright("_id", 33)).withColumn(
-        "_at", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = cut_lineage(df.orderBy(*order)).withColumn("_idx_id", F.monotonically_increasing_id())
+    placed = placed.withColumn("_idx_part", F.shiftright("_idx_id", 33)).withColumn(
+        "_idx_at", F.col("_idx_id").bitwiseAND(F.lit((1 << 33) - 1))
     )
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_idx_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        placed.groupBy("_part")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+        placed.groupBy("_idx_part")
+        .agg(F.count(F.lit(1)).alias("_idx_n"))
+        .select("_idx_part", F.coalesce(F.sum("_idx_n").over(before), F.lit(0)).alias("_idx_start"))
     )
     return (
-        placed.join(F.broadcast(starts), "_part")
-        .withColumn(out, F.col("_at") + F.col("_start"))
-        .drop("_id", "_part", "_at", "_start")
+        placed.join(F.broadcast(starts), "_idx_part")
+        .withColumn(out, F.col("_idx_at") + F.col("_idx_start"))
+        .drop("_idx_id", "_idx_part", "_idx_at", "_idx_start")
     )
 
 
 def total_up_to(df: DataFrame, order: Sequence[Column], value: Column, out: str) -> DataFrame:
     """Global running sum of ``value`` including the row, by the same two steps."""
-    placed = cut_lineage(df.orderBy(*order)).withColumn("_id", F.monotonically_increasing_id())
-    placed = placed.withColumn("_part", F.shiftright("_id", 33))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = cut_lineage(df.orderBy(*order)).withColumn("_idx_id", F.monotonically_increasing_id())
+    placed = placed.withColumn("_idx_part", F.shiftright("_idx_id", 33))
+    before = Window.orderBy("_idx_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        placed.groupBy("_part")
-        .agg(F.sum(value).alias("_sum"))
-        .select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+        placed.groupBy("_idx_part")
+        .agg(F.sum(value).alias("_idx_sum"))
+        .select("_idx_part", F.coalesce(F.sum("_idx_sum").over(before), F.lit(0)).alias("_idx_start"))
     )
-    inside = Window.partitionBy("_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("_idx_part").orderBy("_idx_id").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        placed.withColumn("_inside", F.sum(value).over(inside))
-        .join(F.broadcast(starts), "_part")
-        .withColumn(out, F.col("_inside") + F.col("_start"))
-        .drop("_id", "_part", "_inside", "_start")
+        placed.withColumn("_idx_inside", F.sum(value).over(inside))
+        .join(F.broadcast(starts), "_idx_part")
+        .withColumn(out, F.col("_idx_inside") + F.col("_idx_start"))
+        .drop("_idx_id", "_idx_part", "_idx_inside", "_idx_start")
     )
 
 
@@ -196,21 +196,21 @@ def hash_index(df: DataFrame, seed: int | str, keys: Sequence[str], out: str = "
     The first four hex digits cut the order into 65,536 even spans, so the
     numbering stays lazy: span sizes are one bounded table.
     """
-    mixed = df.withColumn("_digest", shuffle_key(seed, *[F.col(k) for k in keys])).withColumn(
-        "_span", leading_number(F.col("_digest"), 4).cast("int")
+    mixed = df.withColumn("_idx_digest", shuffle_key(seed, *[F.col(k) for k in keys])).withColumn(
+        "_idx_span", leading_number(F.col("_idx_digest"), 4).cast("int")
     )
-    before = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_idx_span").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        mixed.groupBy("_span")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select("_span", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+        mixed.groupBy("_idx_span")
+        .agg(F.count(F.lit(1)).alias("_idx_n"))
+        .select("_idx_span", F.coalesce(F.sum("_idx_n").over(before), F.lit(0)).alias("_idx_start"))
     )
-    inside = Window.partitionBy("_span").orderBy("_digest", *[F.col(k) for k in keys])
+    inside = Window.partitionBy("_idx_span").orderBy("_idx_digest", *[F.col(k) for k in keys])
     return (
-        mixed.withColumn("_at", F.row_number().over(inside))
-        .join(F.broadcast(starts), "_span")
-        .withColumn(out, (F.col("_start") + F.col("_at") - 1).cast("bigint"))
-        .drop("_digest", "_span", "_at", "_start")
+        mixed.withColumn("_idx_at", F.row_number().over(inside))
+        .join(F.broadcast(starts), "_idx_span")
+        .withColumn(out, (F.col("_idx_start") + F.col("_idx_at") - 1).cast("bigint"))
+        .drop("_idx_digest", "_idx_span", "_idx_at", "_idx_start")
     )
 
 

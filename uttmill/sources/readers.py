@@ -24,6 +24,17 @@ NUMBER_FORMATS = {
 }
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table; one with fewer splits than there are cores is spread over them.
+
+    A small file is one row group and would be one task, whatever is computed from it.
+    A table with enough splits is read as it is, without a shuffle.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that occur more than once, with their counts."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
