@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import REPEAT_POSTFIX, REPEAT_PREFIX
-from ..functions.chance import shuffle_key, slot, unit
+from ..functions.chance import leading_number, shuffle_key, slot, unit
 from .ranking import HOT_ROWS, hash_index, hash_span, position_span, rank_in_group, total_before
 
 
@@ -94,12 +94,14 @@ def sample_from_pool(
 ) -> DataFrame:
     """One uniform choice from a pool per row, made with a probability.
 
-    Columns of the pool are null where nothing is applied.
+    Columns of the pool are null where nothing is applied.  Such rows get negative
+    slots, which match nothing, instead of null: nulls would all meet in one task.
     """
     numbered = hash_index(pool, seed, [pool_key], "_slot")
     size = pool.count()
     applies = unit(shuffle_key(seed, F.lit("apply"), F.col(key))) <= F.lit(float(probability))
-    drawn = df.withColumn("_slot", F.when(applies, slot(seed, size, F.col(key))))
+    nowhere = -1 - leading_number(shuffle_key(seed, F.col(key)))
+    drawn = df.withColumn("_slot", F.when(applies, slot(seed, size, F.col(key))).otherwise(nowhere))
     return drawn.join(numbered, "_slot", "left").drop("_slot")
 
 

@@ -12,6 +12,7 @@ from ..functions.text import tokens_to_text
 from .ranking import dense_index
 
 MAX_MAP = 512
+MAX_BROADCAST_ROWS = 200_000
 
 
 def token_counts(df: DataFrame, tokens: Column) -> DataFrame:
@@ -82,11 +83,14 @@ def translate(
     def values_of(at: int) -> Column:
         return F.transform(F.filter("_places", lambda s: s["_at"] == at), lambda s: s[target])
 
+    entries = table.select(source, target)
+    if entries.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
+        entries = F.broadcast(entries)
     rows = df.repartition(key)
     places = F.concat(*[places_of(at, c) for at, c in enumerate(columns)])
     found = (
         rows.select(key, F.inline_outer(places))
-        .join(table.select(source, target), source, "left")
+        .join(entries, source, "left")
         .withColumn(target, F.when(F.col("_pos").isNotNull(), F.coalesce(F.col(target), default)))
     )
     regrouped = found.groupBy(key).agg(
