@@ -36,13 +36,14 @@ def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
-def nfkc(text: Column) -> Column:
+def nfkc(text: Column, raw: Column | None = None) -> Column:
     """Compatibility normalization.
 
     A text of ASCII, Latin-1 letters and basic Cyrillic is normal already and never
-    leaves the JVM.
+    leaves the JVM.  That is seen from ``raw``, a text that ``text`` is a part of.
     """
-    is_wide = (F.octet_length(text) != F.length(text)) & text.rlike(r"[^\x00-\x7F\u00C0-\u00FF\u0410-\u044F]")
+    raw = text if raw is None else raw
+    is_wide = (F.octet_length(raw) != F.length(raw)) & raw.rlike(r"[^\x00-\x7F\u00C0-\u00FF\u0410-\u044F]")
     wide = F.when(is_wide, text)
     return F.coalesce(_nfkc(wide), text)
 
@@ -51,11 +52,11 @@ def nfkc(text: Column) -> Column:
 _NO_WORD = r"[\s\x1C-\x1F\x85[^a-z0-9\p{L}\p{N}\p{C}]]+"
 
 
-def _without(text: Column, opening: str, pattern: str) -> Column:
-    """Matches removed; a text without an opening bracket is not searched."""
-    present = text.contains(opening[0])
+def _without(text: Column, raw: Column, opening: str, pattern: str) -> Column:
+    """Matches removed; a raw text without an opening bracket is not searched."""
+    present = raw.contains(opening[0])
     for bracket in opening[1:]:
-        present = present | text.contains(bracket)
+        present = present | raw.contains(bracket)
     return F.when(present, F.regexp_replace(text, pattern, "")).otherwise(text)
 
 
@@ -64,9 +65,9 @@ def clean_basic(text: Column) -> Column:
 
     Marks, symbols and punctuation become spaces, and a run of spaces one space.
     """
-    text = _without(F.lower(text), "<[", r"[<\[][^>\]]*[>\]]")
-    text = _without(text, "(", r"\([^)]+\)")
-    return F.trim(F.lower(F.regexp_replace(nfkc(text), _NO_WORD, " ")))
+    plain = _without(F.lower(text), text, "<[", r"[<\[][^>\]]*[>\]]")
+    plain = _without(plain, text, "(", r"\([^)]+\)")
+    return F.trim(F.lower(F.regexp_replace(nfkc(plain, text), _NO_WORD, " ")))
 
 
 CLEANERS: dict[str, Callable[[Column], Column]] = {"whisper_basic": clean_basic}

@@ -21,6 +21,8 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("UTTMILL_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
+        # call-site capture of every Column call; it makes up much of the time to build a plan
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
