@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 BUCKET_KEYS = 1 << 19
 RANGES = 128
 SCHEMA = "chunk long, kind int, bucket long, keys binary"

@@ -28,3 +28,35 @@ SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGI
   sha256(unhex(CASE WHEN tail IS NULL THEN h ELSE head || substr(h, 2 * tail + 1) END)) AS kept_sha256
 FROM d LEFT JOIN cut USING (rid)
 """
+
+# kind, pattern, least length, group of that length
+_SECRETS = (
+    ("assign", r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 1),
+    ("access", r"AKIA[A-Z0-9]+", 20, 0),
+    ("hex", r"[0-9a-f]+", 24, 0),
+    ("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 1, 0),
+    ("github", r"gh[pousr]_[A-Za-z0-9]+", 40, 0),
+    ("slack", r"xox[abprs]-[A-Za-z0-9-]+", 15, 0),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40, 0),
+    ("google", r"AIza[A-Za-z0-9_-]+", 39, 0),
+)
+
+
+def _secret_kind(place: int, kind: str, pattern: str, least: int, group: int) -> str:
+    """Matches of one kind: what stands between them gives their offsets."""
+    p = pattern.replace("'", "''")
+    return f"""SELECT rid, {place} AS kind, '{kind}' AS name,
+  list_sum(list_transform(between[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i-1], lambda x: length(x))), 0) AS s, length(found[i]) AS n
+  FROM (SELECT rid, regexp_split_to_array(text, '{p}') AS between, regexp_extract_all(text, '{p}') AS found, regexp_extract_all(text, '{p}', {group}) AS part
+    FROM d WHERE regexp_matches(text, '{p}')), unnest(range(1, len(found) + 1)) AS t(i) WHERE length(part[i]) >= {least}"""
+
+
+SECRETS = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+f AS ({" UNION ALL ".join(_secret_kind(i, *rule) for i, rule in enumerate(_SECRETS))}),
+s AS (SELECT rid, kind, name, s::BIGINT AS s, name || ':' || s::BIGINT || ':' || (s + n)::BIGINT AS span FROM f),
+a AS (SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  string_agg(span, ',' ORDER BY s, kind) FILTER (kind < 3) AS base, string_agg(span, ',' ORDER BY s, kind) AS spans FROM s GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (rid)
+"""

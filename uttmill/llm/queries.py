@@ -8,6 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles
+from .html_template import main_texts
+from .mixing import mixture
+from .quality_rules import quality
+from .secrets import BASE, digest_line, secrets_of
+from .sharding import sharded
+from .simhash import near_duplicates
 from .substring_dedup import remove_repeated_windows
 from .suffix_dedup import remove_repeated_bytes
 
@@ -45,3 +51,51 @@ def suffix_dedup(spark, folder):
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op3_quality_rules")
+def quality_rules(spark, folder):
+    return quality(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "n_tokens", "chars_per_token", "byte_fallback_share", "token_entropy",
+    )
+
+
+@query("op7_simhash")
+def simhash(spark, folder):
+    return near_duplicates(table(spark, folder, "documents")).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+@query("op8_mixing")
+def mixing(spark, folder):
+    return mixture(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op10_sharding")
+def sharding(spark, folder):
+    return sharded(table(spark, folder, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+@query("op1_secrets", oracles.SECRETS)
+def secrets(spark, folder):
+    found, _ = secrets_of(table(spark, folder, "documents"))
+
+    def count(kind):
+        return F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long")
+
+    base = F.filter("findings", lambda f: f["kind"] < len(BASE))
+    return found.select(
+        "doc_id",
+        *[count(i).alias(f"n_{rule.kind}") for i, rule in enumerate(BASE)],
+        F.sha2(F.encode(digest_line(base), "UTF-8"), 256).alias("base_sha256"),
+        digest_line(F.col("findings")).alias("spans"),
+    )
+
+
+@query("op6_html_template")
+def html_template(spark, folder):
+    return main_texts(table(spark, folder, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
