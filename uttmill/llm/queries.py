@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles
+from .classifier import scored, train
 from .html_template import main_texts
 from .mixing import mixture
 from .quality_rules import quality
@@ -99,3 +100,10 @@ def secrets(spark, folder):
 @query("op6_html_template")
 def html_template(spark, folder):
     return main_texts(table(spark, folder, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op9_classifier")
+def classifier(spark, folder):
+    docs = table(spark, folder, "documents")
+    machine = train(docs, table(spark, folder, "labels"))
+    return scored(docs, machine)
