@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .classifier import scored, train
+from .decontamination import leaks
 from .html_template import main_texts
 from .mixing import mixture
 from .quality_rules import quality
@@ -107,3 +108,8 @@ def classifier(spark, folder):
     docs = table(spark, folder, "documents")
     machine = train(docs, table(spark, folder, "labels"))
     return scored(docs, machine)
+
+
+@query("op2_decontamination")
+def decontamination(spark, folder):
+    return leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
