@@ -32,12 +32,20 @@ from xxhash import xxh64_intdigest
 
 from ..session import cut_lineage
 from .components import stars
-from .texts import encoded
+from .texts import U, Words, encoded, mixed, pieces, window_hashes
 
 SHINGLE_WORDS = 3
 RADIUS = 2
 TREE_NODES = 4096
 BLOCK = 1 << 16
+PIECE_BYTES = 1 << 20
+#: near copies: words of a shingle, similarity, bits between fingerprints, min-hashes and their bands
+COPY_WORDS = 5
+SIMILARITY = 0.8
+COPY_RADIUS = 18
+MIN_HASHES = 128
+BANDS = 24
+BAND_ROWS = 4
 
 
 def simhash(text: bytes, width: int = SHINGLE_WORDS) -> int:
@@ -120,42 +128,74 @@ def block_masks(radius: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in (x | y for x, y in combinations(blocks, 2))]
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES) -> DataFrame:
-    """(a, b): fingerprints (column ``fp``, each once) that differ in 1 to ``radius`` bits, enough to join all that are linked."""
-    masks = F.array(*[F.struct(F.lit(i).alias("pair"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(block_masks(radius))])
-    rows = nodes.select("fp", F.inline(masks))
-    sizes = rows.groupBy("pair", "bits").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(sizes, ["pair", "bits"]).withColumn("trees", F.ceil(F.col("n") / tree_nodes).cast("int"))
-    rows = rows.withColumn("tree", F.pmod(F.xxhash64("fp"), "trees").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("trees") - 1))
-    rows = rows.select("pair", "bits", "fp", "tree", other.alias("other"))
-    shard = ["pair", "bits", "low", "high"]
-    rows = rows.select(
-        "pair", "bits", F.least("tree", "other").alias("low"), F.greatest("tree", "other").alias("high"),
-        (F.col("tree") > F.col("other")).alias("probe"), "fp",
+def _in_trees(rows: DataFrame, shard: list[str], tree_nodes: int) -> DataFrame:
+    """Rows of shards with several nodes, dealt to trees: adds low, high (a pair of trees) and probe.
+
+    ``rows`` has the shard columns and ``node``; a shard above ``tree_nodes`` has several
+    trees, and each of its nodes meets every one of them.
+    """
+    sizes = rows.groupBy(*shard).agg(F.count("*").alias("n")).where("n > 1")
+    rows = rows.join(sizes, shard).withColumn("trees", F.ceil(F.col("n") / tree_nodes).cast("int"))
+    rows = rows.withColumn("tree", F.pmod(F.xxhash64("node"), "trees").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)))
+    return rows.select(
+        *shard, "node", F.least("tree", "other").alias("low"), F.greatest("tree", "other").alias("high"),
+        (F.col("tree") > F.col("other")).alias("probe"),
     )
 
+
+def _linked(rows: DataFrame, shard: list[str], radius: int, agree: int = 0) -> DataFrame:
+    """(a, b): nodes whose fingerprints differ in at most ``radius`` bits and whose sketches share ``agree`` numbers.
+
+    Only the links that join two groups of a pair of trees.
+    """
+
     def run(batches):
-        now, tree, groups, places = None, BKTree(), Groups(), []
+        now, tree, groups, members = None, BKTree(), Groups(), []
         for batch in batches:
-            out = []
-            for pair, bits, low, high, probe, fp in zip(*(c.to_pylist() for c in batch.columns)):
-                if (pair, bits, low, high) != now:
-                    now, tree, groups, places = (pair, bits, low, high), BKTree(), Groups(), []
+            a, b = [], []
+            for *key, probe, fp, node, sketch in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != now:
+                    now, tree, groups, members = key, BKTree(), Groups(), []
                 value = fp & 0xFFFFFFFFFFFFFFFF
                 me = groups.add()
-                if low == high or probe:
+                own = np.frombuffer(sketch, dtype=np.uint16) if agree else None
+                if key[-2] == key[-1] or probe:
                     for hit in tree.within(value, radius):
-                        if groups.join(places[hit], me):
-                            out.append((fp, tree.values[hit]))
+                        place, other, theirs = members[hit]
+                        if groups.find(place) != groups.find(me) and (not agree or int((own == theirs).sum()) >= agree):
+                            groups.join(place, me)
+                            a.append(node)
+                            b.append(other)
                 if not probe:
                     tree.add(value)
-                    places.append(me)
-            ends = np.array(out, dtype=object).reshape(-1, 2)
-            b = np.array(list(ends[:, 1]), dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(list(ends[:, 0]), pa.int64()), pa.array(b)], names=["a", "b"])
+                    members.append((me, node, own))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return rows.repartition(*shard).sortWithinPartitions(*shard, "probe", "fp").mapInArrow(run, "a long, b long")
+    shard = [*shard, "low", "high"]
+    rows = rows.select(*shard, "probe", "fp", "node", "sketch")
+    return rows.repartition(*shard).sortWithinPartitions(*shard, "probe", "node").mapInArrow(run, "a long, b long")
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES) -> DataFrame:
+    """(a, b): fingerprints (column ``fp``, each once) that differ in 1 to ``radius`` bits, enough to join all that are linked."""
+    masks = F.array(*[F.struct(F.lit(i).alias("pair"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(block_masks(radius))])
+    shard = ["pair", "bits"]
+    rows = _in_trees(nodes.select(F.col("fp").alias("node"), F.inline(masks)), shard, tree_nodes)
+    return _linked(rows.withColumns({"fp": F.col("node"), "sketch": F.lit(None).cast("binary")}), shard, radius)
+
+
+def _named(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component_id) from (node, least id) and the links between nodes."""
+    star = stars(edges)
+    member = star.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    member = member.union(star.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    member = member.join(nodes, "node")
+    label = member.groupBy("root").agg(F.min("least").alias("component_id"))
+    member = member.join(label, "root").select("node", "component_id")
+    named = nodes.join(member, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
+    # written, so that the join with the rows of a very common node is one that Spark can split
+    return cut_lineage(named)
 
 
 def near_duplicates(
@@ -168,12 +208,89 @@ def near_duplicates(
 ) -> DataFrame:
     """(doc_id, fp, component_id): the smallest id that links of at most ``radius`` bits reach."""
     prints = cut_lineage(fingerprints(docs, width, id_col, text_col))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    star = stars(links(nodes.select("fp"), radius, tree_nodes))
-    member = star.select(F.col("a").alias("fp"), F.col("b").alias("root"))
-    member = member.union(star.select(F.col("b").alias("fp"), F.col("b").alias("root")).distinct())
-    member = member.join(nodes, "fp")
-    label = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = member.join(label, "root").select("fp", "component_id")
-    named = nodes.join(member, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    nodes = prints.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("least"))
+    named = _named(nodes, links(nodes.select(F.col("node").alias("fp")), radius, tree_nodes))
+    return prints.join(named, prints["fp"] == named["node"]).select("doc_id", "fp", "component_id")
+
+
+# ---- near copies: wider fingerprint distances, in shards of similar texts
+
+
+def sketch(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per text: a number for its words, its fingerprint, keys of its bands, and its min-hashes (16 bits each)."""
+    texts = [t.lower() for t in texts]
+    words = Words(texts)
+    hashes = words.hashes()
+    n = len(texts)
+    whole = words.whole(width)
+    windows = mixed(window_hashes(hashes, width)[whole])
+    owner = words.owner()[np.flatnonzero(whole)]
+    own = np.array([xxh64_intdigest(b" ".join(t.split()), 5) for t in texts], dtype=np.uint64)
+    # texts with fewer words than a shingle have one of all their words
+    short = np.flatnonzero(words.counts < width)
+    windows, owner = np.concatenate([windows, mixed(own[short].copy())]), np.concatenate([owner, short])
+    order = np.argsort(owner, kind="stable")
+    windows, owner = windows[order], owner[order]
+    at = np.searchsorted(owner, np.arange(n))
+    ends = np.r_[at[1:], len(owner)]
+    prints = np.empty(n, dtype=np.uint64)
+    for i, (s, e) in enumerate(zip(at.tolist(), ends.tolist())):
+        ones = np.zeros(64, dtype=np.int64)
+        for b in range(s, e, BLOCK):
+            ones += np.unpackbits(windows[b : min(e, b + BLOCK)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        prints[i] = int.from_bytes(np.packbits(2 * ones > e - s).tobytes(), "big")
+    least = np.empty((n, MIN_HASHES), dtype=np.uint64)
+    factors = np.random.default_rng(5).integers(0, 2**63, size=MIN_HASHES, dtype=np.uint64) * U(2) + U(1)
+    high = windows >> U(32)
+    for k, factor in enumerate(factors):
+        least[:, k] = np.minimum.reduceat((windows ^ high) * factor, at) if n else 0
+    keys = least[:, : BANDS * BAND_ROWS].reshape(n, BANDS, BAND_ROWS)
+    band = np.zeros((n, BANDS), dtype=np.uint64)
+    for r in range(BAND_ROWS):
+        band = mixed(band * U(31) + keys[:, :, r])
+    return own, prints, band, (least >> U(48)).astype(np.uint16)
+
+
+def near_copies(
+    docs: DataFrame,
+    width: int = COPY_WORDS,
+    similarity: float = SIMILARITY,
+    radius: int = COPY_RADIUS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    tree_nodes: int = TREE_NODES,
+) -> DataFrame:
+    """(doc_id, component_id): texts joined by links of at least about ``similarity`` on word shingles.
+
+    At 0.8 on five words fingerprints differ in ten bits or so, too many for shards by equal
+    blocks. Here a shard holds the texts that agree in a band of min-hashes, and its
+    BK-trees are searched to ``radius`` bits. A hit is a link if the min-hashes put the
+    similarity of the shingle sets at no less than ``similarity`` less one standard error.
+    Texts equal in their words are one node from the start.
+    """
+
+    def run(batches):
+        for batch in batches:
+            texts = encoded(batch.column(1).to_pylist())
+            for a, b in pieces(texts, PIECE_BYTES):
+                own, prints, band, least = sketch(texts[a:b], width)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(a, b - a),
+                        pa.array(own.view(np.int64)),
+                        pa.array(prints.view(np.int64)),
+                        pa.array([row.tolist() for row in band.view(np.int64)], pa.list_(pa.int64())),
+                        pa.array([row.tobytes() for row in least], pa.binary()),
+                    ],
+                    names=["doc_id", "node", "fp", "bands", "sketch"],
+                )
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    prints = cut_lineage(rows.mapInArrow(run, "doc_id long, node long, fp long, bands array<long>, sketch binary"))
+    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("least"))
+    facts = prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("sketch").alias("sketch"))
+    banded = prints.select("node", F.posexplode("bands").alias("band", "value")).distinct()
+    found = _in_trees(banded, ["band", "value"], tree_nodes).join(facts, "node")
+    agree = int(MIN_HASHES * (similarity - (similarity * (1 - similarity) / MIN_HASHES) ** 0.5))
+    named = _named(nodes, _linked(found, ["band", "value"], radius, agree))
+    return prints.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
