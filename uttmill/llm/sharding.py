@@ -68,7 +68,9 @@ def cuts(sizes: np.ndarray, shards: int) -> list[int]:
     for rest in range(shards - 1, 0, -1):
         even = ends[start] + (ends[n] - ends[start]) / (rest + 1)
         at = int(np.searchsorted(ends, even, side="left"))
-        if at > start and even - ends[at - 1] < ends[min(at, n)] - even:
+        at = min(at, n)
+        # the nearer end, but no shard without rows while rows are left
+        if ends[at - 1] > ends[start] and even - ends[at - 1] < ends[at] - even:
             at -= 1
         most = int(np.searchsorted(ends, ends[start] + capacity, side="right")) - 1
         start = max(start, min(max(at, earliest[rest]), most))
