@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from uttmill.functions.text import ENTITIES_13A, TOKENIZER_13A
 from uttmill.sources.readers import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,10 +60,11 @@ def clips(spark, folder):
 
 
 def pairs(spark, folder):
-    """conversations as references (turn 0) and hypotheses (turn 1), whole texts."""
-    turns = table(spark, folder, "conversations")
-    first = turns.where("turn = 0").select("conv_id", F.col("text").alias("ref"))
-    second = turns.where("turn = 1").select("conv_id", F.col("text").alias("hyp"))
+    """conversations as references (turn 2k) and hypotheses (turn 2k + 1), whole texts; ``conv_id`` counts pairs."""
+    pair = F.shiftleft(F.col("conv_id"), 20) + F.floor(F.col("turn") / 2)
+    turns = table(spark, folder, "conversations").select(pair.alias("conv_id"), (F.col("turn") % 2).alias("side"), "text")
+    first = turns.where("side = 0").select("conv_id", F.col("text").alias("ref"))
+    second = turns.where("side = 1").select("conv_id", F.col("text").alias("hyp"))
     return first.join(second, "conv_id").select(
         F.col("conv_id").cast("string").alias("utt"),
         (F.col("conv_id") % 10).cast("string").alias("spk"),
@@ -73,12 +75,13 @@ def pairs(spark, folder):
 
 
 def templates(spark, folder):
-    """First and last word of the benchmark texts as (pos, prefix, postfix)."""
-    words = F.split("text", r"[\s\x1C-\x1F\x85\p{Z}]+")
-    return table(spark, folder, "benchmark").select(
+    """The halves of the benchmark texts as (pos, prefix, postfix)."""
+    rows = table(spark, folder, "benchmark").withColumn("w", F.split("text", r"[\s\x1C-\x1F\x85\p{Z}]+"))
+    half = F.floor((F.size("w") + 1) / 2).cast("int")
+    return rows.select(
         F.col("item_id").alias("pos"),
-        F.concat(words[0], F.lit(" ")).alias("prefix"),
-        F.concat(F.lit(" "), F.element_at(words, -1)).alias("postfix"),
+        F.concat(F.array_join(F.slice("w", F.lit(1), half), " "), F.lit(" ")).alias("prefix"),
+        F.concat(F.lit(" "), F.array_join(F.slice("w", half + 1, F.size("w") - half), " ")).alias("postfix"),
     )
 
 
@@ -107,6 +110,18 @@ def words_sql(x: str) -> str:
     return f"list_filter(regexp_split_to_array({x}, '{WS}+'), lambda t: t <> '')"
 
 
+def tokens_13a_sql(x: str) -> str:
+    """Words and punctuation as the 13a tokenizer separates them."""
+    x = f"replace(replace(replace({x}, '<skipped>', ''), '-' || chr(10), ''), chr(10), ' ')"
+    for name, char in ENTITIES_13A:
+        x = f"replace({x}, '{name}', '{char}')"
+    x = f"' ' || {x} || ' '"
+    for pattern, by in TOKENIZER_13A:
+        by = by.replace("$", "\\")
+        x = f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
+    return words_sql(x)
+
+
 def chars_sql(x: str) -> str:
     return f"regexp_extract_all({x}, '(?s).')"
 
@@ -129,8 +144,9 @@ MANIFEST = """m AS (SELECT lang||'_'||source||'-audio-test-'||doc_id AS utt, sou
 CLIPS = """c AS (SELECT 'common_voice_'||lang||'_'||doc_id||'.mp3' AS clip, lang, source AS spk, text,
   n_chars AS cost, doc_id FROM documents)"""
 
-PAIRS = """p AS (SELECT a.conv_id::VARCHAR AS utt, (a.conv_id % 10)::VARCHAR AS spk, a.text AS ref, b.text AS hyp, a.conv_id
-  FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1)"""
+PAIRS = """pt AS (SELECT (conv_id << 20) + turn // 2 AS conv_id, turn % 2 AS side, text FROM conversations),
+ p AS (SELECT a.conv_id::VARCHAR AS utt, (a.conv_id % 10)::VARCHAR AS spk, a.text AS ref, b.text AS hyp, a.conv_id
+  FROM pt a JOIN pt b ON a.conv_id = b.conv_id AND a.side = 0 AND b.side = 1)"""
 
-TEMPLATES = f"""t AS (SELECT item_id AS pos, regexp_split_to_array(text, '{WS}+')[1]||' ' AS prefix,
-  ' '||regexp_split_to_array(text, '{WS}+')[-1] AS postfix FROM benchmark)"""
+TEMPLATES = f"""tw AS (SELECT item_id AS pos, regexp_split_to_array(text, '{WS}+') AS w FROM benchmark),
+ t AS (SELECT pos, array_to_string(w[1:(len(w) + 1) // 2], ' ')||' ' AS prefix, ' '||array_to_string(w[(len(w) + 1) // 2 + 1:], ' ') AS postfix FROM tw)"""

@@ -201,11 +201,12 @@ def b14(spark, d):
     return rows.select("conv_id", "turn", _joined("y_in"), _joined("y_out"), F.size("y_in").cast("bigint").alias("n"))
 
 
-# Score sheets: words of the benchmark texts as syllables, their first letters as phones.
+# Score sheets: words of the benchmark texts as syllables, cut into 1 to 4 pieces as phones.
 @query(
     "j17_score_label_align",
     r"""WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda t: t <> '') AS l FROM benchmark),
-    s AS (SELECT item_id, k - 1 AS k, CASE WHEN k % 6 = 0 THEN '—' ELSE l[k] END AS syllable, string_split(l[k], '')[1:1 + (k - 1) % 4] AS ph,
+    s AS (SELECT item_id, k - 1 AS k, CASE WHEN k % 6 = 0 THEN '—' ELSE l[k] END AS syllable, list_transform(range(0, least(len(l[k]), 1 + (k - 1) % 4)), lambda i: substr(l[k], 1 + i * len(l[k]) // least(len(l[k]), 1 + (k - 1) % 4),
+        (i + 1) * len(l[k]) // least(len(l[k]), 1 + (k - 1) % 4) - i * len(l[k]) // least(len(l[k]), 1 + (k - 1) % 4))) AS ph,
       (k - 1) * 0.5::DOUBLE AS st, (k - 1) * 0.5::DOUBLE + 0.1::DOUBLE * (1 + len(l[k])) AS et, 60 + len(l[k]) AS note FROM (SELECT item_id, l, unnest(range(1, len(l) + 1)) AS k FROM w)),
     p AS (SELECT item_id, k, syllable, note, et - st AS dur, len(ph) AS n, unnest(ph) AS phone, generate_subscripts(ph, 1) - 1 AS j FROM s),
     x AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY k, j) - 1 AS index FROM p),
@@ -219,7 +220,12 @@ def j17(spark, d):
     rows = table(spark, d, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("utt"), words.alias("w"))
 
     def phones(w, i):
-        return F.slice(F.regexp_extract_all(w, F.lit("."), 0), 1, 1 + F.pmod(i, F.lit(4)))
+        n = F.least(F.length(w), 1 + F.pmod(i, F.lit(4)))
+
+        def edge(k):
+            return F.floor(k * F.length(w) / n).cast("int")
+
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substring(w, edge(k) + 1, edge(k + 1) - edge(k)))
 
     syllables = F.transform(
         "w",

@@ -72,10 +72,13 @@ def d3(spark, d):
     return _waves(spark, d).select("utt", F.round(power, 6).alias("power"))
 
 
-# Noises: every vector, cut to 40 samples or doubled, so that both wrapping and cropping occur.
-_NOISY = f"""{_FRAMES.replace('> 0.9', '> 0.01')}, sm AS (SELECT utt, generate_subscripts(x, 1) - 1 AS i, unnest(x) AS v FROM wv),
- ap AS (SELECT sm.utt, avg(v * v) AS power FROM sm JOIN fa ON fa.utt = sm.utt AND fa.frame = least(i // 8, 6) WHERE active GROUP BY sm.utt),
- po AS (SELECT vec_id AS noise_id, CASE WHEN vec_id % 2 = 0 THEN e[1:40] ELSE e || e END AS noise, row_number() OVER (ORDER BY {digest_sql(SEED, 'vec_id')}) - 1 AS slot
+# Waves are vectors three times over, noises vectors once or five times, so that both wrapping and cropping occur.
+_THRICE = _FRAMES.replace("> 0.9", "> 0.01").replace(
+    "list_transform(embedding, lambda x: x::DOUBLE) AS x", "list_transform(embedding || embedding || embedding, lambda x: x::DOUBLE) AS x"
+)
+_NOISY = f"""{_THRICE}, sm AS (SELECT utt, generate_subscripts(x, 1) - 1 AS i, unnest(x) AS v FROM wv),
+ ap AS (SELECT sm.utt, avg(v * v) AS power FROM sm JOIN fa ON fa.utt = sm.utt AND fa.frame = least(i // 8, 22) WHERE active GROUP BY sm.utt),
+ po AS (SELECT vec_id AS noise_id, CASE WHEN vec_id % 2 = 0 THEN e ELSE e || e || e || e || e END AS noise, row_number() OVER (ORDER BY {digest_sql(SEED, 'vec_id')}) - 1 AS slot
    FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)),
  dr AS (SELECT utt, x, CASE WHEN {unit_sql(SEED, "'apply'", 'utt')} <= 0.8 THEN {slot_sql(SEED, '(SELECT count(*) FROM po)', 'utt')} END AS slot,
    -3 + 7 * {unit_sql(SEED, "'db'", 'utt')} AS db FROM wv),
@@ -96,9 +99,10 @@ def d4(spark, d):
     whole = table(spark, d, "embeddings").withColumn("e", F.col("embedding").cast("array<double>"))
     pool = whole.select(
         F.col("vec_id").alias("noise_id"),
-        F.when(F.col("vec_id") % 2 == 0, F.slice("e", 1, 40)).otherwise(F.concat("e", "e")).alias("noise"),
+        F.when(F.col("vec_id") % 2 == 0, F.col("e")).otherwise(F.concat("e", "e", "e", "e", "e")).alias("noise"),
     )
-    noisy = signals.add_noise(_waves(spark, d), pool, "x", -3.0, 4.0, 0.8, SEED, short_share=0.7, length=16, shift=8)
+    waves = _waves(spark, d).withColumn("x", F.concat("x", "x", "x"))
+    noisy = signals.add_noise(waves, pool, "x", -3.0, 4.0, 0.8, SEED, short_share=0.7, length=16, shift=8)
     return _rows(noisy, extra=["noise_id", "short_noise"])
 
 
@@ -121,8 +125,8 @@ def d5(spark, d):
     return _rows(_waves(spark, d).withColumn("x", signals.volume_normalize(F.col("x"), 0.5)))
 
 
-# Waves of odd vectors are cut to 24 samples, so that both cutting and reflection occur.
-_MIXED = f"""{_WAVES}, cu AS (SELECT utt, spk, CASE WHEN substr(utt, 2)::BIGINT % 2 = 1 THEN x[1:24] ELSE x END AS x FROM wv),
+# Waves of odd vectors are doubled, so that both cutting and reflection occur.
+_MIXED = f"""{_WAVES}, cu AS (SELECT utt, spk, CASE WHEN substr(utt, 2)::BIGINT % 2 = 1 THEN x || x ELSE x END AS x FROM wv),
  po AS (SELECT utt AS picked, spk AS p_spk, x AS px, row_number() OVER (ORDER BY {digest_sql(SEED, 'utt')}) - 1 AS slot FROM cu),
  dr AS (SELECT utt, spk, x, k, {slot_sql(SEED, '(SELECT count(*) FROM po)', 'utt', 'k')} AS slot FROM cu, range(1, 12) r(k)),
  dg AS (SELECT dr.*, picked, px, (picked <> utt AND p_spk <> spk) AS good FROM dr JOIN po USING (slot)),
@@ -134,7 +138,7 @@ _MIXED = f"""{_WAVES}, cu AS (SELECT utt, spk, CASE WHEN substr(utt, 2)::BIGINT
 @query("d6_mix_sources", f"WITH {_MIXED} SELECT utt, i, round(g0 * x[i + 1] + g1 * px[i + 1], 6) AS value FROM (SELECT *, unnest(range(0, len(x))) AS i FROM ft)")
 def d6(spark, d):
     odd = F.substring("utt", 2, 20).cast("bigint") % 2 == 1
-    cut = _waves(spark, d).withColumn("x", F.when(odd, F.slice("x", 1, 24)).otherwise(F.col("x")))
+    cut = _waves(spark, d).withColumn("x", F.when(odd, F.concat("x", "x")).otherwise(F.col("x")))
     return _rows(signals.mix_sources(cut, "x", 2, 6.0, SEED), "mixture")
 
 

@@ -55,8 +55,21 @@ def test_split_is_contiguous_and_even(utts):
 
 def test_rank_slice_refuses_small_batches(spark):
     df = spark.createDataFrame([(0, 0), (0, 1), (1, 0)], "batch int, place int")
-    with pytest.raises(PySparkException, match="smaller than the number of workers"):
-        batching.rank_slice(df, ["batch"], "place", 2).collect()
+    for action in ("collect", "count"):
+        with pytest.raises(PySparkException, match="smaller than the number of workers"):
+            getattr(batching.rank_slice(df, ["batch"], "place", 2), action)()
+
+
+@pytest.mark.parametrize("category", [[], ["cat"]])
+def test_batches_large_enough_for_all_workers(utts, category):
+    got = batching.batch_by_bins(utts, 20_000, F.col("n"), category=category, min_batch_size=4)
+    keys = [*category, "length_class", "batch"]
+    sizes = [r["count"] for r in got.groupBy(*keys).count().collect()]
+    assert sum(sizes) == 2000 and min(sizes) >= 4
+    placed = batching.order_batches(got.withColumn("n", F.col("n")), keys, "n")
+    assert batching.rank_slice(placed, keys, "place", 4).groupBy("rank").count().count() == 4
+    folded = batching.batch_folded(utts, 12, [F.col("n")], [800], category=category, min_batch_size=4)
+    assert min(r["count"] for r in folded.groupBy(*category, "fold", "batch").count().collect()) >= 4
 
 
 def test_chunk_lengths():

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from uttmill.functions.edits import align_counts
+from uttmill.functions.edits import align_all, align_counts
 from uttmill.functions.text import tokenize
 from uttmill.operators import ngrams, scoring
 from uttmill.plans.evaluation import score_experiment
@@ -43,6 +43,34 @@ def test_alignment_against_a_plain_table(weights):
         assert got == plain_alignment(ref, hyp, weights)
 
 
+def test_pairs_advance_together():
+    rng = random.Random(2)
+    sides = [[np.array([rng.randrange(4) for _ in range(rng.randrange(20))], dtype=np.int64) for _ in range(80)] for _ in "rh"]
+    got = align_all(*sides, (4, 3, 3))
+    assert [tuple(r) for r in got.tolist()] == [plain_alignment(list(r), list(h), (4, 3, 3)) for r, h in zip(*sides)]
+
+
+def test_null_side_is_empty(spark):
+    df = spark.createDataFrame([(["a"], None), (None, ["b", None]), (None, None)], "r array<string>, h array<string>")
+    rows = scoring.with_edit_counts(df, F.col("r"), F.col("h")).collect()
+    assert [(r["corr"], r["sub"], r["del"], r["ins"]) for r in rows] == [(0, 0, 1, 0), (0, 0, 0, 2), (0, 0, 0, 0)]
+
+
+def test_bleu_and_chrf_by_hand(spark):
+    df = spark.createDataFrame([("1", ["the", "cat", "sat"], ["the", "cat", "sits", "now"])], "k string, r array<string>, h array<string>")
+    row = scoring.corpus_bleu(df, "k", F.col("r"), F.col("h")).first()
+    # 2 of 4 words, 1 of 3 pairs; no triple of 2 and no quadruple of 1: 1/(2*2) and 1/(4*1)
+    want = 100 * math.exp((math.log(2 / 4) + math.log(1 / 3) + math.log(1 / 4) + math.log(1 / 4)) / 4)
+    assert math.isclose(row["bleu"], want) and row["brevity"] == 1.0
+    assert scoring.corpus_bleu(df, "k", F.col("r"), F.col("h"), smooth="none").first()["bleu"] == 0
+    assert scoring.corpus_bleu(df, "k", F.col("r"), F.array(F.lit("x"))).first()["bleu"] == 0
+    texts = spark.createDataFrame([("1", "abc", "ab d")], "k string, r string, h string")
+    score = scoring.corpus_chrf(texts, "k", F.col("r"), F.col("h")).first()
+    # abc against abd: letters 2/3, pairs 1/2, triples 0 on both sides
+    mean = (2 / 3 + 1 / 2 + 0) / 3
+    assert math.isclose(score["chrf"], 100 * mean) and score["orders"] == 3
+
+
 def test_counts_add_up(spark):
     df = spark.createDataFrame([("a b c", "a x c d"), ("", "a"), ("a", ""), ("", "")], "r string, h string")
     tokens = df.select(tokenize(F.col("r"), "word").alias("r"), tokenize(F.col("h"), "word").alias("h"))

@@ -5,7 +5,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from uttmill.functions import keys, text
-from uttmill.operators import manifests, vocabulary
+from uttmill.operators import languages, manifests, vocabulary
 
 
 def one(spark, values, expression):
@@ -73,17 +73,17 @@ def test_vocabulary_places_and_ties(spark):
     assert [r["token"] for r in capped.orderBy("id").collect()] == ["<blank>", "<unk>", "a", "b", "<sos/eos>"]
 
 
-@pytest.mark.parametrize("max_map", [0, 100])
-def test_ids_by_map_and_by_join(spark, max_map):
-    df = spark.createDataFrame([("1", "b a a"), ("2", ""), ("3", "zz c")], "k string, t string")
-    vocab = vocabulary.build_vocab(df.where("k <> '3'"), text.tokenize(F.col("t"), "word"))
-    rows = df.select("k", text.tokenize(F.col("t"), "word").alias("x"), text.tokenize(F.col("t"), "word").alias("y"))
-    got = vocabulary.tokens_to_ids(rows, vocab, ["x", "y"], "k", max_map=max_map)
-    assert [(r["k"], r["x"], r["y"]) for r in got.orderBy("k").collect()] == [
-        ("1", [3, 2, 2], [3, 2, 2]),
-        ("2", [], []),
-        ("3", [1, 1], [1, 1]),
-    ]
+@pytest.mark.parametrize("more", [0, 600])
+def test_ids_of_null_empty_and_repeated_rows(spark, more):
+    rows = [("1", ["b", "a", "a"], None), ("2", [], ["a"]), ("3", ["zz", None], []), (None, ["a"], ["b"]), ("5", ["a"], None), ("5", ["a"], None)]
+    df = spark.createDataFrame(rows, "k string, x array<string>, y array<string>")
+    listed = [(0, "<blank>"), (1, "<unk>"), (2, "a"), (3, "b"), *((4 + i, f"w{i}") for i in range(more))]
+    vocab = spark.createDataFrame(listed, "id long, token string")
+    got = vocabulary.tokens_to_ids(df, vocab, ["x", "y"])
+    assert sorted([(r["k"], r["x"], r["y"]) for r in got.collect()], key=str) == sorted(
+        [("1", [3, 2, 2], None), ("2", [], [2]), ("3", [1, 1], []), (None, [2], [3]), ("5", [2], None), ("5", [2], None)], key=str
+    )
+    assert got.columns == df.columns
 
 
 def test_unknown_reference_and_unknown_hypothesis(spark):
@@ -102,11 +102,51 @@ def test_strict_join_names_the_missing_key(spark):
     left = spark.createDataFrame([("a",), ("b",)], "k string")
     right = spark.createDataFrame([("a", 1)], "k string, v int")
     assert manifests.strict_join(left, right, "k", "drop").count() == 1
-    with pytest.raises(PySparkException, match="no entry for k b"):
-        manifests.strict_join(left, right, "k").collect()
+    joined = manifests.strict_join(left, right, "k")
+    for action in (joined.collect, joined.count, joined.select("v").collect):
+        with pytest.raises(PySparkException, match="no entry for k b"):
+            action()
+    assert manifests.strict_join(left.where("k = 'a'"), right, "k").count() == 1
+
+
+def test_strict_operators_raise_without_their_key(spark):
+    utts = spark.createDataFrame([("u", 1, "xx")], "utt string, source int, code string")
+    table = spark.createDataFrame([(1, "en", "English")], "source int, code string, name string")
+    pairs = spark.createDataFrame([("p", "h")], "premise string, hyp string")
+    audio = spark.createDataFrame([("other", "a.wav")], "sentence string, audio string")
+    segments = spark.createDataFrame([("u", "r", 0.0, 1.0)], "utt string, recording string, start double, end double")
+    recordings = spark.createDataFrame([("q", "s")], "recording string, source string")
+    source = spark.createDataFrame([(1, 0, "a")], "id int, pos int, audio string")
+    target = spark.createDataFrame([(1, 0, "t")], "id int, pos int, text string")
+    manifest = spark.createDataFrame([("b", "v")], "utt string, value string")
+    labels = spark.createDataFrame([(7, "x")], "idx int, label string")
+    rows = spark.createDataFrame([("8", "r")], "idx string, value string")
+    for df in (
+        languages.lang_names(utts, table).select("name"),
+        manifests.attach_sentence_audio(pairs, audio, ["hyp"]).select("hyp_audio"),
+        manifests.segments_to_utts(segments, recordings).select("source"),
+        manifests.translation_pairs(source, target, manifest, F.col("audio")).select("value"),
+        manifests.attach_labels(rows, labels).select("label"),
+    ):
+        for action in (df.collect, df.count):
+            with pytest.raises(PySparkException, match="no entry for"):
+                action()
 
 
 def test_combine_refuses_duplicates(spark):
     df = spark.createDataFrame([("a", "x")], "utt string, text string")
-    with pytest.raises(ValueError, match="duplicate utterance: a"):
-        manifests.combine([df, df])
+    other = spark.createDataFrame([("b", "x")], "utt string, text string")
+    assert manifests.combine([df, other]).count() == 2
+    for action in (manifests.combine([df, df]).count, manifests.combine([df, df]).select("text").collect):
+        with pytest.raises(PySparkException, match="duplicate utterance: a"):
+            action()
+
+
+def test_13a_tokens(spark):
+    cases = {
+        "Hello, world! It's 3.14 - \"fine\"-ish.": "Hello , world ! It's 3.14 - \" fine \" -ish .".split(),
+        "a&amp;b &lt;x&gt;": "a & b < x >".split(),
+        "10-20 1,000 e.g., x": "10 - 20 1,000 e . g . , x".split(),
+        "": [],
+    }
+    assert one(spark, list(cases), text.tokens_13a) == list(cases.values())

@@ -1,8 +1,8 @@
 """Alignment counts of two token arrays.
 
 Spark has an edit distance but no alignment counts.  The pandas function below is
-the one per-row helper: a row of the table of costs is a handful of numpy calls,
-and only one row is kept.  It sees whole token lists.
+the one helper: a step advances the tables of costs of many pairs by one reference
+token, and only one row of each is kept.  It sees whole token lists.
 """
 
 from __future__ import annotations
@@ -19,50 +19,80 @@ from ..fixed_values import REPORT_WEIGHTS
 _COUNTS = "struct<corr:bigint,sub:bigint,del:bigint,ins:bigint>"
 
 
-def align_counts(ref: np.ndarray, hyp: np.ndarray, weights: Sequence[int]) -> tuple[int, int, int, int]:
-    """(corr, sub, del, ins) of the cheapest alignment; ties go to match-or-sub, del, ins.
+#: pairs whose tables of costs advance together
+PAIRS = 256
+
+
+def align_all(refs: list[np.ndarray], hyps: list[np.ndarray], weights: Sequence[int]) -> np.ndarray:
+    """Rows (corr, sub, del, ins) of the cheapest alignments; ties go to match-or-sub, del, ins.
 
     A cell is the pair (cost, substitutions).  Costs are whole numbers, and an
     insertion run ending at j started at some k <= j: the running minimum of
-    (cost - ins*k, -k, substitutions) in one integer finds all runs of a row.
+    (cost - ins*k, -k, substitutions) in one integer finds all runs of a row.  One step
+    advances all pairs by one reference token; a pair whose reference is over keeps its row.
     """
     w_sub, w_del, w_ins = weights
-    n, m = len(ref), len(hyp)
-    at = np.arange(m + 1, dtype=np.int64)
-    bits = int(max(n, m, 1)).bit_length() + 1
+    n, m = (np.array([len(x) for x in side], dtype=np.int64) for side in (refs, hyps))
+    left, right = (np.full((len(refs), int(k.max(initial=0))), fill, dtype=np.int64) for k, fill in ((n, -1), (m, -2)))
+    for table, side in ((left, refs), (right, hyps)):
+        for row, tokens in zip(table, side):
+            row[: len(tokens)] = tokens
+    at = np.arange(right.shape[1] + 1, dtype=np.int64)
+    bits = int(max(left.shape[1], right.shape[1], 1)).bit_length() + 1
     mask = (1 << bits) - 1
-    cost, subs = at * w_ins, np.zeros(m + 1, dtype=np.int64)
-    base, base_subs = np.empty_like(cost), np.empty_like(subs)
-    for token in ref:
-        differs = (hyp != token).astype(np.int64)
-        base[0], base_subs[0] = cost[0] + w_del, subs[0]
-        diagonal, down = cost[:-1] + differs * w_sub, cost[1:] + w_del
+    cost = np.repeat((at * w_ins)[None, :], len(refs), axis=0)
+    subs = np.zeros_like(cost)
+    base, base_subs = np.empty_like(cost), np.empty_like(cost)
+    for i in range(left.shape[1]):
+        differs = (right != left[:, i : i + 1]).astype(np.int64)
+        base[:, 0], base_subs[:, 0] = cost[:, 0] + w_del, subs[:, 0]
+        diagonal, down = cost[:, :-1] + differs * w_sub, cost[:, 1:] + w_del
         take = diagonal <= down
-        base[1:] = np.where(take, diagonal, down)
-        base_subs[1:] = np.where(take, subs[:-1] + differs, subs[1:])
-        packed = ((base - w_ins * at) << (2 * bits)) + ((m - at) << bits) + base_subs
-        best = np.minimum.accumulate(packed)
-        cost, subs = (best >> (2 * bits)) + w_ins * at, best & mask
-    total, sub = int(cost[m]), int(subs[m])
+        base[:, 1:] = np.where(take, diagonal, down)
+        base_subs[:, 1:] = np.where(take, subs[:, :-1] + differs, subs[:, 1:])
+        packed = ((base - w_ins * at) << (2 * bits)) + ((len(at) - at) << bits) + base_subs
+        best = np.minimum.accumulate(packed, axis=1)
+        going = (i < n)[:, None]
+        cost = np.where(going, (best >> (2 * bits)) + w_ins * at, cost)
+        subs = np.where(going, best & mask, subs)
+    pair = np.arange(len(refs))
+    total, sub = cost[pair, m], subs[pair, m]
     # rest = w_del*del + w_ins*ins and del - ins = n - m
     rest = total - w_sub * sub
     ins = (rest - w_del * (n - m)) // (w_del + w_ins)
     dele = ins + n - m
-    return n - sub - dele, sub, dele, ins
+    return np.stack([n - sub - dele, sub, dele, ins], axis=1)
+
+
+def align_counts(ref: np.ndarray, hyp: np.ndarray, weights: Sequence[int]) -> tuple[int, int, int, int]:
+    """(corr, sub, del, ins) of one pair."""
+    return tuple(int(x) for x in align_all([ref], [hyp], weights)[0])
+
+
+def _alike(n: np.ndarray, m: np.ndarray) -> list[np.ndarray]:
+    """Pairs in groups of at most ``PAIRS`` whose lengths differ by a quarter at most."""
+    steps = [np.floor(np.log(k + 1) / np.log(1.25)).astype(np.int64) for k in (n, m)]
+    order = np.lexsort(steps)
+    new = [np.diff(s[order]) != 0 for s in steps]
+    parts = np.split(order, np.flatnonzero(new[0] | new[1]) + 1)
+    return [part[i : i + PAIRS] for part in parts for i in range(0, len(part), PAIRS)]
 
 
 def edit_counts(ref: Column, hyp: Column, weights: Sequence[int] = REPORT_WEIGHTS) -> Column:
-    """corr, sub, del and ins of two ARRAY<STRING> columns."""
+    """corr, sub, del and ins of two ARRAY<STRING> columns; null is empty."""
     weights = tuple(int(w) for w in weights)
 
     @F.pandas_udf(_COUNTS)
     def counts(refs: pd.Series, hyps: pd.Series) -> pd.DataFrame:
-        rows = []
-        for r, h in zip(refs, hyps):
-            codes = {}
-            left = np.array([codes.setdefault(t, len(codes)) for t in r], dtype=np.int64)
-            right = np.array([codes.setdefault(t, len(codes)) for t in h], dtype=np.int64)
-            rows.append(align_counts(left, right, weights))
-        return pd.DataFrame(rows, columns=["corr", "sub", "del", "ins"])
+        sides = [x if x is not None else () for x in (*refs, *hyps)]
+        lengths = np.array([len(x) for x in sides])
+        tokens = np.array([t for x in sides for t in x], dtype=object)
+        codes = np.split(pd.factorize(tokens, use_na_sentinel=False)[0], np.cumsum(lengths)[:-1])
+        left, right = codes[: len(refs)], codes[len(refs) :]
+        n, m = lengths[: len(refs)], lengths[len(refs) :]
+        out = np.zeros((len(refs), 4), dtype=np.int64)
+        for part in _alike(n, m):
+            out[part] = align_all([left[k] for k in part], [right[k] for k in part], weights)
+        return pd.DataFrame(out, columns=["corr", "sub", "del", "ins"])
 
     return counts(ref, hyp)

@@ -151,3 +151,24 @@ def json_unquote(literal: Column) -> Column:
 def valid_target(prefix: Column, postfix: Column, output: Column) -> Column:
     """An output, and an instruction before or after: all as token arrays."""
     return (F.size(output) > 0) & ((F.size(prefix) > 0) | (F.size(postfix) > 0))
+
+
+# The substitutions of the public 13a tokenizer, in order.
+TOKENIZER_13A = (
+    (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 "),
+    (r"([^0-9])([\.,])", "$1 $2 "),
+    (r"([\.,])([^0-9])", " $1 $2"),
+    (r"([0-9])(-)", "$1 $2 "),
+)
+ENTITIES_13A = (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
+
+
+def tokens_13a(text: Column) -> Column:
+    """Words and punctuation of a text as the public 13a tokenizer separates them."""
+    text = F.replace(F.replace(F.replace(text, F.lit("<skipped>"), F.lit("")), F.lit("-\n"), F.lit("")), F.lit("\n"), F.lit(" "))
+    for name, char in ENTITIES_13A:
+        text = F.replace(text, F.lit(name), F.lit(char))
+    text = F.concat(F.lit(" "), text, F.lit(" "))
+    for pattern, by in TOKENIZER_13A:
+        text = F.regexp_replace(text, pattern, by)
+    return tokenize(squash(text), "word")

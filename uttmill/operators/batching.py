@@ -51,18 +51,20 @@ def _length_class(length: Column) -> Column:
 
 
 def _in_classes(
-    df: DataFrame, classes: list[str], length: Column, capacity: Column, utt: str, hot_rows: int
+    df: DataFrame, classes: list[str], length: Column, capacity: Column, utt: str, min_batch_size: int, hot_rows: int
 ) -> DataFrame:
     """Adds ``batch`` inside each class: rank by (length step, digest of the key) over the capacity.
 
     Rows of one step differ by at most 1/16 in length, so their order inside it is free;
-    the digest makes it even, and a hot class can be cut anywhere.
+    the digest makes it even, and a hot class can be cut anywhere.  The rows of a class are
+    dealt evenly over as many batches as the capacity asks for, or over fewer if a batch
+    would fall below ``min_batch_size``; only a class with fewer rows than that stays below.
     """
     length = length.cast("bigint")
     drop, leading = _leading_bits(length)
     mixed = df.withColumn("_len", length).withColumn("_step", drop * 32 + leading)
     mixed = mixed.withColumn("_row", shuffle_key(0, F.col(utt)))
-    longest = mixed.groupBy(*classes).agg(F.max("_len").alias("_longest"))
+    longest = mixed.groupBy(*classes).agg(F.max("_len").alias("_longest"), F.count(F.lit(1)).alias("_rows"))
     ranked = rank_in_group(
         mixed,
         classes,
@@ -71,11 +73,40 @@ def _in_classes(
         lambda parts: F.col("_step") * parts + F.floor(unit(F.col("_row")) * parts),
         hot_rows,
     )
-    return (
-        ranked.join(longest, classes)
-        .withColumn("batch", F.floor((F.col("_rank") - 1) / capacity).cast("bigint"))
-        .drop("_rank", "_row", "_step", "_len", "_longest")
-    )
+    joined = ranked.join(longest, classes)
+    place = F.floor((F.col("_rank") - 1) / capacity)
+    if min_batch_size > 1:
+        full = F.ceil(F.col("_rows") / capacity)
+        batches = F.greatest(F.lit(1), F.least(full, F.floor(F.col("_rows") / F.lit(min_batch_size))))
+        place = F.floor((F.col("_rank") - 1) * batches / F.col("_rows"))
+    return joined.withColumn("batch", place.cast("bigint")).drop("_rank", "_row", "_step", "_len", "_longest", "_rows")
+
+
+def _merged_classes(df: DataFrame, category: list[str], column: str, least: int) -> DataFrame:
+    """Joins classes to the next larger one until each has ``least`` rows; the largest join the one below.
+
+    There are at most some hundreds of classes in a category, and only their sizes are
+    walked through: from small to large, a class is open until it has enough rows.
+    """
+    group = [F.lit(0).alias("_all")] if not category else [F.col(c) for c in category]
+    sizes = df.groupBy(*group, column).agg(F.count(F.lit(1)).alias("_n"))
+    names = category or ["_all"]
+    listed = sizes.groupBy(*names).agg(F.array_sort(F.collect_list(F.struct(F.col(column).alias("c"), F.col("_n").alias("n")))).alias("_l"))
+    start = F.struct(F.lit(0).cast("bigint").alias("open"), F.array().cast("array<bigint>").alias("ends"))
+
+    def step(state, x):
+        full = state["open"] + x["n"] >= least
+        return F.struct(
+            F.when(full, F.lit(0).cast("bigint")).otherwise(state["open"] + x["n"]).alias("open"),
+            F.when(full, F.concat(state["ends"], F.array(x["c"]))).otherwise(state["ends"]).alias("ends"),
+        )
+
+    ends = F.aggregate("_l", start, step, lambda s: s["ends"])
+    listed = listed.select(*names, F.explode("_l").alias("_x"), ends.alias("_ends"))
+    above = F.filter("_ends", lambda e: e >= F.col("_x.c"))
+    to = F.when(F.size(above) > 0, F.array_min(above)).when(F.size("_ends") > 0, F.array_max("_ends")).otherwise(F.col("_x.c"))
+    moves = listed.select(*category, F.col("_x.c").alias(column), to.alias("_to"))
+    return df.join(F.broadcast(moves) if not category else moves, [*category, column]).withColumn(column, F.col("_to")).drop("_to")
 
 
 def batch_by_bins(
@@ -85,16 +116,20 @@ def batch_by_bins(
     utt: str = "utt",
     dim: int = 1,
     category: Sequence[str] = (),
+    min_batch_size: int = 1,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Adds ``length_class`` and ``batch``; a batch is (category, length_class, batch).
 
     Rows times longest row times ``dim`` stays within ``bins``, but for batches of one
-    row.  Categories are never mixed.
+    row, and of ``min_batch_size`` rows where that is asked for.  Length classes with
+    fewer rows than ``min_batch_size`` join the next longer class.  Categories are never mixed.
     """
     classed = df.withColumn("length_class", _length_class(length.cast("bigint")))
+    if min_batch_size > 1:
+        classed = _merged_classes(classed, list(category), "length_class", min_batch_size)
     capacity = F.greatest(F.lit(1).cast("bigint"), F.floor(F.lit(bins) / (F.col("_longest") * dim)))
-    return _in_classes(classed, [*category, "length_class"], length, capacity, utt, hot_rows)
+    return _in_classes(classed, [*category, "length_class"], length, capacity, utt, min_batch_size, hot_rows)
 
 
 def batch_folded(
@@ -104,14 +139,20 @@ def batch_folded(
     folds: Sequence[int],
     utt: str = "utt",
     category: Sequence[str] = (),
+    min_batch_size: int = 1,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Adds ``fold`` and ``batch``: the batch size is divided by 1 + how often the longest input is folded."""
+    """Adds ``fold`` and ``batch``: the batch size is divided by 1 + how often the longest input is folded.
+
+    Folds with fewer rows than ``min_batch_size`` join the next larger fold.
+    """
     factors = [F.floor(n / F.lit(f)).cast("bigint") for n, f in zip(lengths, folds)]
     factor = F.greatest(*factors) if len(factors) > 1 else factors[0]
     classed = df.withColumn("fold", factor)
+    if min_batch_size > 1:
+        classed = _merged_classes(classed, list(category), "fold", min_batch_size)
     capacity = F.greatest(F.lit(1).cast("bigint"), F.floor(F.lit(size) / (F.col("fold") + 1)))
-    return _in_classes(classed, [*category, "fold"], lengths[0], capacity, utt, hot_rows)
+    return _in_classes(classed, [*category, "fold"], lengths[0], capacity, utt, min_batch_size, hot_rows)
 
 
 def order_batches(
@@ -147,11 +188,11 @@ def batch_summary(df: DataFrame, batch: Sequence[str]) -> DataFrame:
 
 def rank_slice(df: DataFrame, batch: Sequence[str], place: str, world: int) -> DataFrame:
     """Adds ``rank``: worker r takes places r, r + world, …; a batch smaller than the world is an error."""
-    sizes = df.groupBy(*batch).agg(F.count(F.lit(1)).alias("_n"))
-    joined = df.join(sizes, list(batch))
-    rank = F.pmod(F.col(place), F.lit(world)).cast("bigint")
-    too_small = F.raise_error(F.concat(F.lit("batch smaller than the number of workers: "), F.col("_n").cast("string")))
-    return joined.withColumn("rank", F.when(F.col("_n") >= world, rank).otherwise(too_small)).drop("_n")
+    # a batch is bounded by its size
+    sized = df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*batch)))
+    too_small = F.concat(F.lit("batch smaller than the number of workers: "), F.col("_n").cast("string"))
+    checked = sized.where(F.when(F.col("_n") >= world, F.lit(True)).otherwise(F.raise_error(too_small).cast("boolean")))
+    return checked.withColumn("rank", F.pmod(F.col(place), F.lit(world)).cast("bigint")).drop("_n")
 
 
 def epoch_slice(

@@ -116,23 +116,18 @@ def intersect_manifests(tables: dict[str, DataFrame], on: str = "utt") -> DataFr
     return whole.where(everywhere).select(on, *names)
 
 
-def missing_keys(df: DataFrame, table: DataFrame, on: str) -> DataFrame:
-    return df.join(table.select(on), on, "left_anti")
-
-
 def strict_join(df: DataFrame, table: DataFrame, on: str, on_missing: str = "error") -> DataFrame:
     """Lookup of every row's key in ``table`` (unique on ``on``).
 
-    A missing key raises while the job runs, naming the key, or drops the row; the
-    check is part of the join, so no second pass over the data is needed.
+    A missing key raises while the job runs, naming the key, or drops the row.  The
+    check is a filter behind the join: no second pass, and no projection removes it.
     """
     if on_missing == "drop":
         return df.join(table, on)
     marked = df.join(table.withColumn("_found", F.lit(True)), on, "left")
-    key = F.when(F.col("_found"), F.col(on)).otherwise(
-        F.raise_error(F.concat(F.lit(f"no entry for {on} "), F.col(on).cast("string")))
-    )
-    return marked.withColumn(on, key).drop("_found")
+    shown = F.coalesce(F.col(on).cast("string"), F.lit("null"))
+    error = F.raise_error(F.concat(F.lit(f"no entry for {on} "), shown)).cast("boolean")
+    return marked.where(F.when(F.col("_found"), F.lit(True)).otherwise(error)).drop("_found")
 
 
 def translation_pairs(

@@ -84,34 +84,44 @@ def gram_matches(df: DataFrame, key: str, ref: Column, hyp: Column, max_n: int)
     )
 
 
-def corpus_bleu(df: DataFrame, key: str, ref: Column, hyp: Column, max_n: int = 4) -> DataFrame:
+def corpus_bleu(df: DataFrame, key: str, ref: Column, hyp: Column, max_n: int = 4, smooth: str = "exp") -> DataFrame:
     """One row: bleu (0..100), brevity penalty, lengths and the n-gram precisions.
 
-    An order without a match makes the score 0.
+    ``exp`` smoothing: the k-th order without a match has the precision 1 / (2^k * its
+    n-grams).  ``none``: such an order makes the score 0.  The score is 0 without any match
+    or when the hypotheses are shorter than an order.
     """
-    matches = gram_matches(df, key, ref, hyp, max_n)
-    one = matches.agg(
-        F.max(F.when(F.col("n") == 1, F.col("ref_total"))).alias("ref_len"),
-        F.max(F.when(F.col("n") == 1, F.col("hyp_total"))).alias("hyp_len"),
-        *[
-            F.coalesce(
-                F.max(F.when((F.col("n") == n) & (F.col("hyp_total") > 0), F.col("matched") / F.col("hyp_total"))), F.lit(0.0)
-            ).alias(f"p{n}")
-            for n in range(1, max_n + 1)
-        ],
-    )
+    if smooth not in ("exp", "none"):
+        raise ValueError(f"unknown smoothing: {smooth}")
+    orders = range(1, max_n + 1)
+
+    def of(n: int, column: str) -> Column:
+        return F.coalesce(F.max(F.when(F.col("n") == n, F.col(column))), F.lit(0))
+
+    one = gram_matches(df, key, ref, hyp, max_n).agg(
+        of(1, "ref_total").alias("ref_len"),
+        of(1, "hyp_total").alias("hyp_len"),
+        *[of(n, c).alias(f"_{c}{n}") for n in orders for c in ("matched", "hyp_total")],
+    )
+    for n in orders:
+        missed = sum(((F.col(f"_matched{k}") == 0).cast("int") for k in range(2, n + 1)), (F.col("_matched1") == 0).cast("int"))
+        share = F.col(f"_matched{n}") / F.col(f"_hyp_total{n}")
+        smoothed = 1 / (F.pow(F.lit(2.0), missed) * F.col(f"_hyp_total{n}")) if smooth == "exp" else F.lit(0.0)
+        precision = F.when(F.col(f"_hyp_total{n}") == 0, F.lit(0.0)).when(F.col(f"_matched{n}") == 0, smoothed).otherwise(share)
+        one = one.withColumn(f"p{n}", precision)
     penalty = F.when(F.col("hyp_len") >= F.col("ref_len"), F.lit(1.0)).otherwise(
-        F.exp(1 - F.col("ref_len") / F.col("hyp_len"))
+        F.when(F.col("hyp_len") > 0, F.exp(1 - F.col("ref_len") / F.col("hyp_len"))).otherwise(F.lit(0.0))
     )
     logs = sum((F.log(f"p{n}") for n in range(2, max_n + 1)), F.log("p1"))
-    usable = F.least(*[F.col(f"p{n}") for n in range(1, max_n + 1)]) > 0
-    return one.withColumn("brevity", penalty).withColumn(
+    usable = (F.least(*[F.col(f"p{n}") for n in orders]) > 0) & (F.greatest(*[F.col(f"_matched{n}") for n in orders]) > 0)
+    scored = one.withColumn("brevity", penalty).withColumn(
         "bleu", F.when(usable, 100 * F.col("brevity") * F.exp(logs / max_n)).otherwise(F.lit(0.0))
     )
+    return scored.select("ref_len", "hyp_len", *[f"p{n}" for n in orders], "brevity", "bleu")
 
 
 def corpus_chrf(df: DataFrame, key: str, ref: Column, hyp: Column, max_n: int = 6, beta: float = 2.0) -> DataFrame:
-    """One row: chrf (0..100), the mean over orders of the character n-gram F-score.
+    """One row: chrf (0..100), the F-score of precision and recall, each averaged over orders.
 
     White space is left out; an order that neither side reaches is not averaged.
     """
@@ -122,12 +132,14 @@ def corpus_chrf(df: DataFrame, key: str, ref: Column, hyp: Column, max_n: int =
     matches = gram_matches(df, key, chars(ref), chars(hyp), max_n).where(
         (F.col("ref_total") > 0) & (F.col("hyp_total") > 0)
     )
-    precision, recall = F.col("matched") / F.col("hyp_total"), F.col("matched") / F.col("ref_total")
+    means = matches.agg(
+        F.coalesce(F.avg(F.col("matched") / F.col("hyp_total")), F.lit(0.0)).alias("p"),
+        F.coalesce(F.avg(F.col("matched") / F.col("ref_total")), F.lit(0.0)).alias("r"),
+        F.count(F.lit(1)).alias("orders"),
+    )
     factor = beta * beta
-    score = F.when(
-        F.col("matched") > 0, (1 + factor) * precision * recall / (factor * precision + recall)
-    ).otherwise(F.lit(0.0))
-    return matches.agg((100 * F.avg(score)).alias("chrf"), F.count(F.lit(1)).alias("orders"))
+    score = F.when(F.col("p") + F.col("r") > 0, 100 * (1 + factor) * F.col("p") * F.col("r") / (factor * F.col("p") + F.col("r")))
+    return means.select(F.coalesce(score, F.lit(0.0)).alias("chrf"), "orders")
 
 
 def accuracy(df: DataFrame, group: str, ref: str, hyp: str) -> DataFrame:

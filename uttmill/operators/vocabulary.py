@@ -11,9 +11,6 @@ from ..fixed_values import BLANK, SOS_EOS, UNKNOWN
 from ..functions.text import tokens_to_text
 from .ranking import dense_index
 
-MAX_MAP = 512
-MAX_BROADCAST_ROWS = 200_000
-
 
 def token_counts(df: DataFrame, tokens: Column) -> DataFrame:
     """(token, n)."""
@@ -47,73 +44,49 @@ def build_vocab(
 
 
 def translate(
-    df: DataFrame,
-    table: DataFrame,
-    columns: Sequence[str],
-    key: str,
-    source: str,
-    target: str,
-    default: Column,
-    max_map: int = MAX_MAP,
+    df: DataFrame, table: DataFrame, columns: Sequence[str], source: str, target: str, default: Column
 ) -> DataFrame:
-    """Replaces every element of the array columns by its partner in ``table``.
+    """Replaces every element of the array columns by its partner in ``table`` (unique on ``source``).
 
-    Up to ``max_map`` entries become a literal map, and no row moves (looking up a map
-    is linear in its size, so it has to stay small).  A larger table is joined element
-    by element: the rows are partitioned by ``key`` before they are exploded, so the
-    elements are regrouped where they are, and Spark broadcasts the table or not by its
-    measured size.
+    The arrays of a row are known by their digest; equal ones are translated once and
+    joined back, so neither a key nor its absence matters.  A null array stays null, an
+    empty one empty, and an element without a partner gets ``default``.  Spark broadcasts
+    the table or not by its measured size.
     """
     columns = list(columns)
-    known = table.select(source, target).take(max_map + 1)
-    if len(known) <= max_map:
-        lookup = F.create_map(*[F.lit(x) for row in known for x in row])
-        return df.select(
-            *[
-                F.transform(c, lambda x: F.coalesce(F.try_element_at(lookup, x), default)).alias(c)
-                if c in columns
-                else c
-                for c in df.columns
-            ]
-        )
+    rows = df.withColumn("_digest", F.md5(F.to_json(F.struct(*columns))))
 
     def places_of(at: int, column: str) -> Column:
-        return F.transform(column, lambda x, i: F.struct(F.lit(at).alias("_at"), i.alias("_pos"), x.alias(source)))
+        places = F.transform(column, lambda x, i: F.struct(F.lit(at).alias("_at"), i.alias("_pos"), x.alias(source)))
+        return F.coalesce(places, F.array().cast(places_type))
 
-    def values_of(at: int) -> Column:
-        return F.transform(F.filter("_places", lambda s: s["_at"] == at), lambda s: s[target])
+    def values_of(at: int, column: str) -> Column:
+        found = F.transform(F.filter("_places", lambda s: s["_at"] == at), lambda s: s[target])
+        return F.when(F.col(column).isNotNull(), F.coalesce(found, F.array().cast(f"array<{target_type}>")))
 
-    entries = table.select(source, target)
-    if entries.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
-        entries = F.broadcast(entries)
-    rows = df.repartition(key)
-    places = F.concat(*[places_of(at, c) for at, c in enumerate(columns)])
+    source_type, target_type = (table.schema[c].dataType.simpleString() for c in (source, target))
+    places_type = f"array<struct<_at:int,_pos:int,{source}:{source_type}>>"
+    once = rows.select("_digest", *columns).dropDuplicates(["_digest"])
     found = (
-        rows.select(key, F.inline_outer(places))
-        .join(entries, source, "left")
-        .withColumn(target, F.when(F.col("_pos").isNotNull(), F.coalesce(F.col(target), default)))
+        once.select("_digest", F.inline(F.concat(*[places_of(at, c) for at, c in enumerate(columns)])))
+        .join(table.select(source, target), source, "left")
+        .withColumn(target, F.coalesce(F.col(target), default))
     )
-    regrouped = found.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct("_at", "_pos", target)))).alias("_places")
-    )
-    values = [values_of(at).alias(c) for at, c in enumerate(columns)]
-    return rows.drop(*columns).join(regrouped.select(key, *values), key).select(*df.columns)
+    regrouped = found.groupBy("_digest").agg(F.array_sort(F.collect_list(F.struct("_at", "_pos", target))).alias("_places"))
+    values = {c: values_of(at, c).alias(c) for at, c in enumerate(columns)}
+    return rows.join(regrouped, "_digest", "left").select(*[values.get(c, F.col(c)) for c in df.columns])
 
 
-def tokens_to_ids(
-    df: DataFrame, vocab: DataFrame, columns: Sequence[str], key: str, unknown: str = UNKNOWN, max_map: int = MAX_MAP
-) -> DataFrame:
+def tokens_to_ids(df: DataFrame, vocab: DataFrame, columns: Sequence[str], unknown: str = UNKNOWN) -> DataFrame:
     """Replaces token columns by id columns; a token outside the vocabulary gets the unknown id."""
     default = F.lit(vocab.where(F.col("token") == unknown).agg(F.max("id")).first()[0])
-    return translate(df, vocab, columns, key, "token", "id", default, max_map)
+    return translate(df, vocab, columns, "token", "id", default)
 
 
-def ids_to_text(
-    df: DataFrame, vocab: DataFrame, ids: Column, key: str, level: str, max_map: int = MAX_MAP
-) -> DataFrame:
+def ids_to_text(df: DataFrame, vocab: DataFrame, ids: Column, level: str) -> DataFrame:
     """Adds ``token`` and ``text`` for a column of ids; an id outside the vocabulary is an error."""
     missing = F.raise_error(F.lit("an id is not in the vocabulary")).cast("string")
-    named = translate(df.withColumn("token", ids), vocab, ["token"], key, "id", "token", missing, max_map)
+    named = translate(df.withColumn("token", ids), vocab, ["token"], "id", "token", missing)
     return named.withColumn("text", tokens_to_text(F.col("token"), level))
 
 
@@ -124,15 +97,6 @@ def length_stats(df: DataFrame, tokens: Column, utt: str, vocab_size: int | Colu
     return df.select(utt, n.alias("n"), F.concat_ws(",", n.cast("string"), size.cast("string")).alias("shape"))
 
 
-def length_summary(stats: DataFrame) -> DataFrame:
-    return stats.agg(
-        F.min("n").alias("min_n"),
-        F.max("n").alias("max_n"),
-        F.avg("n").alias("mean_n"),
-        F.percentile_approx("n", 0.5).alias("median_n"),
-    )
-
-
 def feature_stats(df: DataFrame, feature: str) -> DataFrame:
     """(dim, n, sum, sum_sq) over a column of arrays; partial sums per task."""
     values = df.select(F.posexplode(feature).alias("dim", "v")).withColumn("v", F.col("v").cast("double"))

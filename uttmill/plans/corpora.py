@@ -65,9 +65,7 @@ def parliament(df: DataFrame, dset: str, folder: str) -> DataFrame:
 def prepare_corpora(parts: Sequence[DataFrame], check: bool = True) -> DataFrame:
     """One manifest (dset, utt, spk, source, text); a data set is a column, not a folder."""
     whole = combine([drop_empty_text(p.select(*_COLUMNS)) for p in parts], check=False)
-    if check:
-        assert_unique(whole, ["dset", "utt"], "utterance")
-    return whole
+    return assert_unique(whole, ["dset", "utt"], "utterance") if check else whole
 
 
 def build_instruction_set(
@@ -84,8 +82,7 @@ def build_instruction_set(
     literals; ``utts`` (utt, text, <utt_order>, …).  Invalid targets go, the rest is
     dealt over the utterances, and prefix, postfix and output become token ids.
     """
-    # position in the order (shard, line): a shard has fewer than 2^40 lines
-    order = F.shiftleft(F.col("shard"), 40) + F.col("line")
+    order = F.struct("shard", "line")
     unquoted = rows.select(
         order.alias("_order"),
         strip(F.col("text")).alias("text"),
@@ -93,5 +90,5 @@ def build_instruction_set(
     )
     valid = unquoted.where(valid_target(F.col("prefix"), F.col("postfix"), F.col("output")))
     dealt, leftover = deal_targets(utts, valid, utt_order, "_order", hot_rows)
-    ids = tokens_to_ids(dealt.drop("_order"), vocab, ["prefix", "postfix", "output"], "new_utt")
+    ids = tokens_to_ids(dealt.drop("_order"), vocab, ["prefix", "postfix", "output"])
     return ids, leftover.drop("_order")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import REPORT_WEIGHTS
-from ..functions.text import cleaner_chain, squash, tokenize
+from ..functions.text import cleaner_chain, squash, tokenize, tokens_13a
 from ..operators.manifests import pair_ref_hyp
 from ..operators.scoring import corpus_bleu, corpus_chrf, error_rates, with_edit_counts
 
@@ -75,7 +75,7 @@ def score_experiment(
         cleaner_chain(F.col("ref"), cleaner).alias("ref"),
         (cleaner_chain(F.col("hyp"), hyp_cleaner) if clean_hyp_for_bleu else squash(F.col("hyp"))).alias("hyp"),
     )
-    bleu = corpus_bleu(text_pairs, "utt", tokenize(F.col("ref"), "word"), tokenize(F.col("hyp"), "word")).select(
+    bleu = corpus_bleu(text_pairs, "utt", tokens_13a(F.col("ref")), tokens_13a(F.col("hyp"))).select(
         F.lit(dset).alias("dset"), F.lit("bleu").alias("metric"), F.col("ref_len").alias("n"), F.col("bleu").alias("value")
     )
     chrf = corpus_chrf(text_pairs, "utt", F.col("ref"), F.col("hyp")).select(

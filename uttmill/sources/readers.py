@@ -1,7 +1,7 @@
 """Readers of the text formats a corpus comes in.
 
-Absence is the empty string, never null.  Duplicate keys fail through an
-aggregate, not through a scan on the driver.
+Absence is the empty string, never null.  Duplicate keys fail in the plan, not
+through a scan on the driver.
 """
 
 from __future__ import annotations
@@ -25,14 +25,8 @@ NUMBER_FORMATS = {
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table; one with fewer splits than there are cores is spread over them.
-
-    A small file is one row group and would be one task, whatever is computed from it.
-    A table with enough splits is read as it is, without a shuffle.
-    """
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """A Parquet table, split as Spark splits it."""
+    return spark.read.parquet(path)
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -41,12 +35,15 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def assert_unique(df: DataFrame, keys: Sequence[str], what: str = "key") -> DataFrame:
-    """``df`` itself, after a check that no key occurs twice."""
-    twice = duplicate_keys(df, keys).orderBy(*keys).take(5)
-    if twice:
-        shown = ", ".join("/".join(str(row[k]) for k in keys) for row in twice)
-        raise ValueError(f"duplicate {what}: {shown}")
-    return df
+    """``df`` itself; a key that occurs twice raises while the job runs, naming the key.
+
+    The check is a filter of the plan: nothing runs before the caller's action, and no
+    projection removes it.
+    """
+    times = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    shown = F.concat_ws("/", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
+    error = F.raise_error(F.concat(F.lit(f"duplicate {what}: "), shown)).cast("boolean")
+    return df.withColumn("_times", times).where(F.when(F.col("_times") == 1, F.lit(True)).otherwise(error)).drop("_times")
 
 
 def _key_and_value(line: Column) -> tuple[Column, Column]:

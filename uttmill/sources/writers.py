@@ -20,22 +20,24 @@ def write_manifest(df: DataFrame, path: str, value: str = "value", utt: str = "u
     )
 
 
-def write_data_dir(df: DataFrame, path: str, utt: str = "utt") -> None:
-    """One manifest per column of a wide table."""
-    for column in df.columns:
-        if column != utt:
-            write_manifest(df, f"{path}/{column}", column, utt)
+def _filed(df: DataFrame, folder: str, files: int) -> DataFrame:
+    """Rows together that go to one of the ``files`` files of a folder, so that not every task writes to every folder."""
+    part = F.pmod(F.xxhash64(*[c for c in df.columns if c != folder]), F.lit(files))
+    return df.repartition(F.col(folder), part)
 
 
-def write_shards(df: DataFrame, path: str, n: int, key: str, columns: list[str], seed: int = 0) -> None:
-    """JSON-quoted columns, one record per line, in ``n`` shard folders.
+def write_shards(
+    df: DataFrame, path: str, n: int, key: str, columns: list[str], seed: int = 0, files: int = 1
+) -> None:
+    """JSON-quoted columns, one record per line, in ``n`` shard folders of ``files`` files.
 
-    A shard is a slot of the key, so one very frequent key would fill one shard;
-    rows are spread over files inside a shard by size, not by key.
+    A shard is a slot of the key, so one very frequent key would fill one shard.
     """
+    sharded = df.withColumn("shard", slot(seed, n, F.col(key))).select(
+        "shard", key, *[json_quote(F.col(c)).alias(c) for c in columns]
+    )
     (
-        df.withColumn("shard", slot(seed, n, F.col(key)))
-        .select("shard", key, *[json_quote(F.col(c)).alias(c) for c in columns])
+        _filed(sharded, "shard", files)
         .write.mode("errorifexists")
         .partitionBy("shard")
         .json(path)
@@ -46,9 +48,9 @@ def read_shards(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def write_nbest(df: DataFrame, path: str) -> None:
-    """Hypotheses, one folder per rank."""
-    df.write.mode("errorifexists").partitionBy("nbest").parquet(path)
+def write_nbest(df: DataFrame, path: str, files: int = 8) -> None:
+    """Hypotheses, one folder of ``files`` files per rank."""
+    _filed(df, "nbest", files).write.mode("errorifexists").partitionBy("nbest").parquet(path)
 
 
 def merge_shards_sorted(spark: SparkSession, path: str, key: str = "utt") -> DataFrame:
@@ -56,9 +58,9 @@ def merge_shards_sorted(spark: SparkSession, path: str, key: str = "utt") -> Dat
     return spark.read.option("recursiveFileLookup", "true").parquet(path).orderBy(key)
 
 
-def write_eval_rows(df: DataFrame, path: str) -> None:
-    """(task, pos, ref, hyp) as JSON lines, one folder per task."""
-    df.select("task", "pos", "ref", "hyp").write.mode("errorifexists").partitionBy("task").json(path)
+def write_eval_rows(df: DataFrame, path: str, files: int = 8) -> None:
+    """(task, pos, ref, hyp) as JSON lines, one folder of ``files`` files per task."""
+    _filed(df.select("task", "pos", "ref", "hyp"), "task", files).write.mode("errorifexists").partitionBy("task").json(path)
 
 
 def result_table(df: DataFrame, columns: list[str]) -> DataFrame:
