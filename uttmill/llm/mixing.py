@@ -34,6 +34,7 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 KEY_BINS = 4096
 SEED = 8
+BROADCAST_SOURCES = 50_000
 SYMBOLS = "#*$%&|<>!"
 MIN_QUALITY = 0.05
 #: rates whose mean spreads the keys of all qualities from MIN_QUALITY to 1 over the bins
@@ -109,14 +110,17 @@ def _cuts(facts: DataFrame, weights, max_epochs: int) -> DataFrame:
     last = taken.groupBy(*own).agg(F.max("place").alias("last"))
     # where the bin gives no document, all before it are taken
     found = crossing.join(last, own, "left").select(*own, F.col("bin").alias("last_bin"), "last")
-    return plan.join(found, own, "left").drop("budget")
+    plan = cut_lineage(plan.join(found, own, "left").drop("budget"))
+    # one row per source; a great many sources are joined by a shuffle that Spark can split
+    return F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
 
 
-def _copies(size: Column, place: Column, plan: DataFrame) -> Column:
-    bin_of = _bin(place.getField("key"))
-    some = plan["last_bin"].isNotNull() & (size > 0)
-    chosen = some & ((bin_of < plan["last_bin"]) | ((bin_of == plan["last_bin"]) & plan["last"].isNotNull() & (place <= plan["last"])))
-    return plan["epochs"] + F.when(chosen, 1).otherwise(0)
+def _copies(size: Column, place: Column, plan: str) -> Column:
+    """How often a row is taken; ``plan``: the name of the plan's column."""
+    bin_of, last = _bin(place.getField("key")), F.col(f"{plan}.last")
+    before = bin_of < F.col(f"{plan}.last_bin")
+    upto = (bin_of == F.col(f"{plan}.last_bin")) & last.isNotNull() & (place <= last)
+    return F.col(f"{plan}.epochs") + F.when((size > 0) & F.coalesce(before | upto, F.lit(False)), 1).otherwise(0)
 
 
 def mixture(
@@ -133,10 +137,9 @@ def mixture(
     facts = docs.select(F.col(id_col).alias("doc_id"), _facts(id_col, text_col, source_col, quality, seed).alias("fact"))
     facts = cut_lineage(facts.select("doc_id", "fact.*"))
     plan = _cuts(facts.drop("doc_id"), weights, max_epochs)
-    rows = facts.join(plan, ["no_source", "source"])
-    return rows.select("doc_id", "size", "source_size", "target", _copies(F.col("size"), F.col("place"), plan).alias("copies")).withColumn(
-        "taken", F.col("size") * F.col("copies")
-    )
+    rows = facts.join(plan.select("no_source", "source", F.struct("*").alias("plan")), ["no_source", "source"])
+    copies = _copies(F.col("size"), F.col("place"), "plan")
+    return rows.select("doc_id", "size", "plan.source_size", "plan.target", copies.alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def mixed_documents(
@@ -151,11 +154,11 @@ def mixed_documents(
 ) -> DataFrame:
     """The rows of the mix, all columns, each as often as the mix takes it."""
     name = "fact"
-    while name in docs.columns:
+    while any(c.startswith(name) for c in docs.columns):
         name += "_"
     rows = docs.withColumn(name, _facts(id_col, text_col, source_col, quality, seed))
     plan = _cuts(cut_lineage(rows.select(f"{name}.*")), weights, max_epochs)
-    fact = rows[name]
-    joined = rows.join(plan, (fact["no_source"] == plan["no_source"]) & (fact["source"] == plan["source"]))
-    repeat = F.explode(F.array_repeat(F.lit(0), _copies(fact["size"], fact["place"], plan)))
-    return joined.select(*[rows[c] for c in docs.columns], repeat.alias(name)).drop(name)
+    plan = plan.select(F.struct("*").alias(f"{name}plan"))
+    joined = rows.join(plan, [F.col(f"{name}.{c}") == F.col(f"{name}plan.{c}") for c in ("no_source", "source")])
+    repeat = F.array_repeat(F.lit(0), _copies(F.col(f"{name}.size"), F.col(f"{name}.place"), f"{name}plan"))
+    return joined.withColumn(f"{name}copy", F.explode(repeat)).select(*docs.columns)
