@@ -28,6 +28,10 @@ HEADLINE = [
     "j2_intersect_manifests",
     "w2_dense_index",
     "a15_ngram_counts",
+    "a15_ngram_lm",
+    "a16_perplexity",
+    "t7_score_experiment",
+    "t5_build_instruction_set",
 ]
 
 

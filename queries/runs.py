@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from uttmill.operators import runs
+from uttmill.plans.evaluation import log_rtf
 
 from .registry import query, table
 
@@ -130,10 +131,27 @@ def a20(spark, d):
       CASE event_type WHEN 'view' THEN value END AS length FROM events WHERE event_type IN ('view', 'purchase')""",
 )
 def a20_log(spark, d):
-    words = F.when(F.col("event_type") == "view", F.concat(F.lit("speech length: "), F.col("value").cast("string")))
-    words = words.when(F.col("event_type") == "purchase", F.lit("best hypo: a b")).otherwise(F.lit("beam size 5"))
-    lines = table(spark, d, "events").select("event_id", F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS"), F.lit(" INFO: "), words).alias("line"))
     parsed = runs.parse_log(
-        lines, "line", r"speech length: ([0-9.]+)", "best hypo", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}"
+        _log_lines(spark, d), "line", r"speech length: ([0-9.]+)", "best hypo", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}"
     )
     return parsed.select("event_id", "marker", "length")
+
+
+# The log of each user as a decoding job; times are those of the lines, whole seconds.
+@query(
+    "log_rtf",
+    f"""WITH {_PAIRED}, s AS (SELECT (epoch_us(date_trunc('second', next_ts)) - epoch_us(date_trunc('second', ts))) / 1000000.0::DOUBLE AS decode, value / 16000 AS audio FROM pa)
+    SELECT count(*)::BIGINT AS utterances, round(sum(decode) / sum(audio), 3) AS rtf, round(avg(decode), 6) AS latency FROM s""",
+)
+def rtf_of_logs(spark, d):
+    result = log_rtf(
+        _log_lines(spark, d), "user_id", ["ts", "event_id"], "line", r"speech length: ([0-9.]+)", "best hypo",
+        r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}", 16000.0,
+    )
+    return result.select("utterances", F.round("rtf", 3).alias("rtf"), F.round("latency", 6).alias("latency"))
+
+
+def _log_lines(spark, d):
+    words = F.when(F.col("event_type") == "view", F.concat(F.lit("speech length: "), F.col("value").cast("string")))
+    words = words.when(F.col("event_type") == "purchase", F.lit("best hypo: a b")).otherwise(F.lit("beam size 5"))
+    return table(spark, d, "events").select("event_id", "user_id", "ts", F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS"), F.lit(" INFO: "), words).alias("line"))

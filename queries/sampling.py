@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from uttmill.functions.text import json_quote, json_unquote, strip, tokenize, valid_target
+from uttmill.functions.text import json_quote, json_unquote, squash, strip, tokenize, valid_target
 from uttmill.operators import ranking, sampling, vocabulary
 from uttmill.plans import corpora
+from uttmill.session import scratch_path
 
 from .registry import (
     CLIPS,
@@ -17,6 +18,7 @@ from .registry import (
     manifest,
     query,
     slot_sql,
+    squash_sql,
     strip_sql,
     table,
     templates,
@@ -40,6 +42,23 @@ def s1(spark, d):
     return sample.select("clip", "lang", "round", "cost", "cost_before")
 
 
+@query(
+    "subsample_clips",
+    f"""WITH {CLIPS}, q AS (SELECT regexp_replace(clip, '[.][^.]*$', '') AS utt, clip, lang, {squash_sql('text')} AS text, cost / 8.0::DOUBLE AS seconds FROM c),
+    r AS (SELECT *, row_number() OVER (PARTITION BY lang, text ORDER BY {digest_sql(SEED, 'clip')}, clip) AS round FROM q),
+    o AS (SELECT *, coalesce(sum(seconds) OVER (PARTITION BY lang ORDER BY round, {digest_sql(SEED, 'text')}, text
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS before FROM r)
+    SELECT utt FROM o WHERE before <= 2 * 3600""",
+)
+def subsample(spark, d):
+    durations, folder, out = (scratch_path(spark, f"subsample-{n}") for n in ("durations", "clips", "list"))
+    rows = clips(spark, d)
+    rows.select("clip", (F.col("cost") / 8).alias("seconds")).write.option("sep", "\t").csv(durations)
+    lines = rows.select("lang", F.concat_ws("\t", "spk", "clip", squash(F.col("text"))).alias("value"))
+    lines.write.partitionBy("lang").text(folder)
+    return corpora.subsample_clips(spark, durations, folder, out, 2.0, SEED, "*.txt")
+
+
 @query(
     "w1_seeded_order",
     f"WITH {MANIFEST} SELECT utt, (row_number() OVER (ORDER BY {digest_sql(SEED + 3, 'utt')}) - 1)::BIGINT AS position FROM m",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from uttmill.functions.text import clean_basic, tokens_13a, tokenize
 from uttmill.operators import scoring
-from uttmill.plans.evaluation import score_experiment, scored_pairs
+from uttmill.plans.evaluation import classification_report, score_experiment, scored_pairs
 from uttmill.session import scratch_path
 from uttmill.streaming.hypotheses import score_arriving
 
@@ -188,13 +188,16 @@ _SPEAKERS = f"""{PAIRS}, sp AS (SELECT utt, ref AS r1, hyp AS r2, CASE WHEN conv
 
 @query(
     "j14_permutation_score",
-    f"WITH {_SPEAKERS} SELECT utt, CASE WHEN h1 = r1 THEN '0 1' ELSE '1 0' END AS assignment, 0::BIGINT AS errors FROM sp",
+    # each hypothesis is its reference, one word added or (if it has several) the last one lost
+    f"WITH {_SPEAKERS} SELECT utt, CASE WHEN h1 = r1 THEN '0 1' ELSE '1 0' END AS assignment, (1 + (len({words_sql('r2')}) > 1)::INT)::BIGINT AS errors FROM sp",
 )
 def j14(spark, d):
     straight = F.col("conv_id") % 2 == 0
     rows = pairs(spark, d).select("utt", straight.alias("straight"), *[tokenize(F.col(c), "word").alias(c) for c in ("ref", "hyp")])
     refs = rows.select("utt", F.array("ref", "hyp").alias("refs"))
-    hyps = rows.select("utt", F.when(F.col("straight"), F.array("ref", "hyp")).otherwise(F.array("hyp", "ref")).alias("hyps"))
+    one = F.concat("ref", F.array(F.lit("zzz")))
+    two = F.when(F.size("hyp") > 1, F.slice("hyp", F.lit(1), F.size("hyp") - 1)).otherwise(F.col("hyp"))
+    hyps = rows.select("utt", F.when(F.col("straight"), F.array(one, two)).otherwise(F.array(two, one)).alias("hyps"))
     best = scoring.permutation_score(refs, hyps, 2, 2)
     return best.select("utt", F.array_join(F.col("assignment").cast("array<string>"), " ").alias("assignment"), "errors")
 
@@ -337,3 +340,30 @@ def a21(spark, d):
 def top(spark, d):
     ranks = pairs(spark, d).select("utt", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("nbest"))
     return scoring.top_hypotheses(ranks, 2).select("utt", F.col("nbest").cast("bigint").alias("nbest"))
+
+
+# ---- stored answers to a report
+
+_ANSWERS = """an AS (SELECT lang AS task, CASE quality WHEN 1 THEN 'Yes' ELSE 'No' END AS ref, CASE WHEN doc_id % 11 = 0 THEN 'perhaps' WHEN toxic = 1 THEN 'YES' ELSE 'no' END AS hyp
+  FROM labels JOIN documents USING (doc_id)),
+ cl AS (SELECT task, (lower(ref) = 'yes')::BIGINT AS ref, (lower(hyp) = 'yes')::BIGINT AS hyp FROM an)"""
+
+
+@query(
+    "classification_report",
+    f"""WITH {_ANSWERS}, ce AS (SELECT task, count(*)::BIGINT AS n, avg((ref = hyp)::INT)::DOUBLE AS accuracy, count_if(ref = 1 AND hyp = 1)::DOUBLE AS tp,
+      count_if(ref = 0 AND hyp = 0)::DOUBLE AS tn, count_if(ref = 0 AND hyp = 1)::DOUBLE AS fp, count_if(ref = 1 AND hyp = 0)::DOUBLE AS fn FROM cl GROUP BY task),
+    sc AS (SELECT task, CASE task WHEN 'fr' THEN 'matthews' ELSE 'accuracy' END AS metric, n, CASE WHEN task <> 'fr' THEN accuracy
+      WHEN (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) = 0 THEN 0 ELSE (tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) END AS score FROM ce)
+    SELECT task, metric, n, round(score, 6) AS score FROM sc UNION ALL SELECT 'average', 'macro', count(*), round(avg(score), 6) FROM sc""",
+)
+def report_of_answers(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.col("lang").alias("task"))
+    rows = table(spark, d, "labels").join(docs, "doc_id").select(
+        "task",
+        F.when(F.col("quality") == 1, F.lit("Yes")).otherwise(F.lit("No")).alias("ref"),
+        F.when(F.col("doc_id") % 11 == 0, F.lit("perhaps")).when(F.col("toxic") == 1, F.lit("YES")).otherwise(F.lit("no")).alias("hyp"),
+    )
+    tasks = ("de", "en", "es", "fr")
+    report = classification_report(rows, dict.fromkeys(tasks, ("no", "yes")), {"fr": "matthews"})
+    return report.withColumn("score", F.round("score", 6))

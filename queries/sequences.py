@@ -202,6 +202,24 @@ def b14(spark, d):
 
 
 # Score sheets: words of the benchmark texts as syllables, cut into 1 to 4 pieces as phones.
+@query(
+    "b8_slices_of_bins",
+    # every class is padded out to at least four rows a batch: how the ranks share them
+    """WITH l AS (SELECT count(*) AS n FROM documents) SELECT n::BIGINT AS rows, 4::BIGINT AS ranks, true AS even FROM l""",
+)
+def b8_of_bins(spark, d):
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("utt"), F.col("n_chars").alias("n"))
+    binned = batching.batch_by_bins(rows, 200_000, F.col("n"), min_batch_size=4)
+    placed = batching.order_batches(binned, ["length_class", "batch"], "n")
+    ranked = batching.rank_slice(placed, ["length_class", "batch"], "place", 4)
+    shares = ranked.groupBy("length_class", "batch").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("rank") == 0).alias("first"), F.count_if(F.col("rank") == 3).alias("last"), F.count_distinct("rank").alias("ranks")
+    )
+    return shares.agg(
+        F.sum("n").alias("rows"), F.min("ranks").alias("ranks"), F.bool_and((F.col("first") - F.col("last")).between(0, 1)).alias("even")
+    )
+
+
 @query(
     "j17_score_label_align",
     r"""WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda t: t <> '') AS l FROM benchmark),

@@ -137,17 +137,35 @@ def i7(spark, d):
     return readers.read_task_csv(spark, path, "idx string, sentence string, label string")
 
 
+_ALIGNED = """r AS (SELECT doc_id // 250 AS shard, row_number() OVER (PARTITION BY doc_id // 250 ORDER BY doc_id) - 1 AS line,
+  text, count(*) OVER (PARTITION BY doc_id // 250) AS n FROM documents)"""
+
+
 @query(
     "i8_read_aligned",
-    f"""WITH r AS (SELECT doc_id % 4 AS shard, row_number() OVER (PARTITION BY doc_id % 4 ORDER BY doc_id) - 1 AS line,
-      {squash_sql('text')} AS text, lower(text) AS output, count(*) OVER (PARTITION BY doc_id % 4) AS n FROM documents)
-    SELECT shard::BIGINT AS shard, line::BIGINT AS line, text, output FROM r WHERE line < n - 1""",
+    f"""WITH {_ALIGNED}
+    SELECT shard::BIGINT AS shard, line::BIGINT AS line, {squash_sql('text')} AS text, lower(text) AS output FROM r WHERE line < n - 1""",
 )
 def i8(spark, d):
+    found, _ = _read_aligned(spark, d)
+    return found.select("shard", "line", "text", json_unquote(F.col("output")).alias("output"))
+
+
+@query(
+    "i8_line_counts",
+    f"""WITH {_ALIGNED} SELECT 'text' AS "column", shard::BIGINT AS shard, count(*)::BIGINT AS n FROM r GROUP BY shard
+    UNION ALL SELECT 'output', shard, count(*) - 1 FROM r GROUP BY shard HAVING count(*) > 1""",
+)
+def i8_counts(spark, d):
+    return _read_aligned(spark, d)[1].select("column", "shard", "n")
+
+
+def _read_aligned(spark, d):
+    # a shard has at most 250 documents, however many there are
     by_shard = Window.partitionBy("shard")
     rows = (
         table(spark, d, "documents")
-        .withColumn("shard", F.col("doc_id") % 4)
+        .withColumn("shard", F.floor(F.col("doc_id") / 250))
         .withColumn("line", F.row_number().over(by_shard.orderBy("doc_id")) - 1)
         .withColumn("n", F.count(F.lit(1)).over(by_shard))
     )
@@ -159,8 +177,7 @@ def i8(spark, d):
         folders[name] = scratch_path(spark, f"i8-{name}")
         column = rows.where(kept).select("shard", "line", value.alias("value")).repartition("shard")
         column.sortWithinPartitions("shard", "line").select("shard", "value").write.partitionBy("shard").text(folders[name])
-    found, _ = readers.read_aligned(spark, folders, r"shard=(\d+)")
-    return found.select("shard", "line", "text", json_unquote(F.col("output")).alias("output"))
+    return readers.read_aligned(spark, folders, r"shard=(\d+)")
 
 
 @query("i9_read_durations", "SELECT 'common_voice_'||lang||'_'||doc_id||'.mp3' AS clip, n_chars / 8.0::DOUBLE AS seconds FROM documents")

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import source_command, utt_id_clip, utt_id_parliament, utt_id_read_speech, year_of
 from ..functions.text import json_unquote, strip, tokenize, valid_target
-from ..operators.manifests import combine, drop_empty_text, exclude_ids, semi_filter, text_fallback
+from ..operators.manifests import combine, drop_empty_text, exclude_ids, semi_filter, strict_join, text_fallback
 from ..operators.ranking import HOT_ROWS
-from ..operators.sampling import deal_targets
+from ..operators.sampling import budgeted_diverse_sample, deal_targets
 from ..operators.vocabulary import tokens_to_ids
-from ..sources.readers import assert_unique
+from ..sources.readers import assert_unique, read_allowlist, read_clip_tsv, read_durations
+from ..sources.writers import write_manifest
 
 # Read commands of the corpora.
 READ_SPEECH_COMMAND = "sox --norm=-1 %s -r 16k -t wav -c 1 -b 16 -e signed - |"
@@ -62,6 +63,20 @@ def parliament(df: DataFrame, dset: str, folder: str) -> DataFrame:
     )
 
 
+def subsample_clips(
+    spark: SparkSession, durations: str, folder: str, out: str, hours: float, seed: int, name: str = "train.tsv"
+) -> DataFrame:
+    """The ids of a text-diverse sample of at most ``hours`` per language, written to ``out`` and returned.
+
+    Every clip of ``<folder>/<lang>/<name>`` needs a duration in the table ``durations``.
+    """
+    listed = strict_join(read_clip_tsv(spark, folder, name), read_durations(spark, durations), "clip")
+    sample = budgeted_diverse_sample(listed, "lang", "text", "seconds", hours * 3600, seed, "clip")
+    utts = sample.select(utt_id_clip(F.col("clip")).alias("utt"), F.lit("").alias("value"))
+    write_manifest(utts, out)
+    return read_allowlist(spark, out)
+
+
 def prepare_corpora(parts: Sequence[DataFrame], check: bool = True) -> DataFrame:
     """One manifest (dset, utt, spk, source, text); a data set is a column, not a folder."""
     whole = combine([drop_empty_text(p.select(*_COLUMNS)) for p in parts], check=False)

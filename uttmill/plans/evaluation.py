@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import REPORT_WEIGHTS
 from ..functions.text import cleaner_chain, squash, tokenize, tokens_13a
+from ..functions.keys import normalize_choice
 from ..operators.manifests import pair_ref_hyp
-from ..operators.scoring import corpus_bleu, corpus_chrf, error_rates, with_edit_counts
+from ..operators.runs import decode_rtf, pair_markers, parse_log
+from ..operators.scoring import accuracy, corpus_bleu, corpus_chrf, error_rates, macro_average, matthews, with_edit_counts
 
 
 def scored_pairs(
@@ -41,6 +44,52 @@ def scored_pairs(
     return whole
 
 
+def log_rtf(
+    lines: DataFrame,
+    job: str,
+    order: Sequence[str],
+    line: str,
+    start_pattern: str,
+    end_pattern: str,
+    time_pattern: str,
+    per_second: float = 1.0,
+) -> DataFrame:
+    """One row (utterances, rtf, latency) of decoding logs: markers, pairs, then times read from the lines.
+
+    ``order`` is the order of the lines of a job; a length counts ``per_second`` units a second.
+    """
+    marked = parse_log(lines, line, start_pattern, end_pattern, time_pattern)
+    pairs = pair_markers(marked, job, order, "marker", "start", "end", ["at", "length"])
+    return decode_rtf(pairs, F.col("at"), F.col("end_at"), F.col("length") / F.lit(per_second))
+
+
+def classification_report(
+    rows: DataFrame, choices: Mapping[str, Sequence[str]], metrics: Mapping[str, str], exclude: Sequence[str] = ()
+) -> DataFrame:
+    """(task, metric, n, score) of stored answers (task, ref, hyp), and their macro average as task ``average``.
+
+    ``choices``: the answers of a task in the order of their labels.  An unknown reference is
+    an error, an unknown hypothesis label 0.  ``metrics``: ``accuracy`` or ``matthews`` per task.
+    """
+    parts = []
+    for task, answers in choices.items():
+        own = rows.where(F.col("task") == task).select(
+            "task",
+            normalize_choice(F.col("ref"), list(answers), True).alias("ref"),
+            normalize_choice(F.col("hyp"), list(answers), False).alias("hyp"),
+        )
+        n = F.count(F.lit(1)).alias("n")
+        if metrics.get(task, "accuracy") == "matthews":
+            scored = matthews(own, "task", "ref", "hyp").withColumnRenamed("matthews", "score")
+            scored = scored.join(own.groupBy("task").agg(n), "task")
+        else:
+            scored = accuracy(own, "task", "ref", "hyp").withColumnRenamed("accuracy", "score")
+        parts.append(scored.select("task", F.lit(metrics.get(task, "accuracy")).alias("metric"), "n", "score"))
+    whole = reduce(DataFrame.unionByName, parts)
+    mean = macro_average(whole, "task", "score", exclude)
+    return whole.unionByName(mean.select(F.lit("average").alias("task"), F.lit("macro").alias("metric"), F.col("tasks").alias("n"), F.col("average").alias("score")))
+
+
 def score_experiment(
     refs: DataFrame,
     hyps: DataFrame,
