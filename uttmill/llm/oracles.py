@@ -16,7 +16,8 @@ FROM d LEFT JOIN kept USING (rid)
 
 SUFFIX_DEDUP = """
 WITH d AS (SELECT row_number() OVER (ORDER BY doc_id, text) AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-win AS (SELECT rid, i, md5(substr(h, 2 * i + 1, 200)) AS g FROM d, unnest(range(0, length(h) // 2 - 99)) AS t(i)),
+part AS (SELECT rid, k, substr(h, 2000 * k + 1, 2198) AS h FROM d, unnest(range(0, (length(h) // 2 + 900) // 1000)) AS t(k)),
+win AS (SELECT rid, 1000 * k + j AS i, md5(substr(h, 2 * j + 1, 200)) AS g FROM part, unnest(range(0, length(h) // 2 - 99)) AS t(j)),
 late AS (SELECT rid, i FROM (SELECT rid, i, row_number() OVER (PARTITION BY g ORDER BY rid, i) AS n FROM win) WHERE n > 1),
 edge AS (SELECT rid, i, max(i) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 100 AS far FROM late),
 mark AS (SELECT rid, i, sum(CASE WHEN far IS NULL OR i > far THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY i) AS span FROM edge),
@@ -60,3 +61,24 @@ a AS (SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind
 SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (rid)
 """
+
+
+MIXING = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source IS NULL AS none, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+e AS (SELECT rid, doc_id, none, source, len(regexp_extract_all(text, '{WORD}'))::BIGINT AS size, md5(text) AS tie,
+  length(translate(text, '#*$%&|<>!', ''))::DOUBLE / greatest(length(text), 1) AS share,
+  (('0x' || substr(md5(concat_ws('|', '8', doc_id::VARCHAR)), 1, 13))::BIGINT + 1)::DOUBLE / 4503599627370496.0::DOUBLE AS u FROM d),
+f AS (SELECT *, -ln(u) / greatest(0.05::DOUBLE, share * share * share * share) AS key FROM e),
+s AS (SELECT none, source, sum(size)::BIGINT AS source_size FROM f GROUP BY none, source),
+w AS (SELECT *, 3.0::DOUBLE * source_size AS cap, CASE (row_number() OVER (ORDER BY none, source) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END::DOUBLE AS weight FROM s),
+l AS (SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, none, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER (ORDER BY cap / weight, none, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (SELECT *, max(level) OVER () AS top FROM l),
+p AS (SELECT none, source, source_size, CASE WHEN cap / weight <= top THEN cap ELSE top * weight END AS target FROM t),
+q AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS epochs FROM p),
+o AS (SELECT f.doc_id, size, source_size, target, epochs, target - epochs * source_size AS budget,
+  sum(size) OVER (PARTITION BY none, source ORDER BY key, doc_id NULLS FIRST, tie ROWS UNBOUNDED PRECEDING) AS upto FROM f JOIN q USING (none, source))
+SELECT doc_id, size, source_size, target,
+  (size * (epochs + CASE WHEN size > 0 AND (upto <= budget OR (upto - size < budget AND 2 * (budget - (upto - size)) > size)) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM o
+"""

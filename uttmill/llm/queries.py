@@ -70,7 +70,7 @@ def simhash(spark, folder):
     )
 
 
-@query("op8_mixing")
+@query("op8_mixing", oracles.MIXING)
 def mixing(spark, folder):
     return mixture(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
