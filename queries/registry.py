@@ -25,7 +25,9 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return read_table(spark, f"{folder}/{name}.parquet")
+    """A test table.  Each is one row group, so on a single machine its rows are dealt to all cores; a cluster reads it as it is."""
+    df = read_table(spark, f"{folder}/{name}.parquet")
+    return df.repartition(spark.sparkContext.defaultParallelism) if spark.sparkContext.master.startswith("local[") else df
 
 
 # ---- inputs, derived by Spark from the tables
