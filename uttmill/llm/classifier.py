@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality_rules import duplicate_lines, per_text, repeated_words
-from .texts import U, Words, encoded, pieces
+from .texts import U, Words, encoded, pieces, portions
 
 WORD_SLOTS = 1 << 15
 RANK = 8
@@ -236,7 +236,7 @@ def train(
     rows = rows.join(F.broadcast(chosen), "label_id").select(F.col("label_id").cast("string").alias("id"), "label", "text", "meta")
 
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches, 2):
             for a, b, f in _rows(batch, 2, 3):
                 blobs = [
                     [f.slots[s:e].tobytes() for s, e in zip(f.starts, f.starts[1:])],
@@ -275,7 +275,7 @@ def scored(
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # of fixed size
 
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches, 1):
             parts = [shared.value.scores(f) for _, _, f in _rows(batch, 1, 2)]
             if parts:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts))], names=["doc_id", "score"])

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texts import U, Words, mixed, pieces, window_hashes
+from .texts import U, Words, mixed, pieces, portions, window_hashes
 
 SHARE = 0.2
 MIN_WORDS = 5
@@ -269,7 +269,7 @@ def leaks(
         shared = context.broadcast(benchmark)
 
         def run(batches, shared=shared):
-            for batch in batches:
+            for batch in portions(batches, 1, 2 * PIECE_BYTES):
                 texts = [plain(t) for t in batch.column(1).to_pylist()]
                 ids, out = batch.column(0), []
                 for a, b in pieces(texts, PIECE_BYTES):
@@ -302,7 +302,7 @@ def drop_leaks(
         shared = context.broadcast(benchmark)
 
         def run(batches, shared=shared):
-            for batch in batches:
+            for batch in portions(batches, place, 2 * PIECE_BYTES):
                 texts = [plain(t) for t in batch.column(place).to_pylist()]
                 clean = np.ones(len(texts), dtype=bool)
                 for a, b in pieces(texts, PIECE_BYTES):

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from ..session import cut_lineage
+from .texts import portions
 
 SUPPORT = 0.5
 SHARE = 0.85
@@ -221,7 +222,7 @@ def tokens(pages: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches, 2):
             out = []
             for host, url, html in zip(*(c.to_pylist() for c in batch.columns)):
                 page = Page(html)
@@ -317,7 +318,7 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     joined = rows.join(template, "host", "left").select("page_id", "url", "html", "slot", "boiler")
 
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches, 2):
             _, _, htmls, slots, boilers = (c.to_pylist() for c in batch.columns)
             texts = [main_text(h, s, frozenset(b or ())) for h, s, b in zip(htmls, slots, boilers)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), batch.column(3)], names=["page_id", "url", "text", "slot"])

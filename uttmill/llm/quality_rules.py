@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texts import U, Words, covered, encoded, mixed, pieces, window_hashes
+from .texts import U, Words, covered, encoded, mixed, pieces, portions, window_hashes
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -41,7 +41,7 @@ CACHED_WORDS = 200_000
 PIECE_BYTES = 1 << 20
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
-SYMBOLS = b"[#*$%&|<>]"[1:-1]
+SYMBOLS = b"#*$%&|<>"
 
 
 @dataclass(frozen=True)
@@ -259,7 +259,7 @@ def quality(
     """doc_id and all measures and verdicts of each row."""
 
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches, 1):
             found = _measured(batch.column(1).to_pylist(), batch.column(2).to_pylist(), rules)
             if found:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, found.values())], names=["doc_id", *found])
@@ -273,7 +273,7 @@ def keep_by_quality(docs: DataFrame, rules: Rules = Rules(), text_col: str = "te
     places = [docs.columns.index(text_col), docs.columns.index(lang_col) if lang_col in docs.columns else None]
 
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches, places[0]):
             langs = [None] * len(batch) if places[1] is None else batch.column(places[1]).to_pylist()
             found = _measured(batch.column(places[0]).to_pylist(), langs, rules)
             if found:

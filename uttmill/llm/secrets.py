@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .texts import portions
 
 
 @dataclass(frozen=True)
@@ -99,7 +100,7 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
 
     def run(batches):
         machines = compiled(rules)
-        for batch in batches:
+        for batch in portions(batches, 1):
             found = [find(t.encode("utf-8", "surrogatepass"), machines) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, SPANS)], names=["blob", "findings"])
 

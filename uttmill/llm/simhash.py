@@ -32,11 +32,11 @@ from xxhash import xxh64_intdigest
 
 from ..session import cut_lineage
 from .components import stars
-from .texts import U, Words, encoded, mixed, pieces, window_hashes
+from .texts import U, Words, encoded, mixed, pieces, portions, window_hashes
 
 SHINGLE_WORDS = 3
 RADIUS = 2
-TREE_NODES = 4096
+TREE_NODES = 1024
 BLOCK = 1 << 16
 PIECE_BYTES = 1 << 20
 #: near copies: words of a shingle, similarity, bits between fingerprints, min-hashes and their bands
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS, id_col: str = "doc
     """(doc_id, fp): the fingerprint of each row as a signed 64-bit number."""
 
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches, 1):
             found = np.array([simhash(t, width) for t in encoded(batch.column(1).to_pylist())], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
@@ -270,7 +270,7 @@ def near_copies(
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches, 1):
             texts = encoded(batch.column(1).to_pylist())
             for a, b in pieces(texts, PIECE_BYTES):
                 own, prints, band, least = sketch(texts[a:b], width)

@@ -7,8 +7,12 @@ the same content in every task and every run.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
+#: bytes of text that a task turns into Python objects at a time
+PORTION_BYTES = 4 << 20
 #: white space that ends a word: space, and tab to carriage return
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[32, 9, 10, 11, 12, 13]] = True
@@ -85,6 +89,18 @@ def encoded(texts) -> list[bytes]:
     return [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
 
 
+def portions(batches, column: int, most: int = PORTION_BYTES):
+    """Record batches of about ``most`` bytes in a text column; a longer text stands alone."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.cast(pc.binary_length(batch.column(column)), pa.int64()), 0).to_numpy(zero_copy_only=False)
+        ends, start = np.cumsum(sizes), 0
+        while start < len(sizes):
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def pieces(texts: list[bytes], most: int):
     """Consecutive texts of about ``most`` bytes, as (first, last) positions; a longer text stands alone."""
     first = size = 0
