@@ -91,7 +91,7 @@ def plain_quality(text, lang, rules=Rules()):
     counts, n, chars = Counter(ids), len(ids), sum(map(len, words))
     entropy = -sum(c / n * math.log2(c / n) for c in counts.values()) if n else 0.0
     failed = len(words) < 50 or 100 * sum(hit) > 50 * len(words)
-    return (len(words), chars, sum(c in "#*$%&|<>[]"[:8] for c in text), len(some) - len(set(some)), sum(hit), n, round(chars / max(n, 1), 9), round(entropy, 6), failed)
+    return (len(words), chars, sum(c in "#*$%&|<>" for c in text), len(some) - len(set(some)), sum(hit), n, round(chars / max(n, 1), 9), round(entropy, 6), failed)
 
 
 def test_quality(odd, odd_rows, small, clashing, none):
