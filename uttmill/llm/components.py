@@ -25,9 +25,10 @@ def stars(edges: DataFrame) -> DataFrame:
             return now
         last = digest
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = both.groupBy("a").agg(F.min("b").alias("m"))
+        # written, so that both sides of the join are shuffles and Spark can split a hub
+        lowest = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m")))
         large = both.join(lowest, "a").where("b > a").select("b", F.least("m", "a").alias("m"))
-        large = _sides(large.select(F.col("b").alias("a"), F.col("m").alias("b")))
-        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = cut_lineage(_sides(large.select(F.col("b").alias("a"), F.col("m").alias("b"))))
+        lowest = cut_lineage(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = cut_lineage(_sides(small.union(lowest.select("a", F.col("m").alias("b")))))
