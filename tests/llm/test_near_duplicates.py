@@ -2,12 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from uttmill.llm.components import stars
-from uttmill.llm.simhash import BKTree, block_masks, links, near_copies, near_duplicates, simhash
+from uttmill.llm.simhash import BKTree, block_masks, links, near_copies, near_duplicates, simhash, sketch
 
 from .conftest import prose
 
@@ -129,3 +130,32 @@ def test_near_copies(spark, odd, none, clashing):
     few = sorted([tuple(r) for r in near_copies(odd).collect()], key=str)
     assert len(few) == odd.count() and few == sorted([tuple(r) for r in near_copies(clashing).collect()], key=str)
     assert dict(few)[1] == 0 and dict(few)[5] == 4 and dict(few)[6] == 4
+
+
+def overlapping(words, similarity, seed, width=5):
+    """Two texts of different words that share a head, so that their shingle sets have about this similarity."""
+    shared = round(2 * similarity / (1 + similarity) * (words - width + 1)) + width - 1
+    head = [f"{seed}h{i}" for i in range(shared)]
+    return [" ".join([*head, *(f"{seed}{side}{i}" for i in range(words - shared))]) for side in "ab"]
+
+
+def jaccard(a, b, width=5):
+    a, b = ({tuple(w[i : i + width]) for i in range(len(w) - width + 1)} for w in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("words", [20_000, 100_000])
+@pytest.mark.parametrize("similarity", [0.5, 0.6, 0.7])
+def test_sketches_of_long_texts(words, similarity):
+    for seed in range(2):
+        a, b = overlapping(words, similarity, seed)
+        assert abs(jaccard(a, b) - similarity) < 0.001
+        least = sketch([a.encode(), b.encode()], 5)[-1]
+        # five standard errors of a sample of 128
+        assert abs(np.mean(least[0] == least[1]) - similarity) < 5 * (similarity * (1 - similarity) / 128) ** 0.5
+
+
+def test_long_texts_stay_apart(spark):
+    texts = [t for k, (n, s) in enumerate([(20_000, 0.5), (20_000, 0.6), (100_000, 0.5), (100_000, 0.6)]) for t in overlapping(n, s, f"x{k}")]
+    found = near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in found) == [(i, i) for i in range(len(texts))]

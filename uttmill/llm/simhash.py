@@ -248,7 +248,8 @@ def sketch(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.n
     band = np.zeros((n, BANDS), dtype=np.uint64)
     for r in range(BAND_ROWS):
         band = mixed(band * U(31) + keys[:, :, r])
-    return own, prints, band, (least >> U(48)).astype(np.uint16)
+    # a minimum over many shingles is small: its high bits say little, so it is spread before it is cut
+    return own, prints, band, (mixed(least) & U(0xFFFF)).astype(np.uint16)
 
 
 def near_copies(
