@@ -159,3 +159,19 @@ def test_long_texts_stay_apart(spark):
     texts = [t for k, (n, s) in enumerate([(20_000, 0.5), (20_000, 0.6), (100_000, 0.5), (100_000, 0.6)]) for t in overlapping(n, s, f"x{k}")]
     found = near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert sorted(tuple(r) for r in found) == [(i, i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("trees", [3, 1024])
+def test_links_at_the_threshold(spark, trees):
+    rows = []
+    for k in range(120):
+        rows += [(2 * k + i, t) for i, t in enumerate(overlapping(304, (0.72, 0.75, 0.78, 0.80, 0.805, 0.82)[k % 6], f"t{k}"))]
+    # a chain: neighbours are copies, further ones are not
+    words = [f"c{i}" for i in range(500)]
+    rows += [(1000 + k, " ".join(words[30 * k : 30 * k + 304])) for k in range(6)]
+    rows += [(2000 + k, " ".join(words[36 * k : 36 * k + 304]).replace("c", "d")) for k in range(6)]
+    pairs = [(a, b) for a, (i, s) in enumerate(rows) for b, (j, t) in enumerate(rows[:a]) if i // 2 == j // 2 or j >= 1000 if jaccard(s, t) >= 0.8]
+    want = {rows[k][0]: rows[c][0] for k, c in components(pairs, range(len(rows))).items()}
+    assert want[1005] == 1000 and want[2005] == 2005 and 40 <= sum(want[i] != i for i in range(240)) <= 60
+    found = near_copies(spark.createDataFrame(rows, "doc_id long, text string"), tree_nodes=trees)
+    assert dict(tuple(r) for r in found.collect()) == want

@@ -46,6 +46,12 @@ COPY_RADIUS = 18
 MIN_HASHES = 128
 BANDS = 24
 BAND_ROWS = 4
+#: near copies: standard errors by which min-hashes may say less than the similarity before a pair is passed over
+LEEWAY = 4
+#: texts with their shingle sets in one tree
+SET_NODES = 128
+#: numbers of texts, 8 bytes each, that every task may hold
+BROADCAST_NODES = 1 << 20
 
 
 def simhash(text: bytes, width: int = SHINGLE_WORDS) -> int:
@@ -216,23 +222,39 @@ def near_duplicates(
 # ---- near copies: wider fingerprint distances, in shards of similar texts
 
 
-def sketch(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per text: a number for its words, its fingerprint, keys of its bands, and its min-hashes (16 bits each)."""
+def numbers(texts: list[bytes]) -> np.ndarray:
+    """A number for the words of each text; A-Z count as a-z."""
+    return np.array([xxh64_intdigest(b" ".join(t.lower().split()), 5) for t in texts], dtype=np.uint64)
+
+
+def shingles(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A number for the words of each text, the hashes of all shingles, and where those of each text start and end."""
     texts = [t.lower() for t in texts]
     words = Words(texts)
     hashes = words.hashes()
-    n = len(texts)
     whole = words.whole(width)
     windows = mixed(window_hashes(hashes, width)[whole])
     owner = words.owner()[np.flatnonzero(whole)]
-    own = np.array([xxh64_intdigest(b" ".join(t.split()), 5) for t in texts], dtype=np.uint64)
+    own = numbers(texts)
     # texts with fewer words than a shingle have one of all their words
     short = np.flatnonzero(words.counts < width)
     windows, owner = np.concatenate([windows, mixed(own[short].copy())]), np.concatenate([owner, short])
     order = np.argsort(owner, kind="stable")
     windows, owner = windows[order], owner[order]
-    at = np.searchsorted(owner, np.arange(n))
-    ends = np.r_[at[1:], len(owner)]
+    at = np.searchsorted(owner, np.arange(len(texts)))
+    return own, windows, at, np.r_[at[1:], len(owner)]
+
+
+def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
+    """The different shingles of each text as sorted hashes of 64 bits."""
+    _, windows, at, ends = shingles(texts, width)
+    return [np.unique(windows[s:e]) for s, e in zip(at.tolist(), ends.tolist())]
+
+
+def sketch(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per text: a number for its words, its fingerprint, keys of its bands, and its min-hashes (16 bits each)."""
+    own, windows, at, ends = shingles(texts, width)
+    n = len(texts)
     prints = np.empty(n, dtype=np.uint64)
     for i, (s, e) in enumerate(zip(at.tolist(), ends.tolist())):
         ones = np.zeros(64, dtype=np.int64)
@@ -265,9 +287,11 @@ def near_copies(
 
     At 0.8 on five words fingerprints differ in ten bits or so, too many for shards by equal
     blocks. Here a shard holds the texts that agree in a band of min-hashes, and its
-    BK-trees are searched to ``radius`` bits. A hit is a link if the min-hashes put the
-    similarity of the shingle sets at no less than ``similarity`` less one standard error.
-    Texts equal in their words are one node from the start.
+    BK-trees are searched to ``radius`` bits. Hits whose min-hashes are at most ``LEEWAY``
+    standard errors below ``similarity`` are candidates. They only bound the groups: inside
+    each group of candidates all pairs are compared, and a pair is a link if the similarity
+    of its shingle sets is ``similarity`` or more. Texts equal in their words are one node
+    from the start.
     """
 
     def run(batches):
@@ -292,6 +316,74 @@ def near_copies(
     facts = prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("sketch").alias("sketch"))
     banded = prints.select("node", F.posexplode("bands").alias("band", "value")).distinct()
     found = _in_trees(banded, ["band", "value"], tree_nodes).join(facts, "node")
-    agree = int(MIN_HASHES * (similarity - (similarity * (1 - similarity) / MIN_HASHES) ** 0.5))
-    named = _named(nodes, _linked(found, ["band", "value"], radius, agree))
+    agree = int(MIN_HASHES * (similarity - LEEWAY * (similarity * (1 - similarity) / MIN_HASHES) ** 0.5))
+    groups = stars(_linked(found, ["band", "value"], radius, agree))
+    members = groups.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    members = cut_lineage(members.union(groups.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
+    sets = _sets_of(rows, members.select("node"), width)
+    found = _in_trees(members, ["root"], min(tree_nodes, SET_NODES)).join(facts.select("node", "sketch"), "node").join(sets, "node")
+    named = _named(nodes, _similar(found, ["root"], similarity, agree))
     return prints.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+
+
+def _sets_of(rows: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, shingles): the shingle set of each of the nodes, from the texts (doc_id, text) that have them."""
+
+    def number(batches):
+        for batch in portions(batches, 1):
+            own = numbers(encoded(batch.column(1).to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), batch.column(1)], names=["node", "text"])
+
+    def sets(batches):
+        for batch in portions(batches, 1):
+            texts = encoded(batch.column(1).to_pylist())
+            for a, b in pieces(texts, PIECE_BYTES):
+                found = pa.array([x.tobytes() for x in shingle_sets(texts[a:b], width)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), found], names=["node", "shingles"])
+
+    few = nodes.count() <= BROADCAST_NODES
+    texts = rows.mapInArrow(number, "node long, text string").join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
+    return cut_lineage(texts.dropDuplicates(["node"]).mapInArrow(sets, "node long, shingles binary"))
+
+
+def _similar(rows: DataFrame, shard: list[str], similarity: float, agree: int) -> DataFrame:
+    """(a, b): nodes whose shingle sets have the similarity and whose sketches share ``agree`` numbers.
+
+    Only the links that join two groups of a pair of trees.
+    """
+
+    def run(batches):
+        now, groups, members, table = None, Groups(), [], np.empty((0, MIN_HASHES), dtype=np.uint16)
+        for batch in batches:
+            a, b = [], []
+            for *key, probe, node, sketch, shingles in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != now:
+                    now, groups, members = key, Groups(), []
+                me = groups.add()
+                own, have = np.frombuffer(sketch, dtype=np.uint16), np.frombuffer(shingles, dtype=np.uint64)
+                if members and (key[-2] == key[-1] or probe):
+                    equal = (table[: len(members)] == own).sum(axis=1)
+                    hits = np.flatnonzero(equal >= agree)
+                    # the most similar first: one link to a group is enough
+                    for hit in hits[np.argsort(-equal[hits], kind="stable")].tolist():
+                        place, other, theirs = members[hit]
+                        if groups.find(place) != groups.find(me) and jaccard(have, theirs) >= similarity:
+                            groups.join(place, me)
+                            a.append(node)
+                            b.append(other)
+                if not probe:
+                    if len(members) == len(table):
+                        table = np.concatenate([table, np.empty((max(16, len(table)), MIN_HASHES), dtype=np.uint16)])
+                    table[len(members)] = own
+                    members.append((me, node, have))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    shard = [*shard, "low", "high"]
+    rows = rows.select(*shard, "probe", "node", "sketch", "shingles")
+    return rows.repartition(*shard).sortWithinPartitions(*shard, "probe", "node").mapInArrow(run, "a long, b long")
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """The similarity of two sets, each sorted and without repeats."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
