@@ -175,3 +175,12 @@ def test_links_at_the_threshold(spark, trees):
     assert want[1005] == 1000 and want[2005] == 2005 and 40 <= sum(want[i] != i for i in range(240)) <= 60
     found = near_copies(spark.createDataFrame(rows, "doc_id long, text string"), tree_nodes=trees)
     assert dict(tuple(r) for r in found.collect()) == want
+
+
+def test_copies_with_repeated_lines(spark):
+    rows = []
+    for k in range(40):
+        body, line = prose(700 + k, 1000), prose(900 + k, 14)
+        rows += [(3 * k, f"{body}\n{line}"), (3 * k + 1, body + f"\n{line}" * (20 + 30 * (k % 2))), (3 * k + 2, prose(1100 + k, 12))]
+    found = near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert dict(tuple(r) for r in found.collect()) == {i: i - i % 3 if i % 3 < 2 else i for i, _ in rows}

@@ -39,10 +39,9 @@ RADIUS = 2
 TREE_NODES = 1024
 BLOCK = 1 << 16
 PIECE_BYTES = 1 << 20
-#: near copies: words of a shingle, similarity, bits between fingerprints, min-hashes and their bands
+#: near copies: words of a shingle, similarity, min-hashes and their bands
 COPY_WORDS = 5
 SIMILARITY = 0.8
-COPY_RADIUS = 18
 MIN_HASHES = 128
 BANDS = 24
 BAND_ROWS = 4
@@ -150,8 +149,8 @@ def _in_trees(rows: DataFrame, shard: list[str], tree_nodes: int) -> DataFrame:
     )
 
 
-def _linked(rows: DataFrame, shard: list[str], radius: int, agree: int = 0) -> DataFrame:
-    """(a, b): nodes whose fingerprints differ in at most ``radius`` bits and whose sketches share ``agree`` numbers.
+def _linked(rows: DataFrame, shard: list[str], radius: int) -> DataFrame:
+    """(a, b): nodes whose fingerprints differ in at most ``radius`` bits.
 
     Only the links that join two groups of a pair of trees.
     """
@@ -160,26 +159,25 @@ def _linked(rows: DataFrame, shard: list[str], radius: int, agree: int = 0) -> D
         now, tree, groups, members = None, BKTree(), Groups(), []
         for batch in batches:
             a, b = [], []
-            for *key, probe, fp, node, sketch in zip(*(c.to_pylist() for c in batch.columns)):
+            for *key, probe, fp, node in zip(*(c.to_pylist() for c in batch.columns)):
                 if key != now:
                     now, tree, groups, members = key, BKTree(), Groups(), []
                 value = fp & 0xFFFFFFFFFFFFFFFF
                 me = groups.add()
-                own = np.frombuffer(sketch, dtype=np.uint16) if agree else None
                 if key[-2] == key[-1] or probe:
                     for hit in tree.within(value, radius):
-                        place, other, theirs = members[hit]
-                        if groups.find(place) != groups.find(me) and (not agree or int((own == theirs).sum()) >= agree):
+                        place, other = members[hit]
+                        if groups.find(place) != groups.find(me):
                             groups.join(place, me)
                             a.append(node)
                             b.append(other)
                 if not probe:
                     tree.add(value)
-                    members.append((me, node, own))
+                    members.append((me, node))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     shard = [*shard, "low", "high"]
-    rows = rows.select(*shard, "probe", "fp", "node", "sketch")
+    rows = rows.select(*shard, "probe", "fp", "node")
     return rows.repartition(*shard).sortWithinPartitions(*shard, "probe", "node").mapInArrow(run, "a long, b long")
 
 
@@ -188,7 +186,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES)
     masks = F.array(*[F.struct(F.lit(i).alias("pair"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(block_masks(radius))])
     shard = ["pair", "bits"]
     rows = _in_trees(nodes.select(F.col("fp").alias("node"), F.inline(masks)), shard, tree_nodes)
-    return _linked(rows.withColumns({"fp": F.col("node"), "sketch": F.lit(None).cast("binary")}), shard, radius)
+    return _linked(rows.withColumn("fp", F.col("node")), shard, radius)
 
 
 def _named(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -219,7 +217,7 @@ def near_duplicates(
     return prints.join(named, prints["fp"] == named["node"]).select("doc_id", "fp", "component_id")
 
 
-# ---- near copies: wider fingerprint distances, in shards of similar texts
+# ---- near copies: similarity of shingle sets, in shards of texts that share min-hashes
 
 
 def numbers(texts: list[bytes]) -> np.ndarray:
@@ -251,16 +249,10 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     return [np.unique(windows[s:e]) for s, e in zip(at.tolist(), ends.tolist())]
 
 
-def sketch(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per text: a number for its words, its fingerprint, keys of its bands, and its min-hashes (16 bits each)."""
-    own, windows, at, ends = shingles(texts, width)
+def sketch(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per text: a number for its words, keys of its bands, and its min-hashes (16 bits each)."""
+    own, windows, at, _ = shingles(texts, width)
     n = len(texts)
-    prints = np.empty(n, dtype=np.uint64)
-    for i, (s, e) in enumerate(zip(at.tolist(), ends.tolist())):
-        ones = np.zeros(64, dtype=np.int64)
-        for b in range(s, e, BLOCK):
-            ones += np.unpackbits(windows[b : min(e, b + BLOCK)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        prints[i] = int.from_bytes(np.packbits(2 * ones > e - s).tobytes(), "big")
     least = np.empty((n, MIN_HASHES), dtype=np.uint64)
     factors = np.random.default_rng(5).integers(0, 2**63, size=MIN_HASHES, dtype=np.uint64) * U(2) + U(1)
     high = windows >> U(32)
@@ -271,23 +263,23 @@ def sketch(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.n
     for r in range(BAND_ROWS):
         band = mixed(band * U(31) + keys[:, :, r])
     # a minimum over many shingles is small: its high bits say little, so it is spread before it is cut
-    return own, prints, band, (mixed(least) & U(0xFFFF)).astype(np.uint16)
+    return own, band, (mixed(least) & U(0xFFFF)).astype(np.uint16)
 
 
 def near_copies(
     docs: DataFrame,
     width: int = COPY_WORDS,
     similarity: float = SIMILARITY,
-    radius: int = COPY_RADIUS,
     id_col: str = "doc_id",
     text_col: str = "text",
     tree_nodes: int = TREE_NODES,
 ) -> DataFrame:
-    """(doc_id, component_id): texts joined by links of at least about ``similarity`` on word shingles.
+    """(doc_id, component_id): texts joined by links of at least ``similarity`` on the sets of word shingles.
 
     At 0.8 on five words fingerprints differ in ten bits or so, too many for shards by equal
-    blocks. Here a shard holds the texts that agree in a band of min-hashes, and its
-    BK-trees are searched to ``radius`` bits. Hits whose min-hashes are at most ``LEEWAY``
+    blocks, and in more if a line is repeated in one text only. So there are none here: a
+    shard holds the texts that agree in a band of min-hashes, which know no repeats, and
+    each text is compared with all of its shard. Pairs whose min-hashes are at most ``LEEWAY``
     standard errors below ``similarity`` are candidates. They only bound the groups: inside
     each group of candidates all pairs are compared, and a pair is a link if the similarity
     of its shingle sets is ``similarity`` or more. Texts equal in their words are one node
@@ -298,30 +290,29 @@ def near_copies(
         for batch in portions(batches, 1):
             texts = encoded(batch.column(1).to_pylist())
             for a, b in pieces(texts, PIECE_BYTES):
-                own, prints, band, least = sketch(texts[a:b], width)
+                own, band, least = sketch(texts[a:b], width)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
                         pa.array(own.view(np.int64)),
-                        pa.array(prints.view(np.int64)),
                         pa.array([row.tolist() for row in band.view(np.int64)], pa.list_(pa.int64())),
                         pa.array([row.tobytes() for row in least], pa.binary()),
                     ],
-                    names=["doc_id", "node", "fp", "bands", "sketch"],
+                    names=["doc_id", "node", "bands", "sketch"],
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    prints = cut_lineage(rows.mapInArrow(run, "doc_id long, node long, fp long, bands array<long>, sketch binary"))
+    prints = cut_lineage(rows.mapInArrow(run, "doc_id long, node long, bands array<long>, sketch binary"))
     nodes = prints.groupBy("node").agg(F.min("doc_id").alias("least"))
-    facts = prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("sketch").alias("sketch"))
+    facts = prints.groupBy("node").agg(F.min("sketch").alias("sketch"))
     banded = prints.select("node", F.posexplode("bands").alias("band", "value")).distinct()
     found = _in_trees(banded, ["band", "value"], tree_nodes).join(facts, "node")
     agree = int(MIN_HASHES * (similarity - LEEWAY * (similarity * (1 - similarity) / MIN_HASHES) ** 0.5))
-    groups = stars(_linked(found, ["band", "value"], radius, agree))
+    groups = stars(_similar(found.withColumn("shingles", F.lit(None).cast("binary")), ["band", "value"], 0, agree))
     members = groups.select(F.col("a").alias("node"), F.col("b").alias("root"))
     members = cut_lineage(members.union(groups.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
     sets = _sets_of(rows, members.select("node"), width)
-    found = _in_trees(members, ["root"], min(tree_nodes, SET_NODES)).join(facts.select("node", "sketch"), "node").join(sets, "node")
+    found = _in_trees(members, ["root"], min(tree_nodes, SET_NODES)).join(facts, "node").join(sets, "node")
     named = _named(nodes, _similar(found, ["root"], similarity, agree))
     return prints.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
 
@@ -347,7 +338,7 @@ def _sets_of(rows: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
 
 
 def _similar(rows: DataFrame, shard: list[str], similarity: float, agree: int) -> DataFrame:
-    """(a, b): nodes whose shingle sets have the similarity and whose sketches share ``agree`` numbers.
+    """(a, b): nodes whose sketches share ``agree`` numbers and, unless it is 0, whose shingle sets have the similarity.
 
     Only the links that join two groups of a pair of trees.
     """
@@ -360,14 +351,14 @@ def _similar(rows: DataFrame, shard: list[str], similarity: float, agree: int) -
                 if key != now:
                     now, groups, members = key, Groups(), []
                 me = groups.add()
-                own, have = np.frombuffer(sketch, dtype=np.uint16), np.frombuffer(shingles, dtype=np.uint64)
+                own, have = np.frombuffer(sketch, dtype=np.uint16), np.frombuffer(shingles or b"", dtype=np.uint64)
                 if members and (key[-2] == key[-1] or probe):
                     equal = (table[: len(members)] == own).sum(axis=1)
                     hits = np.flatnonzero(equal >= agree)
                     # the most similar first: one link to a group is enough
                     for hit in hits[np.argsort(-equal[hits], kind="stable")].tolist():
                         place, other, theirs = members[hit]
-                        if groups.find(place) != groups.find(me) and jaccard(have, theirs) >= similarity:
+                        if groups.find(place) != groups.find(me) and (not similarity or jaccard(have, theirs) >= similarity):
                             groups.join(place, me)
                             a.append(node)
                             b.append(other)
