@@ -82,3 +82,44 @@ SELECT doc_id, size, source_size, target,
   (size * (epochs + CASE WHEN size > 0 AND (upto <= budget OR (upto - size < budget AND 2 * (budget - (upto - size)) > size)) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM o
 """
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Nodes of the trees over ``leaves`` (tree, pos, size, digest), and what stands beside each."""
+    beside = "(PARTITION BY tree, lvl, pos // 3 ORDER BY pos ROWS BETWEEN"
+    return f"""{name} AS (SELECT tree, 0 AS lvl, pos, size, digest FROM {leaves}
+  UNION ALL SELECT tree, lvl + 1, pos // 3, any_value((size + 2) // 3), sha256(string_agg(digest, '' ORDER BY pos)) FROM {name} WHERE size > 1 GROUP BY tree, lvl, pos // 3),
+{name}_side AS (SELECT tree, lvl, pos, coalesce(string_agg(digest, '') OVER {beside} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+  coalesce(string_agg(digest, '') OVER {beside} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after FROM {name} WHERE size > 1)"""
+
+
+# CRC-32 of the decimal id, bit by bit
+_BIT = "CASE WHEN j % 8 = 0 THEN xor(a, ascii(substr(doc_id::VARCHAR, j // 8 + 1, 1))::BIGINT) ELSE a END"
+_CRC = f"list_reduce(range(0, 8 * strlen(doc_id::VARCHAR)), lambda a, j: xor(({_BIT}) >> 1, 3988292384 * (({_BIT}) & 1)), 4294967295::BIGINT)"
+
+MERKLE = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || source, '') AS tree, {_leaf("text")} AS leaf,
+  CASE WHEN ({_CRC} & 1) = 1 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS found_leaf FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, found_leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS size, leaf AS digest FROM d),
+{_tree("node", "l")},
+sub AS (SELECT tree AS grp, digest FROM node WHERE size = 1),
+g AS (SELECT '' AS tree, grp, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS size, digest FROM sub),
+{_tree("top", "g")},
+walk AS (SELECT rid, tree, 0 AS lvl, pos, '' AS proof, found_leaf AS fold FROM l
+  UNION ALL SELECT rid, w.tree, w.lvl + 1, w.pos // 3, proof || before || after, sha256(before || fold || after) FROM walk w JOIN node_side s ON w.tree = s.tree AND w.lvl = s.lvl AND w.pos = s.pos),
+arrived AS (SELECT rid, tree, arg_max(proof, lvl) AS proof, arg_max(fold, lvl) AS fold FROM walk GROUP BY rid, tree),
+climb AS (SELECT rid, 0 AS lvl, g.pos, proof, fold FROM arrived a JOIN g ON a.tree = g.grp
+  UNION ALL SELECT rid, w.lvl + 1, w.pos // 3, proof || before || after, sha256(before || fold || after) FROM climb w JOIN top_side s ON w.lvl = s.lvl AND w.pos = s.pos),
+ended AS (SELECT rid, arg_max(proof, lvl) AS proof, arg_max(fold, lvl) AS fold FROM climb GROUP BY rid),
+root AS (SELECT digest AS root FROM top WHERE size = 1)
+SELECT doc_id, leaf, g.digest AS subroot, root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root AS verified
+FROM l JOIN g ON l.tree = g.grp JOIN ended USING (rid), root
+"""

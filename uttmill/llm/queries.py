@@ -11,6 +11,7 @@ from . import oracles
 from .classifier import scored, train
 from .decontamination import leaks
 from .html_template import main_texts
+from .merkle import manifest, verified
 from .mixing import mixture
 from .quality_rules import quality
 from .secrets import BASE, digest_line, secrets_of
@@ -113,3 +114,12 @@ def classifier(spark, folder):
 @query("op2_decontamination")
 def decontamination(spark, folder):
     return leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op11_merkle_manifest", oracles.MERKLE)
+def merkle_manifest(spark, folder):
+    odd_one = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 2 == 0
+    text = F.when(odd_one, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return verified(manifest(table(spark, folder, "documents"), changed={"text": text})).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"
+    )
