@@ -55,32 +55,34 @@ def climbed(nodes: DataFrame, proofs: bool = False, levels: int = CLIMB) -> Data
     then each result has ``below``: the items under it, each with its steps up to the result.
     A tree of one node stays as it is.
     """
-    own = ["digest"]
-    block = F.floor(F.col("pos") / F.lit(FANOUT**levels)).alias("block")
+    own = "digest"
     if proofs:
         nodes = nodes.withColumn("below", F.array(F.struct("item", F.array().cast(STEPS).alias("steps"))))
-        own.append("below")
-    rows = nodes.select("tree", "size", "pos", *own, block).repartition("tree", "block")
+        own += ", below"
+    pivot = [F.expr(f"first(CASE WHEN pos % {FANOUT} = {s} THEN struct({own}) END, true) AS slot{s}") for s in range(FANOUT)]
+    parent = ["tree", "block", f"ceil(size / {FANOUT}) AS size", "parent AS pos", f"CASE WHEN size > 1 THEN {PARENT} ELSE slot0.digest END AS digest"]
+    if proofs:
+        parent.append(f"CASE WHEN size > 1 THEN flatten(array_compact(array({', '.join(map(_stepped, range(FANOUT)))}))) ELSE slot0.below END AS below")
+    rows = nodes.selectExpr("tree", "size", "pos", *own.split(", "), f"floor(pos / {FANOUT**levels}) AS block")
+    rows = rows.repartition("tree", "block")
     for _ in range(levels):
-        slot = F.col("pos") % FANOUT
-        pivot = [F.first(F.when(slot == s, F.struct(*own)), ignorenulls=True).alias(f"slot{s}") for s in range(FANOUT)]
-        rows = rows.groupBy("tree", "block", "size", F.floor(F.col("pos") / FANOUT).alias("pos")).agg(*pivot)
-        kids = [F.coalesce(F.col(f"slot{s}")["digest"], F.lit("")) for s in range(FANOUT)]
-        joins = F.col("size") > 1
-        up = [F.when(joins, digest(*kids)).otherwise(kids[0]).alias("digest")]
-        if proofs:
-            parts = []
-            for s in range(FANOUT):
-                step = F.struct(F.concat(F.lit(""), *kids[:s]).alias("before"), F.concat(F.lit(""), *kids[s + 1 :]).alias("after"))
-                parts.append(_with_step(F.col(f"slot{s}")["below"], step))
-            up.append(F.when(joins, F.flatten(F.array_compact(F.array(*parts)))).otherwise(F.col("slot0")["below"]).alias("below"))
-        rows = rows.select("tree", "block", F.ceil(F.col("size") / FANOUT).alias("size"), "pos", *up)
+        rows = rows.groupBy("tree", "block", "size", F.expr(f"floor(pos / {FANOUT}) AS parent")).agg(*pivot).selectExpr(*parent)
     return rows.drop("block")
 
 
-def _with_step(below: Column, step: Column) -> Column:
-    """The items of a child, one step longer; null if there is no child."""
-    return F.transform(below, lambda x: F.struct(x["item"].alias("item"), F.concat(x["steps"], F.array(step)).alias("steps")))
+def _children(slots) -> str:
+    """SQL for the digests in some slots, one after the other."""
+    return "concat('', " + ", ".join(f"coalesce(slot{s}.digest, '')" for s in slots) + ")" if slots else "''"
+
+
+#: SQL for the digest of a parent
+PARENT = f"sha2({_children(range(FANOUT))}, 256)"
+
+
+def _stepped(slot: int) -> str:
+    """SQL for the items below a slot, one step longer; null if no child has it."""
+    step = f"struct({_children(range(slot))} AS before, {_children(range(slot + 1, FANOUT))} AS after)"
+    return f"transform(slot{slot}.below, x -> struct(x.item AS item, concat(x.steps, array({step})) AS steps))"
 
 
 class Forest:
