@@ -11,6 +11,7 @@ from . import oracles
 from .classifier import scored, train
 from .decontamination import leaks
 from .html_template import main_texts
+from .licenses import labels, licenses
 from .merkle import manifest, verified
 from .mixing import mixture
 from .quality_rules import quality
@@ -123,3 +124,12 @@ def merkle_manifest(spark, folder):
     return verified(manifest(table(spark, folder, "documents"), changed={"text": text})).select(
         "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"
     )
+
+
+@query("op13_license_scan")
+def license_scan(spark, folder):
+    spans = F.transform("hits", lambda h: F.concat_ws(":", h["label"], h["start"].cast("string"), h["end"].cast("string"), h["edits"].cast("string")))
+    return licenses(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join(labels(), ",").alias("labels"), "score", F.array_join(spans, ",").alias("spans"),
+    )
