@@ -12,7 +12,7 @@ library matches the whole notice with bounded errors and reports span and edits.
 overlap, the one with the fewest edits counts (then the longer, then the first in order), so a
 notice that resembles another does not give its label too.
 
-A hit starts and ends at word boundaries. The score of a text is 1 with a base phrase, else the
+The span of a hit is widened to whole words. The score of a text is 1 with a base phrase, else the
 best 1 - edits / length of its hits, else 0.
 
 Null texts are empty: no words, no label, score 0. Texts of any length are searched whole. Null
@@ -137,7 +137,7 @@ class Search:
             cuts = [length * i // parts for i in range(parts + 1)]
             for start, end in zip(cuts, cuts[1:]):
                 places[notice.words[start:end]].append((n, start, end))
-            self.machines.append(regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(notice.words)}){{e<={notice.edits}}}(?![^ ])"))
+            self.machines.append(regex.compile(rf"(?b)(?:{regex.escape(notice.words)}){{e<={notice.edits}}}"))
         for piece, where in places.items():
             self.seeds.add_word(piece, where)
         self.seeds.make_automaton()
@@ -159,23 +159,21 @@ class Search:
         return found
 
     def best(self, n: int, line: str, begin: int, stop: int):
-        """The matches of a notice between two word boundaries: the best one, then those beside it."""
+        """The matches of a notice in a window: the best one, then those beside it."""
         rest = [(begin, stop)]
         while rest:
             begin, stop = rest.pop()
             m = self.machines[n].search(line, begin, stop) if begin < stop else None
             if m:
                 yield m
-                rest += [(begin, m.start() - 1), (m.end() + 1, stop)]
+                rest += [(begin, m.start()), (m.end(), stop)]
 
     def hits(self, line: str) -> list[tuple[int, int, int, int]]:
         """(start, end, edits, notice) of the hits that stay, in order."""
         found = []
         for n, spans in self.windows(line).items():
             for begin, stop in spans:
-                begin = line.rfind(" ", 0, max(0, begin) + 1) + 1
-                stop = line.find(" ", stop) if stop < len(line) else -1
-                for m in self.best(n, line, begin, len(line) if stop < 0 else stop):
+                for m in self.best(n, line, max(0, begin), min(len(line), stop)):
                     found.append((sum(m.fuzzy_counts), -len(self.notices[n].words), n, m.start(), m.end()))
         stay: list[tuple[int, int, int, int]] = []
         for edits, _, n, s, e in sorted(found):
@@ -186,14 +184,16 @@ class Search:
 
 
 def in_text(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans of whole words in the line of words, as code points of the text."""
-    at, starts, ends = 0, {}, {}
+    """Spans in the line of words, widened to whole words, as code points of the text."""
+    lined, starts, ends = 0, [], []
+    places = []
     for m in regex.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text):
-        starts[at] = m.start()
-        at += m.end() - m.start()
-        ends[at] = m.end()
-        at += 1
-    return [(starts[s], ends[e]) for s, e in spans]
+        starts.append(lined)
+        ends.append(lined + m.end() - m.start())
+        places.append(m.span())
+        lined = ends[-1] + 1
+    # the word that ends after the first character, and the one that starts before the last
+    return [(places[bisect(ends, s + 1)][0], places[bisect(starts, e) - 1][1]) for s, e in spans]
 
 
 def scan(text: str | None, search: Search) -> dict:

@@ -123,3 +123,21 @@ root AS (SELECT digest AS root FROM top WHERE size = 1)
 SELECT doc_id, leaf, g.digest AS subroot, root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root AS verified
 FROM l JOIN g ON l.tree = g.grp JOIN ended USING (rid), root
 """
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+COLLOCATIONS = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, k, array_to_string(ws[i:i+k-1], ' ') AS phrase FROM w, unnest([1, 2, 3, 4]) AS t(k), unnest(range(1, len(ws) - k + 2)) AS u(i)),
+f AS (SELECT lang, k, phrase, count(*)::BIGINT AS a FROM g GROUP BY lang, k, phrase),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k AS len, phrase, string_split(phrase, ' ') AS ws, a FROM f WHERE k > 1 AND a >= 30),
+cut AS (SELECT c.*, cut, l.a AS l, r.a AS r, ((2000000::HUGEINT * c.a) // (l.a + r.a))::BIGINT AS score FROM c, unnest(range(1, len)) AS t(cut)
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(ws[1:cut], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(ws[cut+1:], ' ')),
+low AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS best FROM cut) WHERE best = 1),
+part AS (SELECT lang, array_to_string(ws[i:i+m-1], ' ') AS phrase, max(a) AS longer FROM c, unnest([2, 3]) AS t(m), unnest(range(1, len - m + 2)) AS u(i) WHERE m < len GROUP BY ALL),
+kept AS (SELECT low.* FROM low LEFT JOIN part USING (lang, phrase) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= 2000
+"""

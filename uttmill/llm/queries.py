@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .classifier import scored, train
+from .collocations import collocations
 from .decontamination import leaks
 from .html_template import main_texts
 from .licenses import labels, licenses
@@ -133,3 +134,8 @@ def license_scan(spark, folder):
         "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"),
         F.array_join(labels(), ",").alias("labels"), "score", F.array_join(spans, ",").alias("spans"),
     )
+
+
+@query("op12_phrase_collocations", oracles.COLLOCATIONS)
+def phrase_collocations(spark, folder):
+    return collocations(table(spark, folder, "documents"))
