@@ -198,7 +198,7 @@ def j14(spark, d):
     one = F.concat("ref", F.array(F.lit("zzz")))
     two = F.when(F.size("hyp") > 1, F.slice("hyp", F.lit(1), F.size("hyp") - 1)).otherwise(F.col("hyp"))
     hyps = rows.select("utt", F.when(F.col("straight"), F.array(one, two)).otherwise(F.array(two, one)).alias("hyps"))
-    best = scoring.permutation_score(refs, hyps, 2, 2)
+    best = scoring.permutation_score(refs, hyps)
     return best.select("utt", F.array_join(F.col("assignment").cast("array<string>"), " ").alias("assignment"), "errors")
 
 

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import permutations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed_values import FAILED_SCORE, FAILED_TEXT, FAILED_TOKEN_ID, REPORT_WEIGHTS, SPACE
+from ..functions.assignment import best_assignment
 from ..functions.edits import edit_counts
 from ..functions.let import let
 from ..functions.sequences import count_equal
@@ -207,34 +207,35 @@ def confusion(df: DataFrame, ref: str, hyp: str) -> DataFrame:
     return df.groupBy(ref, hyp).agg(F.count(F.lit(1)).alias("n"))
 
 
-def permutation_score(refs: DataFrame, hyps: DataFrame, num_ref: int, num_inf: int, weights=REPORT_WEIGHTS) -> DataFrame:
+def permutation_score(refs: DataFrame, hyps: DataFrame, weights=REPORT_WEIGHTS) -> DataFrame:
     """Best assignment of hypothesis to reference speakers per utterance.
 
-    ``refs`` (utt, refs) and ``hyps`` (utt, hyps) hold one token array per speaker.
-    Returns (utt, assignment, errors): ``assignment[i]`` is the hypothesis of reference i.
+    ``refs`` (utt, refs) and ``hyps`` (utt, hyps) hold one token array per speaker, any number of them.
+    Returns (utt, assignment, errors): ``assignment[i]`` is the hypothesis of reference i, or -1
+    where there are fewer hypotheses than references; such a reference counts as lost words.
+    Hypotheses that no reference gets do not count.  The table of errors of an utterance
+    is solved by shortest augmenting paths, so the plan is the same for any number of speakers.
     """
     joined = refs.join(hyps, "utt")
     pairs = joined.select("utt", F.posexplode("refs").alias("i", "ref"), "hyps").select(
-        "utt", "i", "ref", F.posexplode("hyps").alias("j", "hyp")
-    )
-    scored = with_edit_counts(pairs, F.col("ref"), F.col("hyp"), weights).withColumn(
-        "errors", F.col("sub") + F.col("del") + F.col("ins")
-    )
-    table = scored.groupBy("utt").agg(
-        *[
-            F.max(F.when((F.col("i") == i) & (F.col("j") == j), F.col("errors"))).alias(f"_e{i}_{j}")
-            for i in range(num_ref)
-            for j in range(num_inf)
-        ]
-    )
-    options = []
-    for choice in permutations(range(num_inf), num_ref):
-        total = sum((F.col(f"_e{i}_{j}") for i, j in enumerate(choice)), F.lit(0).cast("bigint"))
-        options.append(
-            F.struct(total.alias("errors"), F.array(*[F.lit(j).cast("bigint") for j in choice]).alias("assignment"))
-        )
-    best = F.array_min(F.array(*options)) if len(options) > 1 else options[0]
-    return table.select("utt", best.alias("_b")).select("utt", "_b.assignment", "_b.errors")
+        "utt", "i", "ref", F.posexplode_outer("hyps").alias("j", "hyp")
+    )
+    scored = with_edit_counts(pairs, F.col("ref"), F.col("hyp"), weights).select(
+        "utt", "i", "j", (F.col("sub") + F.col("del") + F.col("ins")).alias("errors"), (F.col("corr") + F.col("sub") + F.col("del")).alias("words")
+    )
+    # a table has one cell per pair of speakers of an utterance
+    by_ref = scored.groupBy("utt", "i").agg(
+        F.max("words").alias("words"), F.array_sort(F.collect_list(F.when(F.col("j").isNotNull(), F.struct("j", "errors")))).alias("cells")
+    )
+    tables = by_ref.groupBy("utt").agg(F.array_sort(F.collect_list(F.struct("i", "words", "cells"))).alias("rows"))
+    missing = F.greatest(F.size("rows") - F.size(F.col("rows")[0]["cells"]), F.lit(0))
+    costs = F.transform(
+        "rows",
+        lambda r: F.concat(F.transform(r["cells"], lambda c: c["errors"]), F.array_repeat(r["words"], missing)),
+    )
+    best = tables.select("utt", F.size(F.col("rows")[0]["cells"]).alias("_n"), best_assignment(costs).alias("_b"))
+    place = F.transform("_b.assignment", lambda j: F.when(j < F.col("_n"), j).otherwise(F.lit(-1).cast("bigint")))
+    return best.select("utt", place.alias("assignment"), F.col("_b.total").alias("errors"))
 
 
 def fill_undecoded(expected: DataFrame, hyps: DataFrame, nbest: int) -> DataFrame:
