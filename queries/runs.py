@@ -104,9 +104,9 @@ _PAIRED = """mk AS (SELECT user_id, event_id, ts, event_type, value, lead(event_
  pa AS (SELECT * FROM mk WHERE event_type = 'view' AND next_type = 'purchase')"""
 
 
-def _paired(spark, d):
+def _paired(spark, d, **kwargs):
     return runs.pair_markers(
-        table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type", "view", "purchase", ["event_id", "ts", "value"]
+        table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type", "view", "purchase", ["event_id", "ts", "value"], **kwargs
     )
 
 
@@ -115,6 +115,12 @@ def w9(spark, d):
     return _paired(spark, d).select("user_id", "event_id", "end_event_id")
 
 
+# jobs with more than 10 events count as hot
+@query("w9_hot_jobs", f"WITH {_PAIRED} SELECT user_id, event_id, next_id AS end_event_id FROM pa")
+def w9_hot(spark, d):
+    return _paired(spark, d, hot_rows=10).select("user_id", "event_id", "end_event_id")
+
+
 @query(
     "a20_decode_rtf",
     f"""WITH {_PAIRED}, s AS (SELECT (epoch_us(next_ts) - epoch_us(ts)) / 1000000.0::DOUBLE AS decode, value AS audio FROM pa)

@@ -30,18 +30,28 @@ SEED = 7
 BUDGET = 50000
 
 
-@query(
-    "s1_budgeted_diverse_sample",
-    f"""WITH {CLIPS}, r AS (SELECT *, row_number() OVER (PARTITION BY lang, text ORDER BY {digest_sql(SEED, 'clip')}, clip) AS round FROM c),
+_SAMPLE = f"""WITH {CLIPS}, r AS (SELECT *, row_number() OVER (PARTITION BY lang, text ORDER BY {digest_sql(SEED, 'clip')}, clip) AS round FROM c),
     o AS (SELECT *, coalesce(sum(cost) OVER (PARTITION BY lang ORDER BY round, {digest_sql(SEED, 'text')}, text
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS cost_before FROM r)
-    SELECT clip, lang, round::BIGINT AS round, cost, cost_before FROM o WHERE cost_before <= {BUDGET}""",
-)
-def s1(spark, d):
-    sample = sampling.budgeted_diverse_sample(clips(spark, d), "lang", "text", "cost", BUDGET, SEED, "clip")
+    SELECT clip, lang, round::BIGINT AS round, cost, cost_before FROM o WHERE cost_before <= {BUDGET}"""
+
+
+def _sample(spark, d, **kwargs):
+    sample = sampling.budgeted_diverse_sample(clips(spark, d), "lang", "text", "cost", BUDGET, SEED, "clip", **kwargs)
     return sample.select("clip", "lang", "round", "cost", "cost_before")
 
 
+@query("s1_budgeted_diverse_sample", _SAMPLE)
+def s1(spark, d):
+    return _sample(spark, d)
+
+
+# groups from 100 rows on count as hot: the languages are cut into spans
+@query("s1_hot_groups", _SAMPLE)
+def s1_hot(spark, d):
+    return _sample(spark, d, hot_rows=100)
+
+
 @query(
     "subsample_clips",
     f"""WITH {CLIPS}, q AS (SELECT regexp_replace(clip, '[.][^.]*$', '') AS utt, clip, lang, {squash_sql('text')} AS text, cost / 8.0::DOUBLE AS seconds FROM c),
@@ -155,17 +165,45 @@ _DEAL = f"""ru AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_i
  dealt AS (SELECT ru.utt||'-'||(j // n + 1) AS new_utt, rt.prefix, rt.postfix, rt.output, ru.spk, rt.line FROM ru JOIN rt ON ru.text = rt.text AND rt.j % ru.n = ru.i)"""
 
 
-@query("j7_deal_targets", f"WITH {_GENERATED}, {_UTTS}, {_DEAL} SELECT new_utt, prefix, postfix, output, spk, line FROM dealt")
-def j7(spark, d):
+_DEALT = f"WITH {_GENERATED}, {_UTTS}, {_DEAL} SELECT new_utt, prefix, postfix, output, spk, line FROM dealt"
+
+
+def _targets(spark, d):
     targets = _generated(spark, d).select(
         "line", "text", *[json_unquote(F.col(c)).alias(c) for c in ("prefix", "postfix", "output")]
     )
-    dealt, _ = sampling.deal_targets(
-        _utts(spark, d), targets.where("output <> ''").withColumn("at", F.col("line")), "doc_id", "at"
-    )
+    return targets.where("output <> ''").withColumn("at", F.col("line"))
+
+
+def _dealt(spark, d, **kwargs):
+    dealt, _ = sampling.deal_targets(_utts(spark, d), _targets(spark, d), "doc_id", "at", **kwargs)
     return dealt.select("new_utt", "prefix", "postfix", "output", "spk", "line")
 
 
+@query("j7_deal_targets", _DEALT)
+def j7(spark, d):
+    return _dealt(spark, d)
+
+
+# texts with more than one row count as hot
+@query("j7_hot_texts", _DEALT)
+def j7_hot(spark, d):
+    return _dealt(spark, d, hot_rows=1)
+
+
+@query(
+    "j7_leftover_targets",
+    f"""WITH {_GENERATED}, {_UTTS}, lt AS (SELECT line, output, CASE WHEN line % 5 = 0 THEN text || ' ' || line ELSE text END AS text FROM ge WHERE output <> '')
+    SELECT line, text, output FROM lt WHERE text NOT IN (SELECT text FROM u)""",
+)
+def j7_leftover(spark, d):
+    # every fifth target is for a text that nobody says
+    lost = F.concat_ws(" ", "text", F.col("line").cast("string"))
+    targets = _targets(spark, d).withColumn("text", F.when(F.col("line") % 5 == 0, lost).otherwise(F.col("text")))
+    _, leftover = sampling.deal_targets(_utts(spark, d), targets, "doc_id", "at")
+    return leftover.select("line", "text", "output")
+
+
 _VOCAB = f"""wc AS (SELECT w AS token, count(*) AS n FROM (SELECT unnest({words_sql('text')}) AS w FROM documents) GROUP BY 1),
  vo AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) + 1 AS id FROM wc)"""
 

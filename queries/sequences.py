@@ -51,6 +51,13 @@ def b5(spark, d):
     return batching.batch_by_bins(rows, 60000000, F.col("samples")).select("utt", "samples", "length_class", "batch")
 
 
+# length classes with more than 20 rows count as hot
+@query("b5_hot_classes", _batch_sql("length_class", "60000000 // longest"))
+def b5_hot(spark, d):
+    rows = manifest(spark, d).select("utt", "samples")
+    return batching.batch_by_bins(rows, 60000000, F.col("samples"), hot_rows=20).select("utt", "samples", "length_class", "batch")
+
+
 @query("b7_batch_by_category", _batch_sql("lang, length_class", "60000000 // longest"))
 def b7(spark, d):
     rows = manifest(spark, d).select("utt", "samples", "lang")
@@ -58,6 +65,49 @@ def b7(spark, d):
     return batches.select("utt", "samples", "lang", "length_class", "batch")
 
 
+def _loop_sql(order, fits):
+    """A loop over the sorted rows, one step each: (i, batch, held, first) of the open batch."""
+    return f"""WITH RECURSIVE {MANIFEST}, so AS (SELECT utt, samples, samples // 2000000 AS fold, row_number() OVER (ORDER BY {order}, {digest_sql(0, 'utt')}) AS i FROM m),
+    lo AS (SELECT 1::BIGINT AS i, 0::BIGINT AS batch, 1::BIGINT AS held, (SELECT fold FROM so WHERE i = 1) AS first
+      UNION ALL SELECT so.i, CASE WHEN {fits} THEN batch ELSE batch + 1 END, CASE WHEN {fits} THEN held + 1 ELSE 1 END, CASE WHEN {fits} THEN first ELSE fold END
+      FROM lo JOIN so ON so.i = lo.i + 1)"""
+
+
+_GREEDY = _loop_sql("least(samples, 60000001)", "(held + 1) * samples <= 60000000")
+
+
+def _greedy(spark, d):
+    return batching.greedy_batches(manifest(spark, d).select("utt", "samples"), 60000000, F.col("samples"))
+
+
+@query("b5_greedy_batches", f"{_GREEDY} SELECT utt, samples, batch FROM lo JOIN so USING (i)")
+def b5_greedy(spark, d):
+    return _greedy(spark, d).select("utt", "samples", "batch")
+
+
+@query("b4_greedy_folded", f"{_loop_sql('fold DESC', 'held < greatest(1, 20 // (first + 1))')} SELECT utt, samples, fold, batch FROM lo JOIN so USING (i)")
+def b4_greedy(spark, d):
+    rows = manifest(spark, d).select("utt", "samples")
+    return batching.greedy_folded(rows, 20, [F.col("samples")], [2000000]).select("utt", "samples", "fold", "batch")
+
+
+@query(
+    "b5_batch_fill",
+    f"""{_GREEDY}, {_STEPS.removeprefix(f"{MANIFEST}, ")}, rk AS (SELECT *, row_number() OVER (PARTITION BY length_class ORDER BY step, {digest_sql(0, 'utt')}, utt) - 1 AS i, max(samples) OVER (PARTITION BY length_class) AS longest FROM sp),
+    ba AS (SELECT 'greedy' AS method, samples, 0::BIGINT AS class, batch FROM lo JOIN so USING (i)
+      UNION ALL SELECT 'classes', samples, length_class, (i // greatest(1, 60000000 // longest))::BIGINT FROM rk),
+    sz AS (SELECT method, count(*) AS n, max(samples) AS longest, sum(samples) AS used FROM ba GROUP BY method, class, batch)
+    SELECT method, count(*)::BIGINT AS batches, sum(n)::BIGINT AS rows, round(avg(n * longest / 60000000.0::DOUBLE), 6) AS fill, round(1 - sum(used)::DOUBLE / sum(n * longest), 6) AS padding FROM sz GROUP BY method""",
+)
+def b5_fill(spark, d):
+    classes = batching.batch_by_bins(manifest(spark, d).select("utt", "samples"), 60000000, F.col("samples"))
+    made = [("greedy", _greedy(spark, d), ["batch"]), ("classes", classes, ["length_class", "batch"])]
+    rows = [batching.batch_fill(df, batch, F.col("samples"), 60000000).withColumn("method", F.lit(name)) for name, df, batch in made]
+    return rows[0].unionByName(rows[1]).select(
+        "method", "batches", "rows", F.round("fill", 6).alias("fill"), F.round("padding", 6).alias("padding")
+    )
+
+
 # Batches of 20 along the length.
 _FIXED = f"{MANIFEST}, bf AS (SELECT utt, samples, ((row_number() OVER (ORDER BY samples DESC, utt) - 1) // 20)::BIGINT AS batch FROM m)"
 _PLACED = f"""{_FIXED}, hd AS (SELECT batch, row_number() OVER (ORDER BY max(samples), min(utt)) - 1 AS batch_place FROM bf GROUP BY batch),

@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import defaultdict
 
@@ -17,6 +18,68 @@ def utts(spark):
     return spark.createDataFrame(data, "utt string, n bigint, cat string").cache()
 
 
+def loop(rows, fits):
+    """Batches of a plain loop over sorted rows."""
+    batches, held = [], []
+    for r in rows:
+        if held and not fits(held, r):
+            batches.append(held)
+            held = []
+        held.append(r)
+    return batches + [held] if held else batches
+
+
+def digest_of(utt):
+    return hashlib.md5(f"0|{utt}".encode()).hexdigest()
+
+
+def as_batches(got, category=False):
+    found = defaultdict(set)
+    for r in got:
+        found[(r["cat"] if category else None), r["batch"]].add(r["utt"])
+    return dict(found)
+
+
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize(("bins", "dim", "least"), [(6000, 1, 1), (6000, 4, 1), (6000, 1, 7), (50_000, 1, 3), (900, 1, 1)])
+def test_greedy_batches_are_those_of_a_loop(utts, bins, dim, least, descending):
+    got = batching.greedy_batches(utts, bins, F.col("n"), dim=dim, min_batch_size=least, descending=descending, hot_rows=100).collect()
+    # lengths that stand alone are alike
+    rows = sorted(utts.collect(), key=lambda r: ((-1 if descending else 1) * min(r["n"], bins // dim + 1), digest_of(r["utt"])))
+    fits = lambda held, r: len(held) < least or (len(held) + 1) * max(x["n"] for x in [*held, r]) * dim <= bins
+    want = {(None, i): {r["utt"] for r in held} for i, held in enumerate(loop(rows, fits))}
+    assert as_batches(got) == want
+
+
+def test_greedy_batches_by_category_with_nulls(spark, utts, partitions):
+    odd = utts.unionByName(spark.createDataFrame([("x1", 10, None), ("x2", 20, None), ("x3", 0, None)], utts.schema))
+    got = batching.greedy_batches(odd, 6000, F.col("n"), category=["cat"]).collect()
+    want = {}
+    for cat in ("a", "b", None):
+        rows = sorted((r for r in odd.collect() if r["cat"] == cat), key=lambda r: (max(1, r["n"]), digest_of(r["utt"])))
+        fits = lambda held, r: (len(held) + 1) * max(1, r["n"]) <= 6000
+        want |= {(cat, i): {r["utt"] for r in held} for i, held in enumerate(loop(rows, fits))}
+    assert as_batches(got, True) == want
+    none = batching.greedy_batches(odd.where("n < 0"), 6000, F.col("n"))
+    assert none.count() == 0
+
+
+def test_greedy_folded_batches_are_those_of_a_loop(utts):
+    got = batching.greedy_folded(utts, 40, [F.col("n")], [500], min_batch_size=9).collect()
+    rows = sorted(utts.collect(), key=lambda r: (-(r["n"] // 500), digest_of(r["utt"])))
+    fits = lambda held, r: len(held) < max(9, 40 // (1 + held[0]["n"] // 500))
+    assert as_batches(got) == {(None, i): {r["utt"] for r in held} for i, held in enumerate(loop(rows, fits))}
+    assert all(r["fold"] == r["n"] // 500 for r in got)
+
+
+def test_greedy_batches_are_fuller_than_classes(utts):
+    greedy = batching.batch_fill(batching.greedy_batches(utts, 60_000, F.col("n")), ["batch"], F.col("n"), 60_000).first()
+    classes = batching.batch_fill(batching.batch_by_bins(utts, 60_000, F.col("n")), ["length_class", "batch"], F.col("n"), 60_000).first()
+    assert greedy["rows"] == classes["rows"] == 2000
+    assert greedy["fill"] > 0.9 > classes["fill"] and greedy["batches"] < classes["batches"]
+    assert 0 <= greedy["padding"] < 0.2
+
+
 @pytest.mark.parametrize("hot_rows", [20, 10_000])
 def test_no_batch_is_above_its_bins(utts, hot_rows, partitions):
     got = batching.batch_by_bins(utts, 6000, F.col("n"), category=["cat"], hot_rows=hot_rows)

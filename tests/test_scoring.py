@@ -1,10 +1,13 @@
 import math
 import random
+from itertools import permutations
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from uttmill.functions import edits
+from uttmill.functions.assignment import assign
 from uttmill.functions.edits import align_all, align_counts
 from uttmill.functions.text import tokenize
 from uttmill.operators import ngrams, scoring
@@ -99,10 +102,81 @@ def test_missing_hypothesis_counts_as_deleted(spark):
 def test_permutation_of_three_speakers(spark):
     refs = spark.createDataFrame([("u", [["a"], ["b"], ["c"]])], "utt string, refs array<array<string>>")
     hyps = spark.createDataFrame([("u", [["c"], ["a"], ["x", "b"]])], "utt string, hyps array<array<string>>")
-    row = scoring.permutation_score(refs, hyps, 3, 3).first()
+    row = scoring.permutation_score(refs, hyps).first()
     assert row["assignment"] == [1, 2, 0] and row["errors"] == 1
 
 
+def test_assignments_against_all_permutations():
+    rng = np.random.default_rng(5)
+    for _ in range(400):
+        cols = int(rng.integers(1, 7))
+        rows = int(rng.integers(1, cols + 1))
+        cost = rng.integers(0, int(rng.integers(2, 12)), size=(rows, cols))
+        best = min((sum(int(cost[i, j]) for i, j in enumerate(p)), p) for p in permutations(range(cols), rows))
+        assert tuple(assign(cost)) == best[1]
+
+
+def test_twelve_speakers_in_a_plan_of_fixed_size(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(30)]
+    refs = [[rng.choice(words) for _ in range(12)] for _ in range(12)]
+    turn = list(range(12))
+    rng.shuffle(turn)
+    hyps = [None] * 12
+    for i, j in enumerate(turn):
+        hyps[j] = [*refs[i][:-1], "zz"]
+
+    def scored(n):
+        left = spark.createDataFrame([("u", refs[:n])], "utt string, refs array<array<string>>")
+        right = spark.createDataFrame([("u", [hyps[j] for j in sorted(turn[:n])])], "utt string, hyps array<array<string>>")
+        return scoring.permutation_score(left, right)
+
+    row = scored(12).first()
+    assert row["assignment"] == turn and row["errors"] == 12
+    sizes = [scored(n)._jdf.queryExecution().optimizedPlan().treeString().count("\n") for n in (2, 12)]
+    assert sizes[0] == sizes[1]
+
+
+def test_more_references_than_hypotheses(spark):
+    refs = spark.createDataFrame(
+        [("u", [["a", "b"], ["c"], ["d", "e", "f"]]), ("none", [["a"], ["b", "c"]])], "utt string, refs array<array<string>>"
+    )
+    hyps = spark.createDataFrame([("u", [["c"], ["d", "e"]]), ("none", [])], "utt string, hyps array<array<string>>")
+    rows = {r["utt"]: r for r in scoring.permutation_score(refs, hyps).collect()}
+    assert rows["u"]["assignment"] == [-1, 0, 1] and rows["u"]["errors"] == 3
+    assert rows["none"]["assignment"] == [-1, -1] and rows["none"]["errors"] == 3
+    more = scoring.permutation_score(refs.select("utt", F.array(F.array(F.lit("d"), F.lit("e"))).alias("refs")), hyps).where("utt = 'u'")
+    assert more.first()["assignment"] == [1] and more.first()["errors"] == 0
+
+
+@pytest.mark.parametrize("first_band", [1, 3, 16])
+@pytest.mark.parametrize("weights", [(4, 3, 3), (1, 1, 1), (2, 5, 1)])
+def test_bands_give_the_counts_of_the_whole_table(weights, first_band, monkeypatch):
+    monkeypatch.setattr(edits, "FIRST_BAND", first_band)
+    rng = random.Random(3)
+    refs, hyps = [], []
+    for _ in range(60):
+        ref = [rng.randrange(5) for _ in range(rng.randrange(70))]
+        hyp = [t for t in ref if rng.random() > 0.1] if rng.random() < 0.6 else [rng.randrange(5) for _ in range(rng.randrange(70))]
+        for _ in range(rng.randrange(6)):
+            hyp.insert(rng.randrange(len(hyp) + 1), rng.randrange(5))
+        refs.append(ref)
+        hyps.append(hyp)
+    sides = [[np.array(x, dtype=np.int64) for x in side] for side in (refs, hyps)]
+    got = [tuple(r) for r in align_all(*sides, weights).tolist()]
+    assert got == [plain_alignment(r, h, weights) for r, h in zip(refs, hyps)]
+
+
+def test_the_band_follows_the_distance(monkeypatch):
+    widths = []
+    band = edits._band
+    monkeypatch.setattr(edits, "_band", lambda *a: widths.append(a[5] - a[4] + 1) or band(*a))
+    text = np.random.default_rng(1).integers(0, 30, 5000)
+    other = np.delete(text, [100, 2500, 4000])
+    assert align_counts(text, other, (4, 3, 3)) == (4997, 0, 3, 0)
+    assert widths == [2 * edits.FIRST_BAND + 1 + 3]
+
+
 def test_macro_average_leaves_nothing_out_by_default(spark):
     df = spark.createDataFrame([("wnli", 0.0), ("rte", 1.0)], "task string, score double")
     assert scoring.macro_average(df, "task", "score").first()["average"] == 0.5

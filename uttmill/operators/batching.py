@@ -1,20 +1,22 @@
 """Splits, batches, chunks and padding.
 
-Batch sizes depend on lengths, so rows are first put into length classes; inside a
-class the batch of a row is its rank divided by the capacity of the class.  No task
-walks through a sorted list, and the result does not depend on partitioning.
+Batch sizes depend on lengths.  Either rows are first put into length classes, and inside a
+class the batch of a row is its rank divided by the capacity of the class; or the sampler's greedy
+loop is run over the different lengths and their counts (``greedy_batches``).  No task
+walks through a sorted list of rows, and the result does not depend on partitioning.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.chance import shuffle_key, slot, unit
 from ..functions.sequences import chunk_starts, pad
-from .ranking import HOT_ROWS, dense_index, hash_span, rank_in_group
+from .ranking import HOT_ROWS, dense_index, hash_span, rank_in_group, rows_of
 
 
 def split_keys(df: DataFrame, n: int, utt: str = "utt") -> DataFrame:
@@ -155,6 +157,119 @@ def batch_folded(
     return _in_classes(classed, [*category, "fold"], lengths[0], capacity, utt, min_batch_size, hot_rows)
 
 
+def _walked(counts: list[int], capacities: list[int], first_decides: bool) -> tuple[list[int], list[int]]:
+    """Where the batches of a sequential loop fall in runs of rows with the same capacity.
+
+    Of each run ``head`` rows still join the open batch, number ``number``; the others start new
+    batches of the run's capacity.  A batch is open while it has fewer rows than its
+    capacity: that of its first row, or of the row to join.
+    """
+    heads, numbers = [], []
+    rows, number, limit = 0, 0, 0
+    for count, capacity in zip(counts, capacities):
+        if not first_decides or not rows:
+            limit = capacity
+        head = max(0, min(count, limit - rows))
+        heads.append(head)
+        numbers.append(number)
+        rows += head
+        rest = count - head
+        if rest:
+            full = -(-rest // capacity)
+            number, rows, limit = number + full, rest - (full - 1) * capacity, capacity
+    return heads, numbers
+
+
+def _greedy(
+    df: DataFrame, category: list[str], key: Column, capacity: Column, utt: str, descending: bool, hot_rows: int
+) -> DataFrame:
+    """Adds ``batch``, as a loop over the rows in the order of (key, digest of ``utt``) makes them.
+
+    Rows of one key are alike, so the loop runs over the keys and their counts: a category
+    has no more of them than different keys, whatever its rows, and the rows only look up
+    where the batches fall in their run.  ``capacity`` says how many rows a batch may have when
+    its longest one has this key.
+    """
+    keyed = df.withColumn("_cap_key", key.cast("bigint")).withColumn("_row", shuffle_key(0, F.col(utt)))
+    keyed = keyed.withColumn("_key_of", F.struct(*[F.col(c) for c in category], "_cap_key"))
+    sizes = keyed.groupBy("_key_of").agg(F.count(F.lit(1)).alias("n"), F.max(capacity.cast("bigint")).alias("capacity"))
+    kind = sizes.schema["_key_of"].dataType.simpleString()
+    group = [F.col(f"_key_of.{c}").alias(f"_c{i}") for i, c in enumerate(category)] or [F.lit(0).alias("_c0")]
+    sizes = sizes.select("_key_of", "n", "capacity", F.col("_key_of._cap_key").alias("_at"), *group)
+
+    def walk(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("_at", "descending" if descending else "ascending")])
+        heads, numbers = _walked(table["n"].to_pylist(), table["capacity"].to_pylist(), descending)
+        return table.select(["_key_of", "capacity"]).append_column("head", pa.array(heads, pa.int64())).append_column("number", pa.array(numbers, pa.int64()))
+
+    runs = sizes.groupBy(*[f"_c{i}" for i in range(max(1, len(category)))]).applyInArrow(
+        walk, f"_key_of {kind}, capacity bigint, head bigint, number bigint"
+    )
+    runs = runs.select("_key_of", F.struct("capacity", "head", "number").alias("_run"))
+    ranked = rank_in_group(keyed, ["_key_of"], [F.col("_row"), F.col(utt)], "_rank", hash_span(F.col("_row")), hot_rows)
+    late = F.col("_rank") - 1 - F.col("_run.head")
+    place = F.col("_run.number") + F.when(late < 0, 0).otherwise(1 + F.floor(late / F.col("_run.capacity")))
+    return ranked.join(runs, "_key_of").withColumn("batch", place.cast("bigint")).drop("_key_of", "_cap_key", "_row", "_rank", "_run")
+
+
+def greedy_batches(
+    df: DataFrame,
+    bins: int,
+    length: Column,
+    utt: str = "utt",
+    dim: int = 1,
+    category: Sequence[str] = (),
+    min_batch_size: int = 1,
+    descending: bool = False,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Adds ``batch``: the rows sorted by length, cut by the sampler's own greedy rule, exactly.
+
+    A row joins the open batch while rows times longest row times ``dim`` stay within ``bins``, or
+    while the batch has fewer than ``min_batch_size`` rows; else it opens the next one.  Rows of one length
+    stand in the order of their digest.  Lengths above ``bins / dim`` are alike, as each
+    stands alone, so the loop has at most ``bins / dim + 1`` steps.
+    """
+    most = bins // dim
+    clipped = F.greatest(F.lit(1), F.least(length.cast("bigint"), F.lit(most + 1)))
+    capacity = F.greatest(F.lit(max(1, min_batch_size)).cast("bigint"), F.floor(F.lit(bins) / (F.col("_cap_key") * dim)))
+    return _greedy(df, list(category), clipped, capacity, utt, descending, hot_rows)
+
+
+def greedy_folded(
+    df: DataFrame,
+    size: int,
+    lengths: Sequence[Column],
+    folds: Sequence[int],
+    utt: str = "utt",
+    category: Sequence[str] = (),
+    min_batch_size: int = 1,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Adds ``fold`` and ``batch``: rows sorted by how often their longest input is folded, the most folded first.
+
+    The size of a batch is divided by 1 + the fold of its first row; batches may go on into smaller folds.
+    """
+    factors = [F.floor(n / F.lit(f)).cast("bigint") for n, f in zip(lengths, folds)]
+    folded = df.withColumn("fold", F.greatest(*factors) if len(factors) > 1 else factors[0])
+    capacity = F.greatest(F.lit(max(1, min_batch_size)).cast("bigint"), F.floor(F.lit(size) / (F.col("_cap_key") + 1)))
+    return _greedy(folded, list(category), F.col("fold"), capacity, utt, True, hot_rows)
+
+
+def batch_fill(df: DataFrame, batch: Sequence[str], length: Column, bins: int, dim: int = 1) -> DataFrame:
+    """One row: batches, rows, ``fill`` (mean of rows x longest x dim / bins) and ``padding`` (share of padded places)."""
+    made = df.groupBy(*batch).agg(
+        F.count(F.lit(1)).alias("_n"), F.max(length.cast("bigint")).alias("_longest"), F.sum(length.cast("bigint")).alias("_used")
+    )
+    places = F.col("_n") * F.col("_longest")
+    return made.agg(
+        F.count(F.lit(1)).alias("batches"),
+        F.sum("_n").alias("rows"),
+        F.avg(places * dim / F.lit(bins)).alias("fill"),
+        (F.lit(1.0) - F.sum("_used") / F.sum(places)).alias("padding"),
+    )
+
+
 def order_batches(
     df: DataFrame,
     batch: Sequence[str],
@@ -202,12 +317,12 @@ def epoch_slice(
 
     Passes over all batches follow each other, each in its own seeded order.
     """
-    total = batches.count()
-    passes = -(-epochs * iterations // max(total, 1))
-    spread = batches.select(key).withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
+    total = F.greatest(rows_of(batches), F.lit(1).cast("bigint"))
+    passes = F.ceil(F.lit(epochs * iterations) / total)
+    spread = batches.select(key).withColumn("pass", F.explode(F.sequence(F.lit(0).cast("bigint"), passes - 1)))
     mixed = spread.withColumn("_row", shuffle_key(F.col("pass") + F.lit(seed), F.col(key)))
     ranked = rank_in_group(mixed, ["pass"], [F.col("_row"), F.col(key)], "_i", hash_span(F.col("_row")), hot_rows)
-    at = F.col("pass") * F.lit(total).cast("bigint") + F.col("_i") - 1
+    at = F.col("pass") * total + F.col("_i") - 1
     return (
         ranked.withColumn("_at", at)
         .where(F.col("_at") < epochs * iterations)

@@ -4,6 +4,10 @@ A plain window keeps a whole group in one task.  Here a group with more than
 ``hot_rows`` rows is cut into *spans*: consecutive pieces of its own order.
 Ranks are taken inside a span and shifted by the size of the spans before it,
 which gives exactly the numbers of the plain window.
+
+Which groups are hot is found inside the plan: one mergeable summary of the keys (a frequent-items
+sketch of bounded size) is broadcast, and every row looks itself up.  Nothing runs before the
+caller's action, and where no group is hot the part for the spans is empty and adaptive execution drops it.
 """
 
 from __future__ import annotations
@@ -17,11 +21,19 @@ from ..functions.chance import leading_number, shuffle_key, unit
 from ..session import cut_lineage
 
 HOT_ROWS = 1_000_000
-MAX_BROADCAST_ROWS = 100_000
+#: groups that the summary names at most, and the counters it keeps for them; a group may be
+#: missed only if it has less than about one in 3,000 of all rows
+MOST_HOT = 4096
+COUNTERS = 10_000
 
 Span = Callable[[Column], Column]
 
 
+def rows_of(df: DataFrame) -> Column:
+    """The number of rows as a scalar of the plan; it is counted in the caller's action."""
+    return df.agg(F.count(F.lit(1))).scalar()
+
+
 def hash_span(digest: Column) -> Span:
     """Spans for an order that starts with an md5 digest."""
     return lambda parts: F.floor(unit(digest) * parts)
@@ -33,45 +45,37 @@ def position_span(position: Column, hot_rows: int = HOT_ROWS, descending: bool =
     return lambda parts: -block if descending else block
 
 
-def _hot_parts(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame | None:
-    """(_group, _parts) of the hot groups, or None if there are none.
+def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
+    """(_group, _parts): the 64-bit hashes of hot keys and the spans they need; at most ``MOST_HOT`` rows.
 
-    Groups are counted by a 64-bit hash of the key, so that long texts are not
-    shuffled for it.  Two groups that share a hash only get more spans than needed.
+    Two groups that share a hash only get more spans than needed.
     """
-    counts = (
-        df.select(F.xxhash64(*keys).alias("_group"))
-        .groupBy("_group")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > hot_rows)
+    seen = df.select(F.xxhash64(*keys).alias("_group")).agg(F.expr(f"approx_top_k(_group, {MOST_HOT}, {COUNTERS})").alias("_top"))
+    return (
+        seen.select(F.explode("_top").alias("_one"))
+        .where(F.col("_one.count") > hot_rows)
+        .select(F.col("_one.item").alias("_group"), F.ceil(F.col("_one.count") / F.lit(hot_rows)).cast("bigint").alias("_parts"))
     )
-    hot = counts.select("_group", F.ceil(F.col("_n") / F.lit(hot_rows)).cast("bigint").alias("_parts"))
-    found = hot.take(MAX_BROADCAST_ROWS + 1)
-    if not found:
-        return None
-    if len(found) > MAX_BROADCAST_ROWS:
-        return hot
-    return F.broadcast(df.sparkSession.createDataFrame(found, "_group bigint, _parts bigint"))
 
 
-def _spanned(df: DataFrame, keys: Sequence[str], hot: DataFrame, span: Span) -> DataFrame:
+def _spanned(df: DataFrame, keys: Sequence[str], span: Span, hot_rows: int) -> DataFrame:
+    """The rows with ``_parts`` (null unless hot), ``_span``, and ``_key``, in which null keys are equal."""
     return (
         df.withColumn("_group", F.xxhash64(*keys))
-        .join(hot, "_group", "left")
+        .join(F.broadcast(hot_groups(df, keys, hot_rows)), "_group", "left")
         .withColumn(
             "_span", F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(span(F.col("_parts"))).cast("bigint")
         )
+        .withColumn("_key", F.struct(*keys))
         .drop("_group")
     )
 
 
-def _span_offsets(spanned: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
+def _span_offsets(spanned: DataFrame, value: Column) -> DataFrame:
     """Total of ``value`` over the earlier spans of each hot group."""
-    before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    totals = (
-        spanned.where(F.col("_parts").isNotNull()).groupBy(*keys, "_span").agg(F.sum(value).alias("_total"))
-    )
-    return totals.select(*keys, "_span", F.sum("_total").over(before).alias("_offset"))
+    before = Window.partitionBy("_key").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    totals = spanned.where(F.col("_parts").isNotNull()).groupBy("_key", "_span").agg(F.sum(value).alias("_total"))
+    return totals.select("_key", "_span", F.sum("_total").over(before).alias("_offset"))
 
 
 def rank_in_group(
@@ -85,29 +89,21 @@ def rank_in_group(
     """``row_number()`` per group as BIGINT, 1-based, for groups of any size.
 
     ``span`` maps a number of parts to a column that never decreases along
-    ``order``.  Without it a hot group is numbered through a global sort.
+    ``order``.  Without it the rows are numbered through a global sort.
     """
     keys = list(keys)
-    plain = Window.partitionBy(*keys).orderBy(*order)
-    hot = _hot_parts(df, keys, hot_rows)
-    if hot is None:
-        return df.withColumn(out, F.row_number().over(plain).cast("bigint"))
     if span is None:
-        indexed = dense_index(df, [F.col(k).asc() for k in keys] + list(order), "_at")
-        first = indexed.groupBy(*keys).agg(F.min("_at").alias("_first"))
-        return (
-            indexed.join(first, keys)
-            .withColumn(out, F.col("_at") - F.col("_first") + 1)
-            .drop("_at", "_first")
-        )
-    spanned = _spanned(df, keys, hot, span)
-    offsets = _span_offsets(spanned, keys, F.lit(1).cast("bigint"))
-    inside = Window.partitionBy(*keys, "_span").orderBy(*order)
+        indexed = dense_index(df, [F.col(k).asc() for k in keys] + list(order), "_at").withColumn("_key", F.struct(*keys))
+        first = indexed.groupBy("_key").agg(F.min("_at").alias("_first"))
+        return indexed.join(first, "_key").withColumn(out, F.col("_at") - F.col("_first") + 1).drop("_at", "_first", "_key")
+    spanned = _spanned(df, keys, span, hot_rows)
+    offsets = _span_offsets(spanned, F.lit(1).cast("bigint"))
+    inside = Window.partitionBy("_key", "_span").orderBy(*order)
     return (
         spanned.withColumn("_inside", F.row_number().over(inside))
-        .join(offsets, [*keys, "_span"], "left")
+        .join(offsets, ["_key", "_span"], "left")
         .withColumn(out, (F.col("_inside") + F.coalesce("_offset", F.lit(0))).cast("bigint"))
-        .drop("_inside", "_offset", "_span", "_parts")
+        .drop("_inside", "_offset", "_span", "_parts", "_key")
     )
 
 
@@ -126,24 +122,14 @@ def total_before(
     With ``at_most`` only rows whose total is not above it are returned; whole
     spans beyond it are left out before they are sorted.
     """
-    keys = list(keys)
     zero = F.lit(0)
-    hot = _hot_parts(df, keys, hot_rows)
-    if hot is None:
-        frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        result = df.withColumn(out, F.coalesce(F.sum(value).over(frame), zero))
-    else:
-        spanned = _spanned(df, keys, hot, span)
-        offsets = _span_offsets(spanned, keys, value)
-        frame = (
-            Window.partitionBy(*keys, "_span").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        )
-        joined = spanned.join(offsets, [*keys, "_span"], "left")
-        if at_most is not None:
-            joined = joined.where(F.coalesce("_offset", zero) <= at_most)
-        result = joined.withColumn(
-            out, F.coalesce("_offset", zero) + F.coalesce(F.sum(value).over(frame), zero)
-        ).drop("_offset", "_span", "_parts")
+    spanned = _spanned(df, list(keys), span, hot_rows)
+    joined = spanned.join(_span_offsets(spanned, value), ["_key", "_span"], "left")
+    if at_most is not None:
+        joined = joined.where(F.coalesce("_offset", zero) <= at_most)
+    frame = Window.partitionBy("_key", "_span").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    result = joined.withColumn(out, F.coalesce("_offset", zero) + F.coalesce(F.sum(value).over(frame), zero))
+    result = result.drop("_offset", "_span", "_parts", "_key")
     return result if at_most is None else result.where(F.col(out) <= at_most)
 
 

@@ -9,8 +9,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
-from .ranking import HOT_ROWS, _hot_parts, dense_index
+from .ranking import HOT_ROWS, hot_groups
+
+#: spans of a hot job
+SPANS = 256
 
 
 def epoch_metrics(log: DataFrame) -> DataFrame:
@@ -94,18 +98,26 @@ def pair_markers(
     """Each start event with the next marker of its job, where that is an end.
 
     Returns (job, <carry of the start>, end_<carry>).  ``order`` must be unique inside a
-    job.  A hot job is not put into one window: its events are numbered along a global
-    sort and neighbours are joined.
+    job.  The events of a hot job are cut into spans at quantiles of the first column of
+    ``order`` (a number, date or time), and the last event of a span meets the first of the next one.
     """
     marks = events.where(F.col(marker).isin(start, end)).select(job, *dict.fromkeys([*order, marker, *carry]))
     following = F.struct(marker, *carry)
-    if _hot_parts(marks, [job], hot_rows) is None:
-        ahead = Window.partitionBy(job).orderBy(*order)
-        paired = marks.withColumn("_next", F.lead(following).over(ahead))
+    first = F.col(order[0])
+    if not isinstance(marks.schema[order[0]].dataType, (NumericType, DateType, TimestampType, TimestampNTZType)):
+        paired = marks.withColumn("_next", F.lead(following).over(Window.partitionBy(job).orderBy(*order)))
     else:
-        indexed = dense_index(marks, [F.col(job), *[F.col(c) for c in order]], "_at")
-        after = indexed.select(job, (F.col("_at") - 1).alias("_at"), following.alias("_next"))
-        paired = indexed.join(after, [job, "_at"], "left")
+        keyed = marks.withColumn("_group", F.xxhash64(job))
+        hot = F.broadcast(hot_groups(marks, [job], hot_rows))
+        cuts = keyed.join(hot, "_group").groupBy("_group").agg(F.percentile_approx(first, [i / SPANS for i in range(1, SPANS)]).alias("_cuts"))
+        # as many rows as there are hot jobs
+        spanned = keyed.join(F.broadcast(cuts), "_group", "left").withColumn("_key", F.struct(job))
+        spanned = spanned.withColumn("_span", F.coalesce(F.size(F.filter("_cuts", lambda c: c <= first)), F.lit(0)))
+        ahead = Window.partitionBy("_key", "_span").orderBy(*order)
+        heads = spanned.where(F.col("_cuts").isNotNull()).groupBy("_key", "_span").agg(F.min_by(following, F.struct(*order)).alias("_head"))
+        heads = heads.select("_key", "_span", F.lead("_head").over(Window.partitionBy("_key").orderBy("_span")).alias("_head"))
+        paired = spanned.withColumn("_next", F.lead(following).over(ahead)).join(heads, ["_key", "_span"], "left")
+        paired = paired.withColumn("_next", F.coalesce("_next", "_head"))
     starts = paired.where((F.col(marker) == start) & (F.col(f"_next.{marker}") == end))
     return starts.select(job, *carry, *[F.col(f"_next.{c}").alias(f"end_{c}") for c in carry])
 

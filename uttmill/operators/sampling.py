@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import REPEAT_POSTFIX, REPEAT_PREFIX
 from ..functions.chance import leading_number, shuffle_key, slot, unit
-from .ranking import HOT_ROWS, hash_index, hash_span, position_span, rank_in_group, total_before
+from .ranking import HOT_ROWS, hash_index, hash_span, position_span, rank_in_group, rows_of, total_before
 
 
 def hours_by_language(df: DataFrame, lang: str, seconds: str) -> DataFrame:
@@ -98,7 +98,7 @@ def sample_from_pool(
     slots, which match nothing, instead of null: nulls would all meet in one task.
     """
     numbered = hash_index(pool, seed, [pool_key], "_slot")
-    size = pool.count()
+    size = rows_of(pool)
     applies = unit(shuffle_key(seed, F.lit("apply"), F.col(key))) <= F.lit(float(probability))
     nowhere = -1 - leading_number(shuffle_key(seed, F.col(key)))
     drawn = df.withColumn("_slot", F.when(applies, slot(seed, size, F.col(key))).otherwise(nowhere))
@@ -107,7 +107,7 @@ def sample_from_pool(
 
 def draw_lines(keys: DataFrame, lines: DataFrame, key: str, seed: int) -> DataFrame:
     """A random line for every key, from (line, value) numbered 0..n-1 without gaps."""
-    n = lines.count()
+    n = rows_of(lines)
     drawn = keys.withColumn("line", slot(seed, n, F.col(key)))
     return drawn.join(lines.select("line", "value"), "line")
 
@@ -123,7 +123,7 @@ def pick_mixing_sources(
     """
     need, draws = ref_num - 1, ref_num - 1 + retries
     pool = hash_index(df.select(F.col(utt).alias("_p_utt"), F.col(spk).alias("_p_spk")), seed, ["_p_utt"], "_slot")
-    size = df.count()
+    size = rows_of(df)
     asked = df.select(F.col(utt).alias("utt"), F.col(spk).alias("_spk")).withColumn(
         "_draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))
     )
@@ -219,30 +219,33 @@ def deal_targets(
     utterance j mod n, whose key gets the suffix of its turn.  Returns (dealt,
     leftover): leftover targets have no utterance with their text.
     """
+    # a digest stands for the text as key of ranks and joins, so texts are never compared or sorted
+    utts = utts.withColumn("_text", F.md5(F.encode("text", "UTF-8")))
+    targets = targets.withColumn("_text", F.md5(F.encode("text", "UTF-8")))
     ranked = rank_in_group(
-        utts, ["text"], [F.col(utt_order)], "_i", position_span(F.col(utt_order), hot_rows), hot_rows
+        utts.drop("text"), ["_text"], [F.col(utt_order)], "_i", position_span(F.col(utt_order), hot_rows), hot_rows
     ).withColumn("_i", F.col("_i") - 1)
-    sizes = utts.groupBy("text").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = utts.groupBy("_text").agg(F.count(F.lit(1)).alias("_n"))
     stacked = rank_in_group(
         targets,
-        ["text"],
+        ["_text"],
         [F.col(target_order).desc()],
         "_j",
         position_span(F.col(target_order), hot_rows, descending=True),
         hot_rows,
     )
     aimed = (
-        stacked.join(sizes, "text", "left")
+        stacked.join(sizes, "_text", "left")
         .withColumn("_j", F.col("_j") - 1)
         .withColumn("_i", F.pmod("_j", "_n"))
     )
     dealt = (
         aimed.where(F.col("_n").isNotNull())
-        .join(ranked.drop(utt_order), ["text", "_i"])
+        .join(ranked.drop(utt_order), ["_text", "_i"])
         .withColumn(
             "new_utt", F.concat(F.col("utt"), F.lit("-"), (F.floor(F.col("_j") / F.col("_n")) + 1).cast("string"))
         )
-        .drop("_i", "_j", "_n")
+        .drop("_i", "_j", "_n", "_text")
     )
-    leftover = aimed.where(F.col("_n").isNull()).drop("_i", "_j", "_n")
+    leftover = aimed.where(F.col("_n").isNull()).drop("_i", "_j", "_n", "_text")
     return dealt, leftover

@@ -78,16 +78,22 @@ def translate(
 
 
 def tokens_to_ids(df: DataFrame, vocab: DataFrame, columns: Sequence[str], unknown: str = UNKNOWN) -> DataFrame:
-    """Replaces token columns by id columns; a token outside the vocabulary gets the unknown id."""
-    default = F.lit(vocab.where(F.col("token") == unknown).agg(F.max("id")).first()[0])
+    """Replaces token columns by id columns; a token outside the vocabulary gets the unknown id.
+
+    A vocabulary without the unknown symbol is an error, once the query runs.
+    """
+    absent = F.raise_error(F.lit(f"the vocabulary has no {unknown}")).cast("bigint")
+    default = vocab.where(F.col("token") == unknown).agg(F.coalesce(F.max("id").cast("bigint"), absent)).scalar()
     return translate(df, vocab, columns, "token", "id", default)
 
 
 def ids_to_text(df: DataFrame, vocab: DataFrame, ids: Column, level: str) -> DataFrame:
     """Adds ``token`` and ``text`` for a column of ids; an id outside the vocabulary is an error."""
-    missing = F.raise_error(F.lit("an id is not in the vocabulary")).cast("string")
-    named = translate(df.withColumn("token", ids), vocab, ["token"], "id", "token", missing)
-    return named.withColumn("text", tokens_to_text(F.col("token"), level))
+    named = translate(df.withColumn("token", ids), vocab, ["token"], "id", "token", F.lit(None).cast("string"))
+    # a filter, as a projection may be pruned
+    missing = F.raise_error(F.lit("an id is not in the vocabulary")).cast("boolean")
+    checked = named.where(F.when(F.exists("token", lambda t: t.isNull()), missing).otherwise(F.lit(True)))
+    return checked.withColumn("text", tokens_to_text(F.col("token"), level))
 
 
 def length_stats(df: DataFrame, tokens: Column, utt: str, vocab_size: int | Column) -> DataFrame:
