@@ -193,19 +193,21 @@ def _greedy(
     keyed = df.withColumn("_cap_key", key.cast("bigint")).withColumn("_row", shuffle_key(0, F.col(utt)))
     keyed = keyed.withColumn("_key_of", F.struct(*[F.col(c) for c in category], "_cap_key"))
     sizes = keyed.groupBy("_key_of").agg(F.count(F.lit(1)).alias("n"), F.max(capacity.cast("bigint")).alias("capacity"))
-    kind = sizes.schema["_key_of"].dataType.simpleString()
-    group = [F.col(f"_key_of.{c}").alias(f"_c{i}") for i, c in enumerate(category)] or [F.lit(0).alias("_c0")]
-    sizes = sizes.select("_key_of", "n", "capacity", F.col("_key_of._cap_key").alias("_at"), *group)
+    names = [f"_c{i}" for i in range(len(category))]
+    cells = sizes.select(
+        *[F.col(f"_key_of.{c}").alias(n) for c, n in zip(category, names)], F.col("_key_of._cap_key").alias("_at"), "n", "capacity"
+    )
+    out = [*names, "_at", "capacity"]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.select(out).schema)
 
     def walk(table: pa.Table) -> pa.Table:
         table = table.sort_by([("_at", "descending" if descending else "ascending")])
         heads, numbers = _walked(table["n"].to_pylist(), table["capacity"].to_pylist(), descending)
-        return table.select(["_key_of", "capacity"]).append_column("head", pa.array(heads, pa.int64())).append_column("number", pa.array(numbers, pa.int64()))
+        return table.select(out).append_column("head", pa.array(heads, pa.int64())).append_column("number", pa.array(numbers, pa.int64()))
 
-    runs = sizes.groupBy(*[f"_c{i}" for i in range(max(1, len(category)))]).applyInArrow(
-        walk, f"_key_of {kind}, capacity bigint, head bigint, number bigint"
-    )
-    runs = runs.select("_key_of", F.struct("capacity", "head", "number").alias("_run"))
+    runs = cells.groupBy(*names).applyInArrow(walk, f"{kinds}, head bigint, number bigint")
+    key_of = F.struct(*[F.col(n).alias(c) for c, n in zip(category, names)], F.col("_at").alias("_cap_key"))
+    runs = runs.select(key_of.alias("_key_of"), F.struct("capacity", "head", "number").alias("_run"))
     ranked = rank_in_group(keyed, ["_key_of"], [F.col("_row"), F.col(utt)], "_rank", hash_span(F.col("_row")), hot_rows)
     late = F.col("_rank") - 1 - F.col("_run.head")
     place = F.col("_run.number") + F.when(late < 0, 0).otherwise(1 + F.floor(late / F.col("_run.capacity")))
