@@ -87,10 +87,21 @@ def render_task_template(task: Column | str, fields: Mapping[str, Column]) -> Co
     return prompt.otherwise(F.raise_error(F.concat(F.lit("no template for task "), task)))
 
 
+def known_reference(answer: Column, choices: Sequence[str]) -> Column:
+    """A filter that keeps every row, and raises for an answer outside the choices.
+
+    In a filter the check runs whatever columns are asked for; in a projection it may be pruned.
+    """
+    lowered = F.array(*[F.lit(c.lower()) for c in choices])
+    error = F.raise_error(F.concat(F.lit("unknown reference answer: "), F.coalesce(answer, F.lit("null")))).cast("boolean")
+    return F.when(F.array_contains(lowered, F.lower(answer)), F.lit(True)).otherwise(error)
+
+
 def normalize_choice(answer: Column, choices: Sequence[str], reference: bool) -> Column:
     """Index of an answer in the ordered choices.
 
-    An unknown hypothesis counts as the first choice; an unknown reference is an error.
+    An unknown hypothesis counts as the first choice; an unknown reference is an error
+    (filter by ``known_reference`` to have it raised whatever is selected).
     """
     lowered = F.array(*[F.lit(c.lower()) for c in choices])
     at = F.array_position(lowered, F.lower(answer)) - 1

@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..fixed_values import SPACE
 
@@ -31,21 +28,17 @@ def squash(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"{WS}+", " "))
 
 
-@F.pandas_udf(StringType())
-def _nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
-
-
 def nfkc(text: Column, raw: Column | None = None) -> Column:
-    """Compatibility normalization.
+    """Compatibility normalization, in the JVM, by the Unicode library that Spark brings for its collations.
 
-    A text of ASCII, Latin-1 letters and basic Cyrillic is normal already and never
-    leaves the JVM.  That is seen from ``raw``, a text that ``text`` is a part of.
+    A text of ASCII, Latin-1 letters and basic Cyrillic is normal already and is
+    left as it is.  That is seen from ``raw``, a text that ``text`` is a part of.
     """
     raw = text if raw is None else raw
     is_wide = (F.octet_length(raw) != F.length(raw)) & raw.rlike(r"[^\x00-\x7F\u00C0-\u00FF\u0410-\u044F]")
-    wide = F.when(is_wide, text)
-    return F.coalesce(_nfkc(wide), text)
+    # decomposition, canonical order and composition in one call; it is only made for rows that are wide
+    composed = F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
+    return F.when(is_wide, composed).otherwise(text)
 
 
 # Everything that is no letter, number or control, and the controls that are white space.

@@ -119,20 +119,12 @@ def pick_mixing_sources(
 
     Draws are made in order.  A draw of an utterance already taken or of the same
     speaker is a failure; once there are more than ``retries`` failures any draw is
-    accepted.  So ``ref_num - 1 + retries`` draws always suffice.
+    accepted.  So ``ref_num - 1 + retries`` draws always suffice.  Nearly always the first
+    ``ref_num - 1`` do: only utterances that they leave short meet the pool again, with all their draws.
     """
-    need, draws = ref_num - 1, ref_num - 1 + retries
+    need = ref_num - 1
     pool = hash_index(df.select(F.col(utt).alias("_p_utt"), F.col(spk).alias("_p_spk")), seed, ["_p_utt"], "_slot")
     size = rows_of(df)
-    asked = df.select(F.col(utt).alias("utt"), F.col(spk).alias("_spk")).withColumn(
-        "_draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))
-    )
-    met = asked.withColumn("_slot", slot(seed, size, F.col("utt"), F.col("_draw"))).join(pool, "_slot")
-    drawn = met.groupBy("utt").agg(
-        F.array_sort(
-            F.collect_list(F.struct("_draw", "_p_utt", (F.col("_p_spk") == F.col("_spk")).alias("same")))
-        ).alias("draws")
-    )
     start = F.struct(F.array(F.col("utt")).alias("taken"), F.lit(0).alias("failed"))
 
     def step(state, draw):
@@ -145,8 +137,19 @@ def pick_mixing_sources(
             failed.alias("failed"),
         )
 
-    taken = F.aggregate("draws", start, step, lambda s: F.slice(s["taken"], 2, need))
-    return drawn.select("utt", F.posexplode(taken).alias("place", "picked")).select(
+    def drawn(rows: DataFrame, draws: int) -> DataFrame:
+        asked = rows.withColumn("_draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+        met = asked.withColumn("_slot", slot(seed, size, F.col("utt"), F.col("_draw"))).join(pool, "_slot")
+        same = (F.col("_p_spk") == F.col("_spk")).alias("same")
+        tried = met.groupBy("utt", "_spk").agg(F.array_sort(F.collect_list(F.struct("_draw", "_p_utt", same))).alias("_draws"))
+        return tried.select("utt", "_spk", F.aggregate("_draws", start, step, lambda s: F.slice(s["taken"], 2, need)).alias("_taken"))
+
+    first = drawn(df.select(F.col(utt).alias("utt"), F.col(spk).alias("_spk")), need)
+    whole = first.where(F.size("_taken") == need)
+    if retries:
+        short = first.where(F.size("_taken") < need).select("utt", "_spk")
+        whole = whole.unionByName(drawn(short, need + retries))
+    return whole.select("utt", F.posexplode("_taken").alias("place", "picked")).select(
         "utt", F.col("place").cast("bigint").alias("place"), "picked"
     )
 

@@ -35,11 +35,10 @@ def frame_table(
         raise ValueError("frame length and shift must be positive")
     size = F.size(samples)
     wide = F.col(samples).cast("array<double>")
-    checked = F.when(size >= length, wide).otherwise(
-        F.raise_error(F.concat(F.lit("too few samples for a frame: "), F.col(utt).cast("string")))
-    )
-    around = F.concat(_zeros(F.lit(length // 2)), checked, _zeros(F.lit(length // 2))) if centered else checked
-    rows = df.select(utt, around.alias("_x"))
+    # a filter, as a projection may be pruned
+    short = F.raise_error(F.concat(F.lit("too few samples for a frame: "), F.col(utt).cast("string"))).cast("boolean")
+    around = F.concat(_zeros(F.lit(length // 2)), wide, _zeros(F.lit(length // 2))) if centered else wide
+    rows = df.where(F.when(size >= length, F.lit(True)).otherwise(short)).select(utt, around.alias("_x"))
     if padded:
         missing = F.pmod(F.pmod(-(F.size("_x") - length), F.lit(shift)), F.lit(length))
         rows = rows.withColumn("_x", F.concat("_x", _zeros(missing)))

@@ -103,6 +103,25 @@ def length_stats(df: DataFrame, tokens: Column, utt: str, vocab_size: int | Colu
     return df.select(utt, n.alias("n"), F.concat_ws(",", n.cast("string"), size.cast("string")).alias("shape"))
 
 
+def length_summary(df: DataFrame, tokens: Column, group: Sequence[str] = (), quantiles: Sequence[float] = (0.5, 0.9, 0.99), accuracy: int = 10_000) -> DataFrame:
+    """(<group>, rows, total, shortest, longest, mean, q<percent> …) of token counts; null tokens count 0.
+
+    One pass: the quantiles come from a summary that is merged over tasks and is off by at most
+    rows / ``accuracy`` ranks, so they are exact up to ``accuracy`` rows.
+    """
+    sized = df.select(*group, F.coalesce(F.size(F.coalesce(tokens, F.array().cast("array<string>"))), F.lit(0)).cast("bigint").alias("_n"))
+    summary = F.percentile_approx("_n", [float(q) for q in quantiles], accuracy)
+    found = sized.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum("_n").alias("total"),
+        F.min("_n").alias("shortest"),
+        F.max("_n").alias("longest"),
+        F.avg("_n").alias("mean"),
+        summary.alias("_q"),
+    )
+    return found.select("*", *[F.get("_q", F.lit(i)).alias(f"q{100 * q:g}".replace(".", "_")) for i, q in enumerate(quantiles)]).drop("_q")
+
+
 def feature_stats(df: DataFrame, feature: str) -> DataFrame:
     """(dim, n, sum, sum_sq) over a column of arrays; partial sums per task."""
     values = df.select(F.posexplode(feature).alias("dim", "v")).withColumn("v", F.col("v").cast("double"))

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import REPORT_WEIGHTS
 from ..functions.text import cleaner_chain, squash, tokenize, tokens_13a
-from ..functions.keys import normalize_choice
+from ..functions.keys import known_reference, normalize_choice
 from ..operators.manifests import pair_ref_hyp
 from ..operators.runs import decode_rtf, pair_markers, parse_log
 from ..operators.scoring import accuracy, corpus_bleu, corpus_chrf, error_rates, macro_average, matthews, with_edit_counts
+from ..session import cut_lineage
 
 
 def scored_pairs(
@@ -73,7 +74,7 @@ def classification_report(
     """
     parts = []
     for task, answers in choices.items():
-        own = rows.where(F.col("task") == task).select(
+        own = rows.where(F.col("task") == task).where(known_reference(F.col("ref"), list(answers))).select(
             "task",
             normalize_choice(F.col("ref"), list(answers), True).alias("ref"),
             normalize_choice(F.col("hyp"), list(answers), False).alias("hyp"),
@@ -104,13 +105,18 @@ def score_experiment(
     reference as all inserted.  BLEU and chrF compare the cleaned reference with the
     raw hypothesis unless told otherwise.
     """
-    pairs = pair_ref_hyp(refs, hyps).select(
-        "utt",
-        F.coalesce("spk", F.lit("")).alias("spk"),
-        F.coalesce("ref", F.lit("")).alias("ref"),
-        F.coalesce("hyp", F.lit("")).alias("hyp"),
+    paired = pair_ref_hyp(refs, hyps).select("utt", *[F.coalesce(c, F.lit("")).alias(c) for c in ("spk", "ref", "hyp")])
+    # four scores read the pairs, so they are joined and cleaned once
+    pairs = cut_lineage(
+        paired.select(
+            "utt",
+            "spk",
+            cleaner_chain(F.col("ref"), cleaner).alias("ref"),
+            cleaner_chain(F.col("hyp"), hyp_cleaner).alias("hyp"),
+            squash(F.col("hyp")).alias("raw"),
+        )
     )
-    counts = scored_pairs(pairs, ("char", "word"), cleaner, hyp_cleaner).withColumn("dset", F.concat_ws("|", F.lit(dset), "level"))
+    counts = scored_pairs(pairs, ("char", "word"), None, None).withColumn("dset", F.concat_ws("|", F.lit(dset), "level"))
     rates = error_rates(counts.drop("level")).where(F.col("level") == "set")
     level = F.element_at(F.split("dset", r"\|"), -1)
     errors = rates.select(
@@ -119,11 +125,7 @@ def score_experiment(
         F.col("words").alias("n"),
         (100 * F.col("error_rate")).alias("value"),
     )
-    text_pairs = pairs.select(
-        "utt",
-        cleaner_chain(F.col("ref"), cleaner).alias("ref"),
-        (cleaner_chain(F.col("hyp"), hyp_cleaner) if clean_hyp_for_bleu else squash(F.col("hyp"))).alias("hyp"),
-    )
+    text_pairs = pairs.select("utt", "ref", F.col("hyp" if clean_hyp_for_bleu else "raw").alias("hyp"))
     bleu = corpus_bleu(text_pairs, "utt", tokens_13a(F.col("ref")), tokens_13a(F.col("hyp"))).select(
         F.lit(dset).alias("dset"), F.lit("bleu").alias("metric"), F.col("ref_len").alias("n"), F.col("bleu").alias("value")
     )
