@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from uttmill.functions.text import json_quote, json_unquote, squash
+from uttmill.operators.ranking import dense_index
 from uttmill.session import scratch_path
 from uttmill.sources import readers, writers
 
@@ -203,11 +204,9 @@ def _allowed(spark, d):
 @query("i11_read_templates", f"WITH {TEMPLATES} SELECT (row_number() OVER (ORDER BY pos) - 1)::BIGINT AS pos, prefix, postfix FROM t")
 def i11(spark, d):
     path = scratch_path(spark, "i11")
-    listed = templates(spark, d).agg(
-        F.array_sort(F.collect_list(F.struct("pos", F.array("prefix", "postfix").alias("pair")))).alias("rows")
-    )
-    listed.select(F.to_json(F.transform("rows", lambda r: r["pair"])).alias("value")).coalesce(1).write.text(path)
-    return readers.read_templates(spark, path)
+    numbered = dense_index(templates(spark, d).withColumnRenamed("pos", "item"), [F.col("item")], "pos")
+    writers.write_templates(numbered, path, 7)
+    return readers.read_templates(spark, f"{path}/*/*.txt")
 
 
 @query(

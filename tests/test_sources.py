@@ -1,3 +1,8 @@
+import csv
+import io
+import json
+import random
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -51,6 +56,65 @@ def test_labels_drop_an_incomplete_triple_and_keep_the_last_line(spark, tmp_path
     assert found == {"a": [("0", "2", "y"), ("2", "3", "z")], "b": []}
 
 
+@pytest.fixture(params=["64", "700", "100000000"])
+def split_bytes(spark, request):
+    """Files cut into splits of so many bytes."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in old:
+        spark.conf.set(k, request.param)
+    yield int(request.param)
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_csv_with_quoted_line_breaks_in_any_split(spark, tmp_path, split_bytes):
+    rng = random.Random(4)
+    bits = ["a", ",", '"', "\n", "\r\n", "é", " ", "\n\n", '""', "long " * 30]
+    rows = [(f"k{rng.randrange(60)}", "".join(rng.choices(bits, k=rng.randrange(8))), "x" * rng.randrange(3)) for _ in range(200)]
+    quoted = ",".join(["idx", "sentence", "label"]) + "\n"
+    for row in rows:
+        quoted += ",".join('"' + v.replace('"', '""') + '"' if rng.random() < 0.8 or set(v) & set(',"\r\n') else v for v in row) + "\n"
+    path = text_file(tmp_path, "task.csv", "")
+    (tmp_path / "task.csv").write_bytes(quoted.encode())
+    want = {k: (k, s, l) for k, s, l in csv.reader(io.StringIO(quoted, newline=""))}
+    want.pop("idx")
+    read = readers.read_task_csv(spark, path, "idx string, sentence string, label string")
+    assert {r["idx"]: tuple(r) for r in read.collect()} == want
+    if split_bytes == 64:
+        lines = spark.read.text(path)
+        assert lines.rdd.getNumPartitions() > 50
+
+
+def test_csv_with_carriage_returns_and_blank_lines(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_bytes(b'idx,sentence\r\n1,"a\r\nb"\r\n\r\n2,\r\n')
+    read = readers.read_task_csv(spark, str(path), "idx string, sentence string")
+    assert sorted(map(tuple, read.collect())) == [("1", "a\r\nb"), ("2", "")]
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+def test_json_list_in_any_split(spark, tmp_path, split_bytes, indent):
+    rng = random.Random(5)
+    bits = ["]", "[", '"', "\\", "\\\"", "],[", "é", "\n", " ", "{}", ",", "word "]
+    pairs = [["".join(rng.choices(bits, k=rng.randrange(9))), "".join(rng.choices(bits, k=rng.randrange(30)))] for _ in range(150)]
+    path = text_file(tmp_path, "t.json", json.dumps(pairs, indent=indent) + "\n")
+    rows = sorted(readers.read_templates(spark, path).collect())
+    assert [(r["pos"], [r["prefix"], r["postfix"]]) for r in rows] == list(enumerate(pairs))
+
+
+def test_json_lists_of_several_files_and_wrong_ones(spark, tmp_path):
+    many = spark.range(23).select(F.col("id").alias("pos"), F.concat(F.lit("p"), "id").alias("prefix"), F.lit("] x").alias("postfix"))
+    writers.write_templates(many, str(tmp_path / "lists"), 5)
+    assert len(list((tmp_path / "lists").glob("*/*.txt"))) == 5
+    assert all(len(json.loads(f.read_text())) <= 5 for f in (tmp_path / "lists").glob("*/*.txt"))
+    rows = readers.read_templates(spark, str(tmp_path / "lists" / "*" / "*.txt")).collect()
+    assert sorted(map(tuple, rows)) == sorted((i, f"p{i}", "] x") for i in range(23))
+    assert readers.read_templates(spark, text_file(tmp_path, "e.json", " [ ] \n")).count() == 0
+    for bad in ('[["a"]]', '[["a", "b", "c"]]', '[["a", ["b"]]]'):
+        with pytest.raises(PySparkException):
+            readers.read_templates(spark, text_file(tmp_path, "bad.json", bad)).collect()
+
+
 def test_line_numbers_over_small_splits(spark, tmp_path):
     path = text_file(tmp_path, "lines.txt", "".join(f"line {i}\n" for i in range(5000)))
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")

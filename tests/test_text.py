@@ -5,7 +5,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from uttmill.functions import keys, text
-from uttmill.operators import languages, manifests, vocabulary
+from uttmill.operators import languages, manifests, signals, vocabulary
 
 
 def one(spark, values, expression):
@@ -26,6 +26,41 @@ def test_clean_basic(spark):
     assert one(spark, list(cases), text.clean_basic) == list(cases.values())
 
 
+def test_nfkc_of_all_assigned_characters(spark):
+    points = [i for i in range(0x110000) if not 0xD800 <= i < 0xE000 and unicodedata.category(chr(i)) != "Cn"]
+    # alone, before a mark, and after a letter with two marks
+    values = [chr(i) + after for i in points[::7] for after in ("", "\u0301")] + ["a\u0323\u0302" + chr(i) for i in points if unicodedata.combining(chr(i))]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, t string").repartition(8)
+    got = df.select("i", text.nfkc(F.col("t")).alias("n"))
+    assert "Python" not in got._jdf.queryExecution().toString()
+    assert all(r["n"] == unicodedata.normalize("NFKC", values[r["i"]]) for r in got.collect())
+    assert one(spark, [None, ""], text.nfkc) == [None, ""]
+
+
+def test_length_summary(spark):
+    rng = __import__("random").Random(1)
+    rows = [(rng.choice("ab"), ["x"] * rng.randrange(50)) for _ in range(500)] + [("c", None)]
+    df = spark.createDataFrame(rows, "g string, t array<string>")
+    for r in vocabulary.length_summary(df, F.col("t"), ["g"], (0.25, 0.999)).collect():
+        sizes = sorted(len(t or ()) for g, t in rows if g == r["g"])
+        assert (r["rows"], r["total"], r["shortest"], r["longest"]) == (len(sizes), sum(sizes), sizes[0], sizes[-1])
+        assert r["q25"] == sizes[-(-len(sizes) // 4) - 1] and r["q99_9"] == sizes[-1]
+
+
+def test_checks_survive_pruning(spark):
+    vocab = spark.createDataFrame([("a", 1)], "token string, id bigint")
+    ids = spark.createDataFrame([("u", [0, 1, 7, 0])], "utt string, ids array<bigint>")
+    for action in (lambda d: d.count(), lambda d: d.select("utt").collect()):
+        with pytest.raises(PySparkException, match="not in the vocabulary"):
+            action(vocabulary.ids_to_text(ids, vocab, F.col("ids"), "word"))
+        with pytest.raises(PySparkException, match="too few samples"):
+            action(signals.frame_table(spark.createDataFrame([("u", [1.0])], "utt string, x array<double>"), "x", 4, 2).select("utt"))
+        with pytest.raises(PySparkException, match="unknown reference"):
+            action(spark.createDataFrame([("u", "Maybe")], "utt string, a string").where(keys.known_reference(F.col("a"), ["yes", "no"])))
+    with pytest.raises(PySparkException, match="has no <unk>"):
+        vocabulary.tokens_to_ids(spark.createDataFrame([(["b"],)], "t array<string>"), vocab, ["t"]).collect()
+
+
 def test_white_space_is_unicode(spark):
     assert one(spark, ["　a \tb\x1c ", "", " \n "], text.squash) == ["a b", "", ""]
     assert one(spark, ["　a  b\x85", ""], text.strip) == ["a  b", ""]

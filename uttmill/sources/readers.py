@@ -154,19 +154,66 @@ def read_named_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     )
 
 
-def read_task_csv(spark: SparkSession, path: str, schema: str, key: str = "idx") -> DataFrame:
-    """A CSV with a header, quotes and line breaks in fields; of equal keys the later row wins."""
-    raw = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("multiLine", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .csv(path)
-        .na.fill("")
-        .withColumn("_at", F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id()))
+def quoted_records(spark: SparkSession, path: str | list[str], end: str, quotes: Column) -> DataFrame:
+    """(file, block, record, text): records that end with ``end`` outside of quotes, ``end`` left out.
+
+    Files are read in splits, also within a record: rows are what lies between two ``end``s, and
+    ``quotes`` counts the quotes in a row (``value``).  A row is inside quotes if the quotes before it are
+    odd in number.  That is a prefix sum: of the splits before (a table of one row per
+    split), and of the rows before in the split.  Rows after the first one of a record are joined to it
+    within their split; only what crosses the edge of a split meets its record in a second step.
+
+    ``block`` is the offset of the split in which a record starts, ``record`` its number there from 1, so
+    (file, block, record) is the order of the records.
+    """
+    rows = spark.read.option("lineSep", end).text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("_id"),
+        quotes.cast("bigint").alias("_quotes"),
+        "value",
+    )
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("file", "block").agg(F.sum("_quotes").alias("_sum"))
+    odd_before = sums.select("file", "block", F.pmod(F.coalesce(F.sum("_sum").over(earlier), F.lit(0)), F.lit(2)).alias("_open"))
+    # a split is one group, as large as the reader makes it
+    so_far = Window.partitionBy("file", "block").orderBy("_id")
+    before = F.coalesce(F.sum("_quotes").over(so_far.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("_open")
+    marked = rows.join(odd_before, ["file", "block"]).withColumn("_starts", (F.pmod(before, F.lit(2)) == 0).cast("bigint"))
+    numbered = marked.withColumn("record", F.sum("_starts").over(so_far.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def joined(column: str) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(column, "value"))), lambda x: x["value"]), end)
+
+    numbered = numbered.withColumn("_records", F.max("record").over(Window.partitionBy("file", "block")))
+    pieces = numbered.groupBy("file", "block", "record").agg(joined("_id").alias("value"), F.max("_records").alias("_records"))
+    # no join here: a check of whole records must not be pushed down to pieces
+    inside = pieces.where((F.col("record") > 0) & (F.col("record") < F.col("_records"))).select("file", "block", "record", "value")
+    # what opens a split in the middle of a record belongs to the last record before it
+    owner = F.max(F.when(F.col("_records") > 0, F.struct("block", "_records"))).over(earlier)
+    owners = numbered.groupBy("file", "block").agg(F.max("record").alias("_records")).select("file", "block", owner.alias("_owner"))
+    edge = pieces.where((F.col("record") == 0) | (F.col("record") == F.col("_records"))).join(owners, ["file", "block"]).select(
+        "file",
+        F.when(F.col("record") == 0, F.col("_owner.block")).otherwise(F.col("block")).alias("_block"),
+        F.when(F.col("record") == 0, F.col("_owner._records")).otherwise(F.col("record")).alias("record"),
+        F.col("block").alias("_at"),
+        "value",
     )
-    return keep_last(raw, [key], F.col("_at")).drop("_at")
+    edge = edge.groupBy("file", F.col("_block").alias("block"), "record").agg(joined("_at").alias("value"))
+    return inside.unionByName(edge).select("file", "block", "record", F.col("value").alias("text"))
+
+
+def read_task_csv(spark: SparkSession, path: str, schema: str, key: str = "idx") -> DataFrame:
+    """A CSV with a header, quotes and line breaks in fields; of equal keys the later row wins.
+
+    Large files are cut inside: any split may begin within a quoted field.
+    """
+    count = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    records = quoted_records(spark, path, "\n", count).where(~((F.col("block") == 0) & (F.col("record") == 1)))
+    line = F.regexp_replace("text", "\r$", "")
+    fields = F.from_csv(line, schema, {"quote": '"', "escape": '"'})
+    parsed = records.where(line != "").select(fields.alias("_row"), F.struct("file", "block", "record").alias("_at"))
+    return keep_last(parsed.select("_row.*", "_at").na.fill(""), [key], F.col("_at")).drop("_at")
 
 
 def read_durations(spark: SparkSession, path: str) -> DataFrame:
@@ -180,11 +227,29 @@ def read_allowlist(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_templates(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, prefix, postfix) of a JSON list of ``[prefix, postfix]`` pairs."""
-    whole = spark.read.text(path, wholetext=True)
-    pairs = F.from_json("value", "array<array<string>>", {"mode": "FAILFAST"})
-    return whole.select(F.posexplode(pairs).alias("pos", "pair")).select(
-        F.col("pos").cast("bigint").alias("pos"), F.col("pair")[0].alias("prefix"), F.col("pair")[1].alias("postfix")
+    """(pos, prefix, postfix) of JSON lists of ``[prefix, postfix]`` pairs, file after file.
+
+    A file is cut at every ``]``, so a list of any size is read by many tasks, also if it is one line.
+    A bracket inside a string ends nothing.  Anything but pairs of strings is an error; a file may
+    also be a single pair.
+    """
+    # escaped characters count for nothing
+    bare = F.regexp_replace("value", r"(?s)\\.", "")
+    count = F.length(bare) - F.length(F.replace(bare, F.lit('"'), F.lit("")))
+    # before the pair: the bracket of the list, or a comma; behind the last one nothing is left
+    pair = F.regexp_replace("text", r"^\s*(\[(?=\s*\[)|,)?\s*", "")
+    pairs = quoted_records(spark, path, "]", count).select("file", "block", "record", pair.alias("pair"))
+    pairs = pairs.where(~F.col("pair").rlike(r"^\[?\s*$"))
+    earlier = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per split
+    starts = pairs.groupBy("file", "block").agg(F.count(F.lit(1)).alias("_n"), F.min("record").alias("_first"))
+    starts = starts.select("file", "block", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    values = F.from_json(F.concat("pair", F.lit("]")), "array<string>")
+    wrong = F.raise_error(F.concat(F.lit("not a pair of strings: "), F.col("pair"))).cast("boolean")
+    listed = pairs.join(starts, ["file", "block"]).withColumn("_values", values)
+    checked = listed.where(F.when(F.col("_values").isNotNull() & (F.size("_values") == 2) & F.col("pair").startswith("["), F.lit(True)).otherwise(wrong))
+    return checked.select(
+        (F.col("record") + F.col("_shift")).alias("pos"), F.col("_values")[0].alias("prefix"), F.col("_values")[1].alias("postfix")
     )
 
 

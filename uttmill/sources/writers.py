@@ -27,7 +27,7 @@ def _filed(df: DataFrame, folder: str, files: int) -> DataFrame:
 
 
 def write_shards(
-    df: DataFrame, path: str, n: int, key: str, columns: list[str], seed: int = 0, files: int = 1
+    df: DataFrame, path: str, n: int, key: str, columns: list[str], seed: int = 0, files: int = 8
 ) -> None:
     """JSON-quoted columns, one record per line, in ``n`` shard folders of ``files`` files.
 
@@ -48,6 +48,22 @@ def read_shards(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def write_templates(df: DataFrame, path: str, per_file: int = 10_000) -> None:
+    """(pos, prefix, postfix), numbered from 0, as JSON lists of ``[prefix, postfix]`` pairs.
+
+    A list holds ``per_file`` pairs, one to a line, in a folder of its own; the folders follow each other in order.
+    """
+    last = df.agg(F.max("pos")).scalar()
+    pair = F.to_json(F.array("prefix", "postfix"))
+    line = F.concat(
+        F.when(F.col("pos") % per_file == 0, "[").otherwise(","),
+        pair,
+        F.when((F.col("pos") % per_file == per_file - 1) | (F.col("pos") == last), "]").otherwise(""),
+    )
+    listed = df.select(F.lpad(F.floor(F.col("pos") / per_file).cast("string"), 12, "0").alias("list"), "pos", line.alias("value"))
+    listed.repartition("list").sortWithinPartitions("list", "pos").select("list", "value").write.mode("errorifexists").partitionBy("list").text(path)
+
+
 def write_nbest(df: DataFrame, path: str, files: int = 8) -> None:
     """Hypotheses, one folder of ``files`` files per rank."""
     _filed(df, "nbest", files).write.mode("errorifexists").partitionBy("nbest").parquet(path)
