@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from uttmill.llm import decontamination as D
-from uttmill.llm.html_template import Page, equivalence_classes, main_text, main_texts, templates, tokens
+from uttmill.llm import html_template as H
+from uttmill.llm.html_template import Page, Template, equivalence_classes, main_text, main_texts, templates, tokens
 from uttmill.llm.quality_rules import Band, Rules, fertility, keep_by_quality, quality
 from uttmill.llm.secrets import BASE, Rule, digest_line, secrets_of
 
@@ -155,7 +156,69 @@ def test_template_without_article(spark):
     want += [(20, ""), (21, ""), (22, "plain < text"), (23, "a\nb"), want[0]]
     assert sorted(got, key=str) == sorted(want, key=str)
     host = df.limit(0).select("url", "html", F.lit("h").alias("host"))
-    assert templates(equivalence_classes(tokens(host))).count() == 0 and main_texts(df.limit(0)).count() == 0
+    found = tokens(host)
+    assert templates(found, equivalence_classes(found)).count() == 0 and main_texts(df.limit(0)).count() == 0
+
+
+def pages_of(spark, htmls, host="h"):
+    df = spark.createDataFrame([(i, f"http://{host}.example/{i}", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+    return [r.text for r in sorted(main_texts(df).collect(), key=lambda r: r.page_id)]
+
+
+@pytest.mark.parametrize("most_bytes", [0, 32 << 20])
+def test_title_and_lead_stay_beside_the_body(spark, monkeypatch, most_bytes):
+    monkeypatch.setattr(H, "BROADCAST_BYTES", most_bytes)
+    frame = "<body><nav>menu</nav><div class=page><h1>{0}</h1><p class=lead>{1}</p><div class=body><p>{2}</p></div></div><div class=legal>All texts are ours</div></body>"
+    parts = [(f"Title {i}", f"lead {i}", prose(i, 60 if i else 1)) for i in range(11)]
+    want = ["\n".join(p) for p in parts]
+    assert pages_of(spark, [frame.format(*p) for p in parts]) == want
+    # without articles the template decides: the tag rule alone would take the notice, too
+    assert main_text(frame.format(*parts[3])) == want[3] + "\nAll texts are ours"
+
+
+def test_all_articles_of_a_page_stay(spark):
+    frame = "<body><div class=x><article class=big><p>{0}</p></article><article class=small><p>{1}</p></article><p>by {2}</p></div></body>"
+    parts = [(prose(i, 30), prose(50 + i, 9), f"author {i}") for i in range(6)]
+    assert pages_of(spark, [frame.format(*p) for p in parts]) == ["\n".join(p[:2]) for p in parts]
+
+
+def test_articles_must_be_part_of_the_template(spark):
+    plain = "<body><nav>m</nav><div class=text><p>{0}</p></div></body>"
+    teaser = "<body><nav>m</nav><div class=text><p>{0}</p></div><div class=more><article><p>teaser {1}</p></article></div></body>"
+    htmls = [(teaser if i == 4 else plain).format(prose(i, 20), i) for i in range(8)]
+    want = [prose(i, 20) + ("\nteaser 4" if i == 4 else "") for i in range(8)]
+    assert pages_of(spark, htmls) == want
+    assert main_text(htmls[4]) == "teaser 4"
+
+
+@pytest.mark.parametrize("name", ["side-by-side", "menu-item-review", "comment-on-law", "related-work", "banner-blindness"])
+def test_a_word_of_a_class_name_removes_nothing_from_an_article(spark, name):
+    frame = "<body><article><p>{0}</p><div class='" + name + "'><p>{1}</p></div></article></body>"
+    parts = [(prose(i, 12), prose(70 + i, 12)) for i in range(5)]
+    assert pages_of(spark, [frame.format(*p) for p in parts]) == ["\n".join(p) for p in parts]
+    bare = "<body><div class=t><p>{0}</p>{1}</div></body>"
+    texts = [bare.format(p[0], f"<div class='{name}'>{p[1]}</div>" if i == 2 else "") for i, p in enumerate(parts)]
+    assert pages_of(spark, texts) == [p[0] + (f"\n{p[1]}" if i == 2 else "") for i, p in enumerate(parts)]
+
+
+def test_doubtful_names_go_if_the_template_has_them(spark):
+    frame = "<body><div class=menu-of-today>{0}</div><div class=t><h1>{1}</h1><p>{2}</p></div></body>"
+    parts = [(prose(i, 5), f"T{i}", prose(30 + i, 20)) for i in range(6)]
+    assert pages_of(spark, [frame.format(*p) for p in parts]) == ["\n".join(p[1:]) for p in parts]
+
+
+@pytest.mark.parametrize("name", ["ad", "site-footer", "comment-list", "cookieBanner", "related-posts", "share-buttons"])
+def test_names_that_say_so_in_all_words(name):
+    assert main_text(f"<body><article><p>a</p><div class='x {name}'>no</div><p id='{name}'>no</p></article></body>") == "a"
+
+
+def test_a_class_in_no_order_is_not_valid(spark):
+    rows = [("h", f"u{i}", f"<body>{'<em></em>'}{'<div class=a></div><div class=b></div>' if i % 2 else '<div class=b></div><div class=a></div>'}</body>") for i in range(6)]
+    found = equivalence_classes(tokens(spark.createDataFrame(rows, "host string, url string, html string")))
+    assert found.where("path like '%div%'").count() == 0
+    same = [("h", f"u{i}", "<body><div class=a></div><div class=b></div></body>") for i in range(6)]
+    found = equivalence_classes(tokens(spark.createDataFrame([(h, f"{u}x", t) for h, u, t in same], "host string, url string, html string")))
+    assert {r.path for r in found.collect()} == {"body", "body/div.a", "body/div.b"}
 
 
 def test_classes_share_occurrence_vectors(spark):
@@ -166,9 +229,9 @@ def test_classes_share_occurrence_vectors(spark):
 
 
 def test_page_edge_cases():
-    assert main_text("", None, frozenset()) == "" and main_text("<article></article>", None, frozenset()) == ""
-    assert main_text("<article>a<br>b&nbsp; c<div>d</div>e</article>x", None, frozenset()) == "a b c\nd\ne"
-    assert main_text("<main><aside>s</aside><p>t<ul><li>1<li>2</ul></main>", None, frozenset()) == "t\n1\n2"
+    assert main_text("") == "" and main_text("<article></article>") == ""
+    assert main_text("<article>a<br>b&nbsp; c<div>d</div>e</article>x") == "a b c\nd\ne"
+    assert main_text("<main><aside>s</aside><p>t<ul><li>1<li>2</ul></main>") == "t\n1\n2"
     deep = "<div>" * 3000 + "x" + "</div>" * 10
     assert Page(deep).blocks[0][0] == "x"
 
