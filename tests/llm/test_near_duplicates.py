@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from uttmill.llm.components import stars
-from uttmill.llm.simhash import BKTree, block_masks, links, near_copies, near_duplicates, simhash, sketch
+from uttmill.llm.simhash import BKTree, block_masks, links, near_duplicates, one_of_each, simhash
 
 from .conftest import prose
 
@@ -114,73 +114,36 @@ def test_stars(spark):
     assert stars(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_near_copies(spark, odd, none, clashing):
-    rows = []
-    for k in range(30):
-        words = prose(100 + k, 300).split()
-        rows.append((3 * k, " ".join(words)))
-        copy = list(words)
-        for i in random.Random(k).sample(range(300), 4):
-            copy[i] = "changed"
-        rows.append((3 * k + 1, " ".join(copy).upper()))
-        rows.append((3 * k + 2, prose(500 + k, 300)))
-    found = dict(tuple(r) for r in near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    assert found == {i: i - i % 3 if i % 3 < 2 else i for i in found} and len(found) == 90
-    assert near_copies(none).count() == 0
-    few = sorted([tuple(r) for r in near_copies(odd).collect()], key=str)
-    assert len(few) == odd.count() and few == sorted([tuple(r) for r in near_copies(clashing).collect()], key=str)
-    assert dict(few)[1] == 0 and dict(few)[5] == 4 and dict(few)[6] == 4
-
-
-def overlapping(words, similarity, seed, width=5):
-    """Two texts of different words that share a head, so that their shingle sets have about this similarity."""
-    shared = round(2 * similarity / (1 + similarity) * (words - width + 1)) + width - 1
-    head = [f"{seed}h{i}" for i in range(shared)]
-    return [" ".join([*head, *(f"{seed}{side}{i}" for i in range(words - shared))]) for side in "ab"]
-
-
-def jaccard(a, b, width=5):
-    a, b = ({tuple(w[i : i + width]) for i in range(len(w) - width + 1)} for w in (a.lower().split(), b.lower().split()))
-    return len(a & b) / len(a | b)
-
-
-@pytest.mark.parametrize("words", [20_000, 100_000])
-@pytest.mark.parametrize("similarity", [0.5, 0.6, 0.7])
-def test_sketches_of_long_texts(words, similarity):
-    for seed in range(2):
-        a, b = overlapping(words, similarity, seed)
-        assert abs(jaccard(a, b) - similarity) < 0.001
-        least = sketch([a.encode(), b.encode()], 5)[-1]
-        # five standard errors of a sample of 128
-        assert abs(np.mean(least[0] == least[1]) - similarity) < 5 * (similarity * (1 - similarity) / 128) ** 0.5
-
-
-def test_long_texts_stay_apart(spark):
-    texts = [t for k, (n, s) in enumerate([(20_000, 0.5), (20_000, 0.6), (100_000, 0.5), (100_000, 0.6)]) for t in overlapping(n, s, f"x{k}")]
-    found = near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    assert sorted(tuple(r) for r in found) == [(i, i) for i in range(len(texts))]
-
-
-@pytest.mark.parametrize("trees", [3, 1024])
-def test_links_at_the_threshold(spark, trees):
-    rows = []
-    for k in range(120):
-        rows += [(2 * k + i, t) for i, t in enumerate(overlapping(304, (0.72, 0.75, 0.78, 0.80, 0.805, 0.82)[k % 6], f"t{k}"))]
-    # a chain: neighbours are copies, further ones are not
-    words = [f"c{i}" for i in range(500)]
-    rows += [(1000 + k, " ".join(words[30 * k : 30 * k + 304])) for k in range(6)]
-    rows += [(2000 + k, " ".join(words[36 * k : 36 * k + 304]).replace("c", "d")) for k in range(6)]
-    pairs = [(a, b) for a, (i, s) in enumerate(rows) for b, (j, t) in enumerate(rows[:a]) if i // 2 == j // 2 or j >= 1000 if jaccard(s, t) >= 0.8]
-    want = {rows[k][0]: rows[c][0] for k, c in components(pairs, range(len(rows))).items()}
-    assert want[1005] == 1000 and want[2005] == 2005 and 40 <= sum(want[i] != i for i in range(240)) <= 60
-    found = near_copies(spark.createDataFrame(rows, "doc_id long, text string"), tree_nodes=trees)
-    assert dict(tuple(r) for r in found.collect()) == want
-
-
-def test_copies_with_repeated_lines(spark):
-    rows = []
-    for k in range(40):
-        body, line = prose(700 + k, 1000), prose(900 + k, 14)
-        rows += [(3 * k, f"{body}\n{line}"), (3 * k + 1, body + f"\n{line}" * (20 + 30 * (k % 2))), (3 * k + 2, prose(1100 + k, 12))]
-    found = near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert dict(tuple(r) for r in found.collect()) == {i: i - i % 3 if i % 3 < 2 else i for i, _ in rows}
+def kept_by_hand(rows, radius=2):
+    """One row of each component: the smallest id, null last; of equal rows one."""
+    prints = [plain_fingerprint(r[1]) for r in rows]
+    near = [(a, b) for a in range(len(rows)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= radius]
+    groups = {}
+    for k, c in components(near, range(len(rows))).items():
+        groups.setdefault(c, []).append(rows[k])
+    return [(min((r[0] is None, r[0] or 0) for r in group), group) for group in groups.values()]
+
+
+def check_kept(docs, rows):
+    left = [tuple(r) for r in docs.collect()]
+    groups = kept_by_hand(rows)
+    assert len(left) == len(groups)
+    for least, group in groups:
+        mine = [r for r in left if r in group]
+        assert len(mine) == 1 and (mine[0][0] is None, mine[0][0] or 0) == least
+
+
+@pytest.mark.parametrize("trees", [2, 1024])
+def test_one_of_each_with_null_and_repeated_ids(spark, odd, odd_rows, none, trees):
+    a, b, c = prose(1, 150), prose(2, 150), prose(3, 150)
+    rows = [(1, a, 0), (None, a + " end", 1), (None, b, 2), (None, b.upper(), 3), (7, c, 4), (7, a, 5), (8, c, 4), (8, c, 4), (9, None, 6), (None, "", 7)]
+    check_kept(one_of_each(spark.createDataFrame(rows, "doc_id long, text string, _digest int"), tree_nodes=trees), rows)
+    kept = one_of_each(odd)
+    assert kept.columns == odd.columns and one_of_each(none).count() == 0
+    check_kept(kept, odd_rows)
+
+
+def test_one_of_each_keeps_rows_of_a_repeated_id(spark):
+    rows = [(5, prose(k, 120)) for k in range(30)] + [(None, prose(100 + k, 120)) for k in range(30)] + [(6, prose(3, 120))]
+    left = one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(str, map(tuple, left.collect()))) == sorted(map(str, rows[:-1]))

@@ -32,25 +32,12 @@ from xxhash import xxh64_intdigest
 
 from ..session import cut_lineage
 from .components import stars
-from .texts import U, Words, encoded, mixed, pieces, portions, window_hashes
+from .texts import encoded, portions
 
 SHINGLE_WORDS = 3
 RADIUS = 2
 TREE_NODES = 1024
 BLOCK = 1 << 16
-PIECE_BYTES = 1 << 20
-#: near copies: words of a shingle, similarity, min-hashes and their bands
-COPY_WORDS = 5
-SIMILARITY = 0.8
-MIN_HASHES = 128
-BANDS = 24
-BAND_ROWS = 4
-#: near copies: standard errors by which min-hashes may say less than the similarity before a pair is passed over
-LEEWAY = 4
-#: texts with their shingle sets in one tree
-SET_NODES = 128
-#: numbers of texts, 8 bytes each, that every task may hold
-BROADCAST_NODES = 1 << 20
 
 
 def simhash(text: bytes, width: int = SHINGLE_WORDS) -> int:
@@ -217,164 +204,34 @@ def near_duplicates(
     return prints.join(named, prints["fp"] == named["node"]).select("doc_id", "fp", "component_id")
 
 
-# ---- near copies: similarity of shingle sets, in shards of texts that share min-hashes
-
-
-def numbers(texts: list[bytes]) -> np.ndarray:
-    """A number for the words of each text; A-Z count as a-z."""
-    return np.array([xxh64_intdigest(b" ".join(t.lower().split()), 5) for t in texts], dtype=np.uint64)
-
-
-def shingles(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A number for the words of each text, the hashes of all shingles, and where those of each text start and end."""
-    texts = [t.lower() for t in texts]
-    words = Words(texts)
-    hashes = words.hashes()
-    whole = words.whole(width)
-    windows = mixed(window_hashes(hashes, width)[whole])
-    owner = words.owner()[np.flatnonzero(whole)]
-    own = numbers(texts)
-    # texts with fewer words than a shingle have one of all their words
-    short = np.flatnonzero(words.counts < width)
-    windows, owner = np.concatenate([windows, mixed(own[short].copy())]), np.concatenate([owner, short])
-    order = np.argsort(owner, kind="stable")
-    windows, owner = windows[order], owner[order]
-    at = np.searchsorted(owner, np.arange(len(texts)))
-    return own, windows, at, np.r_[at[1:], len(owner)]
-
-
-def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
-    """The different shingles of each text as sorted hashes of 64 bits."""
-    _, windows, at, ends = shingles(texts, width)
-    return [np.unique(windows[s:e]) for s, e in zip(at.tolist(), ends.tolist())]
-
-
-def sketch(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per text: a number for its words, keys of its bands, and its min-hashes (16 bits each)."""
-    own, windows, at, _ = shingles(texts, width)
-    n = len(texts)
-    least = np.empty((n, MIN_HASHES), dtype=np.uint64)
-    factors = np.random.default_rng(5).integers(0, 2**63, size=MIN_HASHES, dtype=np.uint64) * U(2) + U(1)
-    high = windows >> U(32)
-    for k, factor in enumerate(factors):
-        least[:, k] = np.minimum.reduceat((windows ^ high) * factor, at) if n else 0
-    keys = least[:, : BANDS * BAND_ROWS].reshape(n, BANDS, BAND_ROWS)
-    band = np.zeros((n, BANDS), dtype=np.uint64)
-    for r in range(BAND_ROWS):
-        band = mixed(band * U(31) + keys[:, :, r])
-    # a minimum over many shingles is small: its high bits say little, so it is spread before it is cut
-    return own, band, (mixed(least) & U(0xFFFF)).astype(np.uint16)
-
-
-def near_copies(
+def one_of_each(
     docs: DataFrame,
-    width: int = COPY_WORDS,
-    similarity: float = SIMILARITY,
+    width: int = SHINGLE_WORDS,
+    radius: int = RADIUS,
     id_col: str = "doc_id",
     text_col: str = "text",
     tree_nodes: int = TREE_NODES,
 ) -> DataFrame:
-    """(doc_id, component_id): texts joined by links of at least ``similarity`` on the sets of word shingles.
-
-    At 0.8 on five words fingerprints differ in ten bits or so, too many for shards by equal
-    blocks, and in more if a line is repeated in one text only. So there are none here: a
-    shard holds the texts that agree in a band of min-hashes, which know no repeats, and
-    each text is compared with all of its shard. Pairs whose min-hashes are at most ``LEEWAY``
-    standard errors below ``similarity`` are candidates. They only bound the groups: inside
-    each group of candidates all pairs are compared, and a pair is a link if the similarity
-    of its shingle sets is ``similarity`` or more. Texts equal in their words are one node
-    from the start.
-    """
-
-    def run(batches):
-        for batch in portions(batches, 1):
-            texts = encoded(batch.column(1).to_pylist())
-            for a, b in pieces(texts, PIECE_BYTES):
-                own, band, least = sketch(texts[a:b], width)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(a, b - a),
-                        pa.array(own.view(np.int64)),
-                        pa.array([row.tolist() for row in band.view(np.int64)], pa.list_(pa.int64())),
-                        pa.array([row.tobytes() for row in least], pa.binary()),
-                    ],
-                    names=["doc_id", "node", "bands", "sketch"],
-                )
+    """One row of each component of ``near_duplicates``, all columns.
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    prints = cut_lineage(rows.mapInArrow(run, "doc_id long, node long, bands array<long>, sketch binary"))
-    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("least"))
-    facts = prints.groupBy("node").agg(F.min("sketch").alias("sketch"))
-    banded = prints.select("node", F.posexplode("bands").alias("band", "value")).distinct()
-    found = _in_trees(banded, ["band", "value"], tree_nodes).join(facts, "node")
-    agree = int(MIN_HASHES * (similarity - LEEWAY * (similarity * (1 - similarity) / MIN_HASHES) ** 0.5))
-    groups = stars(_similar(found.withColumn("shingles", F.lit(None).cast("binary")), ["band", "value"], 0, agree))
-    members = groups.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    members = cut_lineage(members.union(groups.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
-    sets = _sets_of(rows, members.select("node"), width)
-    found = _in_trees(members, ["root"], min(tree_nodes, SET_NODES)).join(facts, "node").join(sets, "node")
-    named = _named(nodes, _similar(found, ["root"], similarity, agree))
-    return prints.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
-
-
-def _sets_of(rows: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, shingles): the shingle set of each of the nodes, from the texts (doc_id, text) that have them."""
-
-    def number(batches):
-        for batch in portions(batches, 1):
-            own = numbers(encoded(batch.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), batch.column(1)], names=["node", "text"])
-
-    def sets(batches):
-        for batch in portions(batches, 1):
-            texts = encoded(batch.column(1).to_pylist())
-            for a, b in pieces(texts, PIECE_BYTES):
-                found = pa.array([x.tobytes() for x in shingle_sets(texts[a:b], width)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), found], names=["node", "shingles"])
-
-    few = nodes.count() <= BROADCAST_NODES
-    texts = rows.mapInArrow(number, "node long, text string").join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
-    return cut_lineage(texts.dropDuplicates(["node"]).mapInArrow(sets, "node long, shingles binary"))
-
-
-def _similar(rows: DataFrame, shard: list[str], similarity: float, agree: int) -> DataFrame:
-    """(a, b): nodes whose sketches share ``agree`` numbers and, unless it is 0, whose shingle sets have the similarity.
-
-    Only the links that join two groups of a pair of trees.
+    A row is known by a digest of all its columns, so rows with null or repeated ids are rows like
+    others. The row with the smallest id stays (null last, then the smallest digest), and
+    of rows equal in all columns one. The texts are shuffled once, by that digest.
     """
+    mark = "_digest"
+    while mark in docs.columns:
+        mark += "_"
+    marked = docs.withColumn(mark, F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))))
 
     def run(batches):
-        now, groups, members, table = None, Groups(), [], np.empty((0, MIN_HASHES), dtype=np.uint16)
-        for batch in batches:
-            a, b = [], []
-            for *key, probe, node, sketch, shingles in zip(*(c.to_pylist() for c in batch.columns)):
-                if key != now:
-                    now, groups, members = key, Groups(), []
-                me = groups.add()
-                own, have = np.frombuffer(sketch, dtype=np.uint16), np.frombuffer(shingles or b"", dtype=np.uint64)
-                if members and (key[-2] == key[-1] or probe):
-                    equal = (table[: len(members)] == own).sum(axis=1)
-                    hits = np.flatnonzero(equal >= agree)
-                    # the most similar first: one link to a group is enough
-                    for hit in hits[np.argsort(-equal[hits], kind="stable")].tolist():
-                        place, other, theirs = members[hit]
-                        if groups.find(place) != groups.find(me) and (not similarity or jaccard(have, theirs) >= similarity):
-                            groups.join(place, me)
-                            a.append(node)
-                            b.append(other)
-                if not probe:
-                    if len(members) == len(table):
-                        table = np.concatenate([table, np.empty((max(16, len(table)), MIN_HASHES), dtype=np.uint16)])
-                    table[len(members)] = own
-                    members.append((me, node, have))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    shard = [*shard, "low", "high"]
-    rows = rows.select(*shard, "probe", "node", "sketch", "shingles")
-    return rows.repartition(*shard).sortWithinPartitions(*shard, "probe", "node").mapInArrow(run, "a long, b long")
-
-
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """The similarity of two sets, each sorted and without repeats."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
+        for batch in portions(batches, 2):
+            found = np.array([simhash(t, width) for t in encoded(batch.column(2).to_pylist())], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["doc_id", "digest", "fp"])
+
+    rows = marked.select(F.col(id_col).cast("long").alias("doc_id"), F.col(mark).alias("digest"), F.col(text_col).cast("string").alias("text"))
+    prints = cut_lineage(rows.mapInArrow(run, "doc_id long, digest string, fp long"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
+    nodes = prints.groupBy(F.col("fp").alias("node")).agg(first.alias("least"))
+    named = _named(nodes, links(nodes.select(F.col("node").alias("fp")), radius, tree_nodes))
+    kept = named.select(F.col("component_id.digest").alias(mark)).distinct()
+    return marked.join(kept, mark, "left_semi").dropDuplicates([mark]).select(*[F.col(f"`{c}`") for c in docs.columns])
