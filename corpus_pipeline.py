@@ -6,34 +6,24 @@ written and read again before the next. All but the last return the columns of d
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from uttmill.llm.decontamination import drop_leaks
 from uttmill.llm.mixing import mixed_documents
 from uttmill.llm.quality_rules import keep_by_quality
 from uttmill.llm.sharding import sharded
-from uttmill.llm.simhash import near_copies
+from uttmill.llm.simhash import one_of_each
 from uttmill.session import scratch_path
 
 
-def _keys(column: str) -> list[Column]:
-    """A number that may be null as two that are not."""
-    return [F.col(column).isNull().alias("_no_id"), F.coalesce(F.col(column), F.lit(0)).alias("_id")]
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
     return keep_by_quality(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    groups = near_copies(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*_keys("doc_id")).distinct()
-    stay = docs.select("*", *_keys("doc_id")).join(kept, ["_no_id", "_id"], "left_semi")
-    # rows repeated in full; the join has dealt them by id, so texts are shuffled once
-    return stay.dropDuplicates(["_no_id", "_id", "text"]).select(*docs.columns)
+    """Of each group of fingerprints that links of two bits join one document stays, that with the smallest id."""
+    return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
