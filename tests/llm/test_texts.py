@@ -307,6 +307,39 @@ def test_embedding_keeps_near_near():
     near = np.append(near, np.uint64(5))
     far = rng.integers(1, 2**63, 30).astype(np.uint64)
     both = np.stack([item, near, far])
-    same = [np.mean([(e[0] == e[k]).mean() for e in (D.embed(both, w) for w in range(8))]) for k in (1, 2)]
+    same = [np.mean([(e[0] == e[k]).mean() for e in (D.embed(both, w, 60)[0] for w in range(8))]) for k in (1, 2)]
     assert same[0] > 0.5 > same[1]
-    assert D.repetitions() == 72
+
+
+def test_a_window_of_any_length_has_the_buckets_of_an_item_of_that_length():
+    line = np.random.default_rng(3).integers(1, 2**63, size=(5, 60)).astype(np.uint64)
+    walks = [D.embed(line, w, 120) for w in range(D.WALKS)]
+    for n in (5, 17, 59):
+        sampled = D.places(n, 64)
+        assert (D.buckets(line, n, sampled, walks) == D.buckets(line[:, :n].copy(), n, sampled)).all()
+
+
+@pytest.mark.parametrize("n_words", [6, 15, 30, 60])
+def test_recall_of_buckets_at_the_most_edits(n_words):
+    rng = np.random.default_rng(n_words)
+    edits = n_words // 5
+    bench = [(i, prose(10_000 + 100 * n_words + i, n_words)) for i in range(250)]
+    search = D.Benchmark(bench, 0.2, 5, 0.99)
+    found = planted = 0
+    for turn in range(4):
+        for i, text in bench:
+            words = text.split()
+            for _ in range(edits):
+                at, kind = int(rng.integers(len(words))), int(rng.integers(3))
+                words[at : at + 1] = [[], ["other"], [words[at], f"more{turn}"]][kind]
+            body = f"{prose(i, 20)} {' '.join(words)} {prose(900 + i, 20)}"
+            if plain_distance(text.split(), body.split()) <= edits:
+                planted += 1
+                found += any(search.items[leak[1]].ident == i for leak in search.leaks([D.plain(body)]))
+    assert planted > 950 and found >= 0.99 * planted
+
+
+def test_repetitions_follow_from_share_and_recall():
+    assert D.repetitions(30, 0.03) == D.WALKS
+    assert D.repetitions(30, 0.1) < D.repetitions(30, 0.2) < D.repetitions(30, 0.3)
+    assert D.repetitions(30, 0.2, 0.9) < D.repetitions(30, 0.2, 0.99)

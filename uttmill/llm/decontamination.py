@@ -3,16 +3,18 @@
 A document leaks an item if some stretch of its words is within ``share`` of the item's
 length in word edits (exact edit distance). Words are lower case; ASCII punctuation ends them.
 
-1. An item with e allowed edits is cut into e + 1 pieces. A stretch within e edits keeps
-   one piece whole, so places without any piece cannot leak and are passed over. The pieces
-   of all items are few, documents are only read through them.
-2. Around a piece lie the item-sized windows that may leak. The CGK random walk embeds
-   window and item: at each of 3n steps it writes the word under a pointer and moves on
-   if a random bit of (walk, step, word) says so. Few edits become few differing places.
-3. Bit sampling: a window is a candidate if in one repetition all ``SAMPLED`` sampled
-   places agree with the item. The number of repetitions follows from the target recall at
-   the largest share of differing places.
-4. Candidates are verified by the exact edit distance to the best stretch around them.
+1. *Sieve.* An item with e allowed edits is cut into e + 1 pieces. A stretch within e edits keeps
+   one piece whole, so a place that is not e places or less from where some item would start
+   by a whole piece cannot begin a leak. The sieve only says where windows begin, not of which item.
+2. *Embedding.* From each place left the CGK random walk embeds the item-sized windows, of all item lengths
+   at once: at each step it writes the word under a pointer and moves on
+   if a random bit of (walk, step, word) says so; what lies behind the size of the window is no word.
+   Few edits become few differing places.
+3. *Bit sampling.* A repetition samples ``SAMPLED`` places of a walk, and the words there are the bucket. The
+   items of a length lie in the buckets of their embeddings, and a window meets those in its own. The number of
+   repetitions of a length is that which finds ``recall`` of simulated items with the largest allowed number of edits
+   (``MOST_TIMES`` at most, which shares far above a fifth may ask for).
+4. *Verification.* Candidates are verified by the exact edit distance to the best stretch around them.
 
 Items are broadcast in blocks of at most ``BLOCK_BYTES``; larger benchmarks take several
 passes. Items under ``min_words`` words are not searched, as they say too little.
@@ -27,6 +29,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,43 +43,103 @@ MIN_WORDS = 5
 RECALL = 0.99
 SAMPLED = 4
 WALKS = 8
-#: the largest share of differing places at which the recall is to hold
-FAR = 0.5
+#: simulated items of a length, and repetitions at most
+SIMULATED = 300
+MOST_TIMES = 256
 BLOCK_BYTES = 4 << 20
 PIECE_BYTES = 4 << 20
-WINDOW_BLOCK = 4096
+WINDOW_BLOCK = 1024
 SIEVE_BITS = 22
 #: A-Z become a-z is left to str.lower; ASCII characters that are no letter or digit end words
 PLAIN = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 
-def repetitions(recall: float = RECALL, sampled: int = SAMPLED, far: float = FAR) -> int:
-    """How many repetitions find a pair whose embeddings differ in ``far`` of their places."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - (1 - far) ** sampled))
-
-
 def plain(text: str | None) -> bytes:
     return b"" if text is None else text.lower().encode("utf-8", "surrogatepass").translate(PLAIN)
 
 
-def embed(windows: np.ndarray, walk: int) -> np.ndarray:
-    """The CGK embedding of each row of word hashes, by the random bits of a walk."""
+def embed(windows: np.ndarray, walk: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """The CGK embedding of each row of word hashes by the random bits of a walk: the word of each step, and where the pointer stood."""
     n, k = windows.shape
     padded = np.concatenate([windows, np.zeros((n, 1), np.uint64)], axis=1)
-    out = np.empty((n, 3 * k), dtype=np.uint64)
-    at = np.zeros(n, dtype=np.int64)
-    rows = np.arange(n)
-    for step in range(3 * k):
-        word = padded[rows, at]
-        out[:, step] = word
+    out, where = np.empty((n, steps), dtype=np.uint64), np.empty((n, steps), dtype=np.int64)
+    at, rows = np.zeros(n, dtype=np.int64), np.arange(n)
+    for step in range(steps):
+        out[:, step] = word = padded[rows, at]
+        where[:, step] = at
         bit = mixed(word ^ U((walk * 0x9E3779B97F4A7C15 + step * 0xC2B2AE3D27D4EB4F + 1) % 2**64)) >> U(63)
         at = np.minimum(at + bit.astype(np.int64), k)
-    return out
+    return out, where
+
+
+def places(n_words: int, times: int) -> np.ndarray:
+    """The sampled places of each repetition for windows of so many words; behind 2n steps the walk has passed most windows."""
+    return np.random.default_rng(n_words).integers(0, 2 * n_words, size=(times, SAMPLED))
+
 
+def buckets(windows: np.ndarray, n_words: int, sampled: np.ndarray, walks: list | None = None) -> np.ndarray:
+    """The bucket of each window of ``n_words`` words in each repetition.
 
-def places(n_words: int, times: int, sampled: int = SAMPLED) -> np.ndarray:
-    """The sampled places of each repetition for windows of so many words."""
-    return np.random.default_rng(n_words).integers(0, 3 * n_words, size=(times, sampled))
+    ``windows`` may be longer; ``walks`` are their embeddings, if these are known.
+    """
+    out = np.empty((len(windows), len(sampled)), dtype=np.uint64)
+    for walk in range(WALKS):
+        words, where = walks[walk] if walks else embed(windows, walk, 2 * n_words)
+        own = sampled[walk::WALKS]
+        seen = np.where(where[:, own] < n_words, words[:, own], U(0))
+        key = np.zeros(seen.shape[:2], dtype=np.uint64)
+        for k in range(SAMPLED):
+            key = mixed(key * U(31) + seen[:, :, k])
+        out[:, walk::WALKS] = key
+    # a bucket belongs to its repetition and length
+    return mixed(out ^ mixed(np.arange(1, len(sampled) + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15) + U(n_words))[None, :])
+
+
+def edited(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
+    """A copy with so many random edits."""
+    out = words.tolist()
+    for _ in range(edits):
+        at, kind, new = int(rng.integers(len(out) + 1)), int(rng.integers(3)), int(rng.integers(1, 2**63))
+        if kind == 0 or at == len(out) or not out:
+            out.insert(at, new)
+        elif kind == 1 and len(out) > 1:
+            del out[at]
+        else:
+            out[at] = new
+    return np.array(out, dtype=np.uint64)
+
+
+def repetitions(n_words: int, share: float = SHARE, recall: float = RECALL) -> int:
+    """How many repetitions find ``recall`` of the items of so many words at the most edits that ``share`` allows.
+
+    Lengths go up in steps of a quarter, as longer items need more. Equal windows share all buckets.
+    """
+    if int(share * n_words + 1e-9) == 0:
+        return WALKS
+    n = 4
+    while n < n_words:
+        n = max(n + 1, n * 5 // 4)
+    # a simulation is a sample: it is to find more than is asked for
+    return _simulated(n, int(share * n + 1e-9), 1 - (1 - recall) / 3)
+
+
+@lru_cache(maxsize=4096)
+def _simulated(n_words: int, edits: int, recall: float) -> int:
+    """The repetitions that find ``recall`` of simulated items of so many words, edited so often, in text around them."""
+    rng = np.random.default_rng([n_words, edits])
+    sampled = places(n_words, MOST_TIMES)
+    items = rng.integers(1, 2**63, size=(SIMULATED, n_words), dtype=np.uint64)
+    windows = np.empty((SIMULATED, 2 * edits + 1, n_words), dtype=np.uint64)
+    for item, own in zip(items, windows):
+        line = np.concatenate([rng.integers(1, 2**63, size=edits, dtype=np.uint64), edited(item, edits, rng), rng.integers(1, 2**63, size=n_words + 2 * edits, dtype=np.uint64)])
+        for shift in range(2 * edits + 1):
+            own[shift] = line[shift : shift + n_words]
+    mine = buckets(items, n_words, sampled)
+    theirs = buckets(windows.reshape(-1, n_words), n_words, sampled).reshape(SIMULATED, 2 * edits + 1, MOST_TIMES)
+    met = (theirs == mine[:, None, :]).any(axis=1)
+    first = np.sort(np.where(met.any(axis=1), met.argmax(axis=1), MOST_TIMES))
+    needed = int(first[min(SIMULATED - 1, math.ceil(recall * SIMULATED) - 1)]) + 1
+    return min(MOST_TIMES, -(-needed // WALKS) * WALKS)
 
 
 def best_end(item: np.ndarray, text: np.ndarray, free_start: bool) -> tuple[int, int]:
@@ -108,80 +171,76 @@ class Benchmark:
 
     def __init__(self, rows: list[tuple[object, str | None]], share: float, min_words: int, recall: float):
         self.items: list[Item] = []
-        self.times = repetitions(recall)
         texts = [plain(t) for _, t in rows]
         words = Words(texts)
         hashes = words.hashes()
-        postings: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        offsets: dict[int, dict[int, set[tuple[int, int]]]] = {}
         for (ident, _), s, e in zip(rows, words.first, words.last):
             own = hashes[s:e]
             if len(own) < min_words:
                 continue
             edits = int(share * len(own) + 1e-9)
             piece = len(own) // (edits + 1)
-            item = Item(ident, own, edits, piece)
             for p in range(edits + 1):
                 at = p * piece
                 key = int(window_hashes(own[at : at + piece], piece)[0])
-                postings.setdefault(piece, {}).setdefault(key, []).append((len(self.items), at))
-            self.items.append(item)
-        self.postings = postings
+                offsets.setdefault(piece, {}).setdefault(key, set()).add((at, edits))
+            self.items.append(Item(ident, own, edits, piece))
         self.widest = max((len(i.words) for i in self.items), default=1)
-        self.lengths = np.array([len(i.words) for i in self.items], dtype=np.int64)
-        by_length = {n: places(n, self.times) for n in set(self.lengths.tolist())}
-        #: the sampled places of each item's repetitions, and the words of its embeddings there
-        self.places = np.array([by_length[n] for n in self.lengths.tolist()]).reshape(len(self.items), self.times, SAMPLED)
-        self.sampled = np.zeros(self.places.shape, dtype=np.uint64)
-        matrix = np.zeros((len(self.items), self.widest), dtype=np.uint64)
-        for row, item in zip(matrix, self.items):
-            row[: len(item.words)] = item.words
-        own = np.arange(len(self.items))
-        for walk in range(WALKS if len(self.items) else 0):
-            self.sampled[:, walk::WALKS] = self.at_places(embed(matrix, walk), own, walk)
-        self.keys, self.sieves = {}, {}
-        for piece, found in postings.items():
-            keys = np.sort(np.array(list(found), dtype=np.uint64))
+        #: of each length: the sampled places, the buckets of its items in order, and whose they are
+        self.lengths: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in sorted({len(i.words) for i in self.items}):
+            own = np.array([k for k, i in enumerate(self.items) if len(i.words) == n])
+            sampled = places(n, repetitions(n, share, recall))
+            keys = buckets(np.stack([self.items[k].words for k in own]), n, sampled)
+            order = np.argsort(keys, axis=None, kind="stable")
+            self.lengths[n] = (sampled, keys.reshape(-1)[order], np.repeat(own, keys.shape[1])[order])
+        #: of each size of pieces: the pieces in order, the offsets of each from the start of an item, and a sieve for them
+        self.pieces: dict[int, tuple[np.ndarray, list[np.ndarray], np.ndarray]] = {}
+        for piece, found in offsets.items():
+            keys = np.array(sorted(found), dtype=np.uint64)
+            shifts = [np.unique(np.concatenate([np.arange(-e, e + 1) - at for at, e in sorted(found[int(k)])])) for k in keys]
             sieve = np.zeros(1 << SIEVE_BITS, dtype=bool)
             sieve[(keys >> U(64 - SIEVE_BITS)).astype(np.int64)] = True
-            self.keys[piece], self.sieves[piece] = keys, sieve
-
-    def at_places(self, embedded: np.ndarray, items: np.ndarray, walk: int) -> np.ndarray:
-        """(windows, repetitions of the walk, sampled places): the words of the embeddings there."""
-        return embedded[np.arange(len(items))[:, None, None], self.places[items][:, walk::WALKS]]
-
-    def candidates(self, windows: np.ndarray, items: np.ndarray) -> np.ndarray:
-        """Which windows agree with their item in all sampled places of some repetition."""
-        near = np.zeros(len(windows), dtype=bool)
-        for walk in range(WALKS):
-            same = self.at_places(embed(windows, walk), items, walk) == self.sampled[items][:, walk::WALKS]
-            near |= same.all(axis=2).any(axis=1)
-        return near
-
-    def seeds(self, words: Words, hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(text, item, window start) of each whole piece found."""
-        for piece, keys in self.keys.items():
+            self.pieces[piece] = (keys, shifts, sieve)
+
+    def starts(self, words: Words, hashes: np.ndarray) -> np.ndarray:
+        """Rows (text, place) where windows may begin, each once; a place may lie before its text."""
+        found = [np.empty((0, 2), dtype=np.int64)]
+        for piece, (keys, shifts, sieve) in self.pieces.items():
             windows = window_hashes(hashes, piece)
-            maybe = np.flatnonzero(self.sieves[piece][(windows >> U(64 - SIEVE_BITS)).astype(np.int64)])
+            maybe = np.flatnonzero(sieve[(windows >> U(64 - SIEVE_BITS)).astype(np.int64)])
             at = np.minimum(np.searchsorted(keys, windows[maybe]), len(keys) - 1)
-            hits = maybe[keys[at] == windows[maybe]]
-            for place in hits.tolist():
-                for item, offset in self.postings[piece][int(windows[place])]:
-                    yield place, item, place - offset
+            same = keys[at] == windows[maybe]
+            place, key = maybe[same], at[same]
+            text = np.searchsorted(words.last, place, side="right")
+            whole = place + piece <= words.last[text]
+            place, key, text = place[whole], key[whole], text[whole]
+            for k in np.unique(key).tolist():
+                mine = np.flatnonzero(key == k)
+                start = place[mine][:, None] + shifts[k][None, :]
+                found.append(np.stack([np.repeat(text[mine], start.shape[1]), start.reshape(-1)], axis=1))
+        return np.unique(np.concatenate(found), axis=0)
 
-    def tries(self, words: Words, hashes: np.ndarray) -> np.ndarray:
-        """Rows (text, item, window start) of the windows around whole pieces, each once."""
+    def candidates(self, words: Words, hashes: np.ndarray) -> np.ndarray:
+        """Rows (text, item, window start) of the windows that share a bucket with an item, each once."""
+        starts = self.starts(words, hashes)
         found = [np.empty((0, 3), dtype=np.int64)]
-        seeds = np.array(list(self.seeds(words, hashes)), dtype=np.int64).reshape(-1, 3)
-        if len(seeds):
-            place, item, start = seeds.T
-            text = np.searchsorted(words.last, place, side="right")
-            pieces_of = np.array([i.piece for i in self.items], dtype=np.int64)
-            whole = place + pieces_of[item] <= words.last[text]
-            seeds = np.unique(np.stack([text, item, start], axis=1)[whole], axis=0)
-            edits = np.array([i.edits for i in self.items], dtype=np.int64)
-            for shift in range(-int(edits.max()), int(edits.max()) + 1):
-                some = seeds[edits[seeds[:, 1]] >= abs(shift)]
-                found.append(some + np.array([0, 0, shift]))
+        for at in range(0, len(starts), WINDOW_BLOCK):
+            text, start = starts[at : at + WINDOW_BLOCK].T
+            # windows may hang over the ends of the text; what is outside is no word
+            index = start[:, None] + np.arange(self.widest)
+            inside = (index >= words.first[text][:, None]) & (index < words.last[text][:, None])
+            windows = np.where(inside, hashes[np.clip(index, 0, len(hashes) - 1)], U(0))
+            walks = [embed(windows, walk, 2 * self.widest) for walk in range(WALKS)]
+            for n, (sampled, keys, owners) in self.lengths.items():
+                own = buckets(windows, n, sampled, walks)
+                low, high = np.searchsorted(keys, own, side="left"), np.searchsorted(keys, own, side="right")
+                row, time = np.nonzero(high > low)
+                for k in range(int((high - low).max(initial=0))):
+                    some = low[row, time] + k < high[row, time]
+                    item = owners[low[row, time][some] + k]
+                    found.append(np.stack([text[row[some]], item, start[row[some]]], axis=1))
         return np.unique(np.concatenate(found), axis=0)
 
     def leaks(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
@@ -190,18 +249,7 @@ class Benchmark:
             return []
         words = Words(texts)
         hashes = words.hashes()
-        tries = self.tries(words, hashes)
-        near = []
-        for at in range(0, len(tries), WINDOW_BLOCK):
-            part = tries[at : at + WINDOW_BLOCK]
-            text, item, start = part.T
-            # windows may hang over the ends of the text; what is outside is no word
-            index = start[:, None] + np.arange(self.widest)
-            inside = (index >= words.first[text][:, None]) & (index < words.last[text][:, None])
-            inside &= np.arange(self.widest) < self.lengths[item][:, None]
-            windows = np.where(inside, hashes[np.clip(index, 0, len(hashes) - 1)], U(0))
-            near.append(part[self.candidates(windows, item)])
-        near = np.concatenate(near) if near else tries
+        near = self.candidates(words, hashes)
         out = []
         # windows of one item that overlap are one region, of bounded length
         begin, done, last_key = 0, 0, None
