@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from uttmill.llm import chunks as C
 from uttmill.llm import texts as T
 from uttmill.llm.substring_dedup import remove_repeated_windows
 from uttmill.llm.suffix_dedup import remove_repeated_bytes
@@ -55,6 +56,34 @@ def test_odd_rows(odd, odd_rows, chunk):
     assert strings(odd, width=20, digit=8, chunk_bytes=chunk) == by_bytes(rows, 20)
 
 
+@pytest.mark.parametrize("single", [1, 4])
+def test_keys_that_go_by_junctions(small, odd, odd_rows, single, monkeypatch):
+    monkeypatch.setattr(C, "SINGLE", single)
+    rows = [tuple(r) for r in small.select("doc_id", "text").collect()]
+    assert C.span_of(single) == 1 and C.span_of(40) == 6
+    assert windows(small, chunk_bytes=15_000, bucket_keys=1000) == by_windows(rows, 35)
+    assert strings(small, chunk_bytes=15_000, bucket_keys=400) == by_bytes(rows, 100)
+    rows = [r[:2] for r in odd_rows]
+    assert windows(odd, width=3, chunk_bytes=3000, bucket_keys=300) == by_windows(rows, 3)
+    assert strings(odd, width=20, digit=8, chunk_bytes=3000, bucket_keys=100) == by_bytes(rows, 20)
+
+
+def test_rows_of_a_chunk_grow_with_the_root_of_the_buckets():
+    keys = T.mixed(np.arange(60_000, dtype=np.uint64))
+    sent = {}
+    for buckets in (900, 4000, 16_000, 64_000):
+        box = C.Outbox(keys, (keys % np.uint64(buckets)).astype(np.int64), C.span_of(buckets))
+        rows = box.rows(7, 0)
+        sent[buckets] = len(rows)
+        # every key is there once, in the bucket it belongs to, and the answers find their way back
+        parts = [p for r in rows for p in (C.unpacked(r[3]) if box.span > 1 else [(r[2], r[3])])]
+        found = {b: np.frombuffer(x, dtype=np.uint64) for b, x in parts}
+        assert sum(map(len, found.values())) == 60_000 and all((x % np.uint64(buckets) == b).all() for b, x in found.items())
+        codes = {r[2]: b"".join((np.frombuffer(x, dtype=np.uint64) & np.uint64(1)).astype(np.uint8).tobytes() for _, x in (C.unpacked(r[3]) if box.span > 1 else [(0, r[3])])) for r in rows}
+        assert (box.answers(codes) == (keys & np.uint64(1))).all()
+    assert sent[900] == 900 and sent[4000] <= 64 and sent[16_000] <= 127 and sent[64_000] <= 253
+
+
 def test_small_table(small):
     rows = [tuple(r) for r in small.select("doc_id", "text").collect()]
     assert windows(small, chunk_bytes=40_000, bucket_keys=2000) == by_windows(rows, 35)

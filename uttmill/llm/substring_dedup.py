@@ -32,9 +32,9 @@ def _windows(words: Words, width: int, buckets: int) -> tuple[np.ndarray, np.nda
     return np.flatnonzero(whole), one, (two >> U(20)) % U(buckets)
 
 
-def _outbox(texts: list[bytes], width: int, buckets: int) -> C.Outbox:
+def _outbox(texts: list[bytes], width: int, buckets: int, span: int) -> C.Outbox:
     parts = [_windows(Words(texts[a:b]), width, buckets)[1:] for a, b in pieces(texts, PIECE_BYTES)]
-    return C.Outbox(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64))
+    return C.Outbox(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64), span)
 
 
 def remove_repeated_windows(
@@ -51,14 +51,15 @@ def remove_repeated_windows(
     """
     rows, size = C.in_chunks(docs, id_col, text_col, chunk_bytes)
     buckets = max(1, -(-size // (6 * bucket_keys)))
+    span = C.span_of(buckets)
 
     def emit(chunk, table):
         _, texts = C.in_order(table)
-        yield from _outbox(texts, width, buckets).rows(chunk, 0)
+        yield from _outbox(texts, width, buckets, span).rows(chunk, 0)
 
     def cut(key, left, right):
         table, texts = C.in_order(left)
-        outbox = _outbox(texts, width, buckets)
+        outbox = _outbox(texts, width, buckets, span)
         repeated = (outbox.answers(C.blobs_of(right, 0)) > 0) | (outbox.counts[outbox.inverse] > 1)
         out, done = [], 0
         for a, b in pieces(texts, PIECE_BYTES):
@@ -70,7 +71,7 @@ def remove_repeated_windows(
         parts = [pa.concat_arrays(column) for column in zip(*out)]
         return pa.Table.from_arrays([table["doc_id"].combine_chunks(), *parts], names=["doc_id", "n_words", "n_removed", "removed", "kept"])
 
-    found = C.answered(C.sent(rows, emit), lambda _, arrays: C.shared_keys(arrays), {0: 1})
+    found = C.answered(C.sent(rows, emit), lambda _, arrays: C.shared_keys(arrays), {0: 1}, span, size // chunk_bytes)
     return rows.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(cut, RESULT)
 
 

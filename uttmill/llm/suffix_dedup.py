@@ -119,6 +119,7 @@ def remove_repeated_bytes(
     digit = min(digit, width)
     rows, size = C.in_chunks(docs, id_col, text_col, chunk_bytes)
     buckets = max(1, -(-size // (24 * bucket_keys)))
+    span, chunks = C.span_of(buckets), size // chunk_bytes
 
     def parts_of(texts):
         for a, b in pieces(texts, PIECE_BYTES):
@@ -128,13 +129,13 @@ def remove_repeated_bytes(
         """Outboxes of the first two digits, and which occurrences of a run the chunk itself shows to be repeats."""
         digit_of = np.concatenate([p.digit for p in parts])
         both = np.stack([np.concatenate([p.content for p in parts]), digit_of], axis=1)
-        content = C.Outbox(both, (mixed(both[:, 0] ^ both[:, 1]) % U(buckets)).astype(np.int64))
+        content = C.Outbox(both, (mixed(both[:, 0] ^ both[:, 1]) % U(buckets)).astype(np.int64), span)
         # one entry for each first digit: its only string, or 0 if the chunk has several
         own = both[content.firsts]
         one = C.Outbox(own[:, 1].copy(), np.zeros(len(own), dtype=np.int64))
         string = np.where(one.counts > 1, U(0), own[one.firsts, 0])
         pair = np.stack([own[one.firsts, 1], string], axis=1)
-        first = C.Outbox(pair, (mixed(pair[:, 0].copy()) % U(buckets)).astype(np.int64))
+        first = C.Outbox(pair, (mixed(pair[:, 0].copy()) % U(buckets)).astype(np.int64), span)
         return digit_of, content, own, one, first
 
     def emit_digits(chunk, table):
@@ -174,7 +175,7 @@ def remove_repeated_bytes(
             done += len(p.first)
             keys.append(p.window_keys(p.starts(left)[0]))
         keys = np.concatenate(keys)
-        return C.Outbox(keys[:, 0].copy(), ((keys[:, 1] >> U(20)) % U(buckets)).astype(np.int64))
+        return C.Outbox(keys[:, 0].copy(), ((keys[:, 1] >> U(20)) % U(buckets)).astype(np.int64), span)
 
     def emit_windows(chunk, table, right):
         _, texts = C.in_order(table)
@@ -204,8 +205,8 @@ def remove_repeated_bytes(
         names = ["doc_id", "n_bytes", "n_removed", "removed", "kept"]
         return pa.Table.from_arrays([table["doc_id"].combine_chunks(), *[pa.concat_arrays(c) for c in zip(*out)]], names=names)
 
-    one = C.answered(C.sent(rows, emit_digits), decide, {1: 2, 2: 2})
-    two = C.answered(C.sent_again(rows, one, emit_windows), decide, {3: 1})
+    one = C.answered(C.sent(rows, emit_digits), decide, {1: 2, 2: 2}, span, chunks)
+    two = C.answered(C.sent_again(rows, one, emit_windows), decide, {3: 1}, span, chunks)
     return rows.groupBy("chunk").cogroup(two.groupBy("chunk")).applyInArrow(cut, RESULT)
 
 
