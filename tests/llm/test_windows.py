@@ -84,6 +84,21 @@ def test_rows_of_a_chunk_grow_with_the_root_of_the_buckets():
     assert sent[900] == 900 and sent[4000] <= 64 and sent[16_000] <= 127 and sent[64_000] <= 253
 
 
+def test_null_and_uneven_ids_make_no_large_chunk(spark):
+    from .conftest import prose
+
+    rows = [(None if i % 3 == 0 else 10 ** (i % 9) + i, prose(i, 300)) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt, size = C.in_any_chunks(df, chunk_bytes=size_of(rows) // 20)
+    largest = dealt.groupBy("chunk").agg({"text": "count"}).agg({"count(text)": "max"}).head()[0]
+    assert size == size_of(rows) and largest < 70
+    assert windows(df, width=5, chunk_bytes=20_000, bucket_keys=5000) == by_windows(rows, 5)
+
+
+def size_of(rows):
+    return sum(len(t.encode()) for _, t in rows)
+
+
 def test_small_table(small):
     rows = [tuple(r) for r in small.select("doc_id", "text").collect()]
     assert windows(small, chunk_bytes=40_000, bucket_keys=2000) == by_windows(rows, 35)

@@ -1,7 +1,7 @@
 """Passes over a corpus in which the keys of many windows are compared.
 
 A key per row would make the shuffle many times the corpus. Here the documents are dealt
-into *chunks* of a few megabytes, in the order of their ids. A pass sends the keys of a
+into *chunks* of a few megabytes, in the order of their ids where that matters. A pass sends the keys of a
 chunk, sorted and each once, as one binary row to each *bucket* of the key space; the
 bucket compares the keys of all chunks and answers each chunk with one code per key, in
 the order in which the keys came. The chunk makes its keys again to read the answer, so
@@ -67,6 +67,17 @@ def in_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     return rows.select(F.coalesce(chunk, F.lit(0)).cast("long").alias("chunk"), "doc_id", "text"), size
 
 
+def in_any_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES):
+    """As ``in_chunks``, for passes in which no chunk comes before another: dealt by a hash of id and text.
+
+    Null, repeated and uneven ids make no large chunk; rows equal in id and text lie together.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    size = int(rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).head()[0])
+    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-size // chunk_bytes))))
+    return rows.select(chunk.cast("long").alias("chunk"), "doc_id", "text"), size
+
+
 def table_of(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), ARROW.types)] if rows else [pa.array([], t) for t in ARROW.types], schema=ARROW)
 

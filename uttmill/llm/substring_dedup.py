@@ -49,7 +49,7 @@ def remove_repeated_windows(
 
     Kept words are joined by one space. Every occurrence of a repeated window goes.
     """
-    rows, size = C.in_chunks(docs, id_col, text_col, chunk_bytes)
+    rows, size = C.in_any_chunks(docs, id_col, text_col, chunk_bytes)
     buckets = max(1, -(-size // (6 * bucket_keys)))
     span = C.span_of(buckets)
 
