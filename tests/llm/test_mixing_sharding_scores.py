@@ -208,6 +208,15 @@ def test_scores(spark, odd, odd_rows, clashing, none):
     assert sorted(map(str, K.scored(odd, K.train(odd, flipped)).collect())) == sorted(map(str, found))
 
 
+def test_a_repeated_id_is_one_row_of_the_fit(spark):
+    docs = [(i, prose(i, 80), 400) for i in range(30)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    plain = spark.createDataFrame(docs, "doc_id long, text string, n_chars long")
+    again = spark.createDataFrame(docs + [docs[3]] * 200 + [docs[7]] * 50, "doc_id long, text string, n_chars long")
+    one, two = (K.scored(plain, K.train(d, labels)).collect() for d in (plain, again))
+    assert sorted(map(str, one)) == sorted(map(str, two))
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))

@@ -227,13 +227,18 @@ def train(
     sample_rows: int = SAMPLE_ROWS,
     folds: int = FOLDS,
 ) -> Machine:
-    """Fits on at most ``sample_rows`` labelled ids that are not held out."""
+    """Fits on at most ``sample_rows`` rows: one of each of so many labelled ids that are not held out.
+
+    Of several rows with one id that with the smallest digest of its text counts.
+    """
     key = F.col(id_col)
     chosen = labels.where(key.isNotNull() & F.col(label_col).isNotNull() & (remainder(key, folds) != 0))
     chosen = chosen.groupBy(key.alias("label_id")).agg(F.max(label_col).cast("double").alias("label"))
     chosen = chosen.orderBy(F.md5(F.col("label_id").cast("string")), "label_id").limit(sample_rows)  # the bounded sample
     rows = docs.select(key.alias("label_id"), F.col(text_col).cast("string").alias("text"), _metadata(docs, metadata).alias("meta"))
     rows = rows.join(F.broadcast(chosen), "label_id").select(F.col("label_id").cast("string").alias("id"), "label", "text", "meta")
+    digest = F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("digest")
+    rows = rows.groupBy("id").agg(F.min(F.struct(digest, "text", "meta", "label")).alias("one")).select("id", "one.label", "one.text", "one.meta")
 
     def run(batches):
         for batch in portions(batches, 2):
