@@ -288,11 +288,12 @@ def a13(spark, d):
 
 @query(
     "a14_answer_options",
-    f"""SELECT lang AS task, string_agg(DISTINCT source, '|' ORDER BY source) AS options, max(len(string_split(source, ' ')))::BIGINT AS longest FROM documents GROUP BY lang""",
+    """WITH o AS (SELECT DISTINCT lang AS task, source AS option, len(string_split(source, ' '))::BIGINT AS words FROM documents)
+    SELECT task, option, words, max(words) OVER (PARTITION BY task) AS longest FROM o""",
 )
 def a14(spark, d):
-    rows = table(spark, d, "documents").select(F.col("lang").alias("task"), "source")
-    return scoring.answer_options(rows, "task", "source").withColumn("options", F.array_join("options", "|"))
+    rows = table(spark, d, "documents").select(F.col("lang").alias("task"), F.col("source").alias("option"))
+    return scoring.answer_options(rows, "task", "option")
 
 
 _LANGS = f"""lg AS (SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS ref, CASE WHEN substr({digest_sql(7, 'page_id')}, 1, 1) IN ('0', '1')

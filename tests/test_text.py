@@ -47,6 +47,18 @@ def test_length_summary(spark):
         assert r["q25"] == sizes[-(-len(sizes) // 4) - 1] and r["q99_9"] == sizes[-1]
 
 
+def test_characters_and_words_from_one_scan(spark):
+    texts = ["a bb a", "", None, "bb", "é a  a ", "cab"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    clean = text.squash(F.col("t"))
+    got = {(r["level"], r["token"]): r["n"] for r in vocabulary.level_counts(df, clean).collect()}
+    want = {}
+    for level in ("char", "word"):
+        for r in vocabulary.token_counts(df.where("t is not null"), text.tokenize(clean, level)).collect():
+            want[level, r["token"]] = r["n"]
+    assert got == want and got["char", "<space>"] == 4
+
+
 def test_checks_survive_pruning(spark):
     vocab = spark.createDataFrame([("a", 1)], "token string, id bigint")
     ids = spark.createDataFrame([("u", [0, 1, 7, 0])], "utt string, ids array<bigint>")

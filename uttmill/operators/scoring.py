@@ -187,12 +187,11 @@ def macro_average(scores: DataFrame, task: str, score: str, exclude: Sequence[st
 
 
 def answer_options(df: DataFrame, group: str, answer: str) -> DataFrame:
-    """Distinct answers per group and the longest of them in words."""
-    distinct = df.select(group, answer).distinct()
-    return distinct.groupBy(group).agg(
-        F.array_sort(F.collect_list(answer)).alias("options"),
-        F.max(F.size(F.split(F.col(answer), f"{WS}+"))).cast("bigint").alias("longest"),
-    )
+    """(<group>, <answer>, words, longest): a row per different answer, its words and those of the longest one of the group."""
+    words = F.size(F.split(F.col(answer), f"{WS}+")).cast("bigint")
+    options = df.select(group, answer).distinct().withColumn("words", words)
+    longest = options.groupBy(group).agg(F.max("words").alias("longest")).withColumnRenamed(group, "_group")
+    return options.join(longest, options[group].eqNullSafe(longest["_group"])).select(group, answer, "words", "longest")
 
 
 def token_accuracy(df: DataFrame, group: str, ref: Column, hyp: Column, ignore: int = -1) -> DataFrame:

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..fixed_values import BLANK, SOS_EOS, UNKNOWN
-from ..functions.text import tokens_to_text
+from ..fixed_values import BLANK, SOS_EOS, SPACE, UNKNOWN
+from ..functions.text import tokenize, tokens_to_text
+from ..session import cut_lineage
 from .ranking import dense_index
 
 
@@ -17,6 +18,23 @@ def token_counts(df: DataFrame, tokens: Column) -> DataFrame:
     return df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
+def level_counts(df: DataFrame, text: Column) -> DataFrame:
+    """(level, token, n) of the characters and the words of a text whose words stand one space apart.
+
+    The texts are read and cleaned once, for their words.  The characters are those of the different
+    words, times the counts of these; a text has one space less than words.
+    """
+    words = tokenize(text, "word")
+    # null stands for the text itself
+    marked = F.when(F.size(words) > 0, F.concat(words, F.array(F.lit(None).cast("string"))))
+    counted = cut_lineage(df.select(F.explode(marked).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    known = counted.where(F.col("token").isNotNull())
+    chars = known.select(F.explode(tokenize(F.col("token"), "char")).alias("token"), "n").groupBy("token").agg(F.sum("n").alias("n"))
+    spaces = counted.agg(F.sum(F.when(F.col("token").isNull(), -F.col("n")).otherwise(F.col("n"))).alias("n")).where("n > 0")
+    chars = chars.unionByName(spaces.withColumn("token", F.lit(SPACE)))
+    return known.withColumn("level", F.lit("word")).unionByName(chars.withColumn("level", F.lit("char"))).select("level", "token", "n")
+
+
 def build_vocab(
     df: DataFrame,
     tokens: Column,
@@ -28,14 +46,20 @@ def build_vocab(
 
     ``size`` bounds the whole list, symbols included.
     """
+    return vocab_of_counts(token_counts(df, tokens), first, last, size)
+
+
+def vocab_of_counts(
+    counts: DataFrame, first: Sequence[str] = (BLANK, UNKNOWN), last: Sequence[str] = (SOS_EOS,), size: int | None = None
+) -> DataFrame:
+    """``build_vocab`` of (token, n)."""
     special = [*first, *last]
-    counts = token_counts(df, tokens)
     order = [F.col("n").desc(), F.col("token").asc()]
     if size is not None:
         counts = counts.orderBy(*order).limit(max(size - len(special), 0))
     ranked = dense_index(counts, order, "id")
     total = ranked.count()  # of a written table
-    spark = df.sparkSession
+    spark = counts.sparkSession
     head = spark.createDataFrame([(i, t, 0) for i, t in enumerate(first)], "id bigint, token string, n bigint")
     tail = spark.createDataFrame([(i, t, 0) for i, t in enumerate(last)], "id bigint, token string, n bigint")
     shift = F.lit(len(first)).cast("bigint")
