@@ -7,6 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from uttmill.operators import sampling
+from uttmill.plans import corpora
 
 
 def digest(*parts):
@@ -95,6 +96,27 @@ def test_deal_targets_round_robin(spark, hot_rows):
     assert len(got) + left.count() == len(targets)
 
 
+@pytest.mark.parametrize("hot_rows", [3, 10_000])
+def test_instruction_set_from_files_and_lines(spark, hot_rows):
+    # the last line of the last file is dealt first
+    rows = [(k % 3, k // 3, "hot" if k % 4 else "rare", '"say"', '""', f'"w{k}"') for k in range(40)]
+    utts = [("u0", "hot", 0), ("u1", "hot", 1), ("u2", "rare", 2)]
+    words = ["<blank>", "<unk>", "say", *[f"w{k}" for k in range(40)]]
+    dealt, left = corpora.build_instruction_set(
+        spark.createDataFrame(rows, "shard bigint, line bigint, text string, prefix string, postfix string, output string"),
+        spark.createDataFrame(utts, "utt string, text string, pos bigint"),
+        spark.createDataFrame(list(enumerate(words)), "id bigint, token string"),
+        "pos",
+        hot_rows=hot_rows,
+    )
+    want = set()
+    for text, owners in (("hot", ["u0", "u1"]), ("rare", ["u2"])):
+        stack = sorted(((r[0], r[1], r[5].strip('"')) for r in rows if r[2] == text), reverse=True)
+        want |= {(f"{owners[j % len(owners)]}-{j // len(owners) + 1}", words.index(w)) for j, (_, _, w) in enumerate(stack)}
+    assert {(r["new_utt"], *r["output"]) for r in dealt.collect()} == want
+    assert left.columns == ["text", "prefix", "postfix", "output"] and left.count() == 0
+
+
 def test_enrollment_is_another_utterance_of_the_speaker(spark):
     data = [(f"u{i}", "hot" if i % 2 else f"s{i % 7}") for i in range(300)] + [("alone", "single")]
     df = spark.createDataFrame(data, "utt string, spk string")

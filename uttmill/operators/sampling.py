@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import REPEAT_POSTFIX, REPEAT_PREFIX
 from ..functions.chance import leading_number, shuffle_key, slot, unit
-from .ranking import HOT_ROWS, hash_index, hash_span, position_span, rank_in_group, rows_of, total_before
+from .ranking import HOT_ROWS, hash_index, hash_span, pair_span, position_span, rank_in_group, rows_of, total_before
 
 
 def hours_by_language(df: DataFrame, lang: str, seconds: str) -> DataFrame:
@@ -212,13 +212,13 @@ def deal_targets(
     utts: DataFrame,
     targets: DataFrame,
     utt_order: str,
-    target_order: str,
+    target_order: str | tuple[str, str],
     hot_rows: int = HOT_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """Targets of a text dealt round-robin over the utterances with that text.
 
     ``utts`` (utt, text, <utt_order>, …) and ``targets`` (text, <target_order>, …): both
-    orders are unique whole numbers.  The last target is dealt first; target j goes to
+    orders are unique whole numbers, that of the targets also two such columns.  The last target is dealt first; target j goes to
     utterance j mod n, whose key gets the suffix of its turn.  Returns (dealt,
     leftover): leftover targets have no utterance with their text.
     """
@@ -229,12 +229,14 @@ def deal_targets(
         utts.drop("text"), ["_text"], [F.col(utt_order)], "_i", position_span(F.col(utt_order), hot_rows), hot_rows
     ).withColumn("_i", F.col("_i") - 1)
     sizes = utts.groupBy("_text").agg(F.count(F.lit(1)).alias("_n"))
+    places = [F.col(c) for c in ([target_order] if isinstance(target_order, str) else target_order)]
+    span_of = position_span if len(places) == 1 else pair_span
     stacked = rank_in_group(
         targets,
         ["_text"],
-        [F.col(target_order).desc()],
+        [place.desc() for place in places],
         "_j",
-        position_span(F.col(target_order), hot_rows, descending=True),
+        span_of(*places, hot_rows, descending=True),
         hot_rows,
     )
     aimed = (

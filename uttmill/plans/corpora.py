@@ -97,13 +97,13 @@ def build_instruction_set(
     literals; ``utts`` (utt, text, <utt_order>, …).  Invalid targets go, the rest is
     dealt over the utterances, and prefix, postfix and output become token ids.
     """
-    order = F.struct("shard", "line")
     unquoted = rows.select(
-        order.alias("_order"),
+        F.col("shard").alias("_shard"),
+        F.col("line").alias("_line"),
         strip(F.col("text")).alias("text"),
         *[tokenize(json_unquote(F.col(c)), level).alias(c) for c in ("prefix", "postfix", "output")],
     )
     valid = unquoted.where(valid_target(F.col("prefix"), F.col("postfix"), F.col("output")))
-    dealt, leftover = deal_targets(utts, valid, utt_order, "_order", hot_rows)
-    ids = tokens_to_ids(dealt.drop("_order"), vocab, ["prefix", "postfix", "output"])
-    return ids, leftover.drop("_order")
+    dealt, leftover = deal_targets(utts, valid, utt_order, ("_shard", "_line"), hot_rows)
+    ids = tokens_to_ids(dealt.drop("_shard", "_line"), vocab, ["prefix", "postfix", "output"])
+    return ids, leftover.drop("_shard", "_line")
