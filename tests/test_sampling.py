@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -117,6 +118,13 @@ def test_instruction_set_from_files_and_lines(spark, hot_rows):
     assert left.columns == ["text", "prefix", "postfix", "output"] and left.count() == 0
 
 
+def test_sample_moves_no_texts_that_nobody_selects(spark, clips):
+    sample = sampling.budgeted_diverse_sample(clips, "lang", "text", "cost", 30.0, 9, "clip").select("clip", "round", "cost_before")
+    plan = sample._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if " Window [" in line]
+    assert windows and not any(re.search(r"\btext#", line) for line in windows)
+
+
 def test_enrollment_is_another_utterance_of_the_speaker(spark):
     data = [(f"u{i}", "hot" if i % 2 else f"s{i % 7}") for i in range(300)] + [("alone", "single")]
     df = spark.createDataFrame(data, "utt string, spk string")

@@ -52,7 +52,8 @@ def budgeted_diverse_sample(
     order, one row of each text per round, until the cost exceeds the budget.  The
     row that crosses the budget is in; a group below the budget is taken whole.
     Costs are added as decimals, so the crossing row does not depend on the order of
-    additions.  A row without a cost is an error.
+    additions.  A row without a cost is an error.  A digest stands for the text as key of
+    ranks and order, so texts are moved only if the caller selects them.
     """
     priced = df.withColumn(
         "_cost",
@@ -64,12 +65,12 @@ def budgeted_diverse_sample(
         "_text", shuffle_key(seed, F.col(text))
     )
     rounds = rank_in_group(
-        keyed, [group, text], [F.col("_row"), F.col(key)], "round", hash_span(F.col("_row")), hot_rows
+        keyed, [group, "_text"], [F.col("_row"), F.col(key)], "round", hash_span(F.col("_row")), hot_rows
     )
     kept = total_before(
         rounds,
         [group],
-        [F.col("round"), F.col("_text"), F.col(text)],
+        [F.col("round"), F.col("_text")],
         F.col("_cost"),
         _round_span(F.col("round"), F.col("_text")),
         "cost_before",
