@@ -13,6 +13,15 @@ def one(spark, values, expression):
     return [r[0] for r in df.orderBy("i").select(expression(F.col("t"))).collect()]
 
 
+def test_cleaner_searches_no_text_for_wide_characters(spark):
+    assert "RLIKE" not in str(text.clean_basic(F.col("t"))).upper()
+    assert one(spark, ["plain", "déjà ﬁn", None], text.clean_basic) == ["plain", "déjà fin", None]
+
+
+def test_characters(spark):
+    assert one(spark, ["a\n𝄞é ", "", None], text.characters) == [["a", "\n", "𝄞", "é", " "], [], None]
+
+
 def test_clean_basic(spark):
     cases = {
         "Hello, <noise> World [laughs] (aside)!": "hello world",
