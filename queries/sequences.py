@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from uttmill.functions.sequences import add_eos, add_sos, repeat_label
+from uttmill.functions.text import characters
 from uttmill.operators import batching, scores
 
 from .registry import MANIFEST, chars_sql, digest_sql, manifest, query, slot_sql, table
@@ -155,7 +156,7 @@ _CODES = f"cd AS (SELECT doc_id, list_transform({chars_sql('text')}, lambda c: (
 
 
 def _codes(spark, d):
-    chars = F.regexp_extract_all("text", F.lit("(?s)."), 0)
+    chars = characters(F.col("text"))
     return table(spark, d, "documents").select("doc_id", F.transform(chars, lambda c: (F.ascii(c) % 5).cast("bigint")).alias("y"))
 
 
@@ -177,7 +178,7 @@ _TURNS = f"tu AS (SELECT conv_id, turn, list_transform({chars_sql('text')}, lamb
 
 
 def _turns(spark, d):
-    chars = F.regexp_extract_all("text", F.lit("(?s)."), 0)
+    chars = characters(F.col("text"))
     return table(spark, d, "conversations").select(
         "conv_id", "turn", F.transform(chars, lambda c: (F.ascii(c) % 5).cast("bigint")).alias("y")
     )

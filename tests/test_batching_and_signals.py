@@ -234,3 +234,12 @@ def test_whole_numbers_are_added_up(spark):
     )
     epochs = spark.createDataFrame([(1,), (2,)], "epoch int")
     assert {r["name"]: r["value"] for r in runs.average_parameters(states, epochs, 2).collect()} == {"w": 1.5, "n": 7.0}
+
+
+def test_chunks_compute_the_values_once(spark):
+    # values that are dear to make
+    df = spark.createDataFrame([("a", "x" * 9), ("b", "xy")], "utt string, t string")
+    made = df.select("utt", F.transform(F.split("t", ""), lambda c: F.ascii(c).cast("bigint")).alias("y"))
+    chunks = batching.chunk_sequences(made, "y", "utt", "4", 0.5, 3)
+    assert str(chunks._jdf.queryExecution().optimizedPlan().toString()).count("transform(") == 1
+    assert sorted((r["utt"], r["start"], len(r["chunk"])) for r in chunks.collect()) == [("a", 0, 4), ("a", 2, 4), ("a", 4, 4)]

@@ -357,11 +357,12 @@ def chunk_sequences(
     size = F.size(values).cast("bigint")
     fitting = F.filter(options, lambda n: n <= size)
     length = F.get(fitting, slot(seed, F.greatest(F.size(fitting), F.lit(1)), F.col(utt)))
-    drawn = df.select(utt, values, length.alias("_len")).where(F.col("_len").isNotNull())
+    drawn = df.select(utt, values, length.alias("_len"))
     shift = F.greatest(F.floor(F.col("_len") * F.lit(shift_ratio)).cast("bigint"), F.lit(1).cast("bigint"))
+    # rows without a length go behind the explode: a filter before it would compute the values again
     return drawn.withColumn(
-        "start", F.explode(chunk_starts(F.size(values).cast("bigint"), F.col("_len"), shift))
-    ).select(utt, "start", F.slice(values, (F.col("start") + 1).cast("int"), F.col("_len").cast("int")).alias("chunk"))
+        "start", F.explode_outer(chunk_starts(F.size(values).cast("bigint"), F.col("_len"), shift))
+    ).where(F.col("start").isNotNull()).select(utt, "start", F.slice(values, (F.col("start") + 1).cast("int"), F.col("_len").cast("int")).alias("chunk"))
 
 
 def pad_batch(df: DataFrame, batch: Sequence[str], values: str, filler: Column, length: str = "length") -> DataFrame:
