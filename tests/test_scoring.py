@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 from itertools import permutations
 
 import numpy as np
@@ -225,3 +226,16 @@ def test_ngram_probabilities_add_up(spark):
     assert score["tokens"] == count
     assert math.isclose(score["nll"], nll, rel_tol=1e-9)
     assert math.isclose(score["perplexity"], math.exp(nll / count), rel_tol=1e-9)
+
+
+
+def test_model_is_kept_as_columns_and_contexts_meet_once(spark):
+    df = spark.range(1).select(F.lit("a b a b c").alias("t"))
+    counts = ngrams.ngram_counts(df, tokenize(F.col("t"), "word"), 3)
+    probabilities, _, _ = ngrams.ngram_lm(counts, 3)
+    plan = probabilities._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan
+    # per order: the join with the order below, and that with the discounts
+    assert sum("Join" in line for line in plan.splitlines()) <= 4
+    sums = probabilities.where("n > 1").groupBy("n", "ctx").agg(F.sum("p").alias("p"))
+    assert all(0 < r["p"] <= 1 for r in sums.collect())
