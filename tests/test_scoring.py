@@ -239,3 +239,12 @@ def test_model_is_kept_as_columns_and_contexts_meet_once(spark):
     assert sum("Join" in line for line in plan.splitlines()) <= 4
     sums = probabilities.where("n > 1").groupBy("n", "ctx").agg(F.sum("p").alias("p"))
     assert all(0 < r["p"] <= 1 for r in sums.collect())
+
+
+
+def test_long_pairs_align_in_small_groups():
+    n = np.array([100_000] * 40 + [10] * 600)
+    groups = edits._alike(n, n)
+    assert sorted(k for g in groups for k in g) == list(range(640))
+    assert all(len(g) == 1 or 2 * n[g].max() * len(g) <= edits.TOKENS for g in groups)
+    assert max(len(g) for g in groups) == edits.PAIRS

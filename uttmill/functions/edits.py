@@ -1,6 +1,6 @@
 """Alignment counts of two token arrays.
 
-Spark has an edit distance but no alignment counts.  The pandas function below is
+Spark has an edit distance but no alignment counts.  The Arrow function below is
 the one helper: a step advances the tables of costs of many pairs by one reference
 token, and only a band of one row of each is kept, as wide as the distance of the pairs
 asks for.  It sees whole token lists.
@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,8 +20,9 @@ from ..fixed_values import REPORT_WEIGHTS
 _COUNTS = "struct<corr:bigint,sub:bigint,del:bigint,ins:bigint>"
 
 
-#: pairs whose tables of costs advance together
+#: pairs whose tables of costs advance together, and the tokens they have at most; a longer pair goes alone
 PAIRS = 256
+TOKENS = 1 << 19
 #: diagonals on either side of a group's own that the first band has
 FIRST_BAND = 16
 
@@ -119,24 +120,32 @@ def _alike(n: np.ndarray, m: np.ndarray) -> list[np.ndarray]:
     order = np.lexsort((shift, step))
     new = (np.diff(step[order]) != 0) | (np.diff(shift[order]) != 0)
     parts = np.split(order, np.flatnonzero(new) + 1)
-    return [part[i : i + PAIRS] for part in parts for i in range(0, len(part), PAIRS)]
+    # the tables of a group are as wide as its longest pair
+    sizes = [min(PAIRS, max(1, TOKENS // int((n + m)[part].max(initial=1) or 1))) for part in parts]
+    return [part[i : i + size] for part, size in zip(parts, sizes) for i in range(0, len(part), size)]
+
+
+def coded_tokens(refs: pa.Array, hyps: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Two lists of token arrays as numbers, equal for equal tokens; null is empty.  No token becomes a Python object."""
+    sides = [x.cast(pa.list_(pa.large_string())) for x in (refs, hyps)]
+    tokens = pa.concat_arrays([x.flatten() for x in sides])
+    codes = tokens.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    lengths = np.concatenate([x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for x in sides]).astype(np.int64)
+    parts = np.split(codes, np.cumsum(lengths)[:-1]) if len(lengths) else []
+    return parts[: len(refs)], parts[len(refs) :]
 
 
 def edit_counts(ref: Column, hyp: Column, weights: Sequence[int] = REPORT_WEIGHTS) -> Column:
     """corr, sub, del and ins of two ARRAY<STRING> columns; null is empty."""
     weights = tuple(int(w) for w in weights)
 
-    @F.pandas_udf(_COUNTS)
-    def counts(refs: pd.Series, hyps: pd.Series) -> pd.DataFrame:
-        sides = [x if x is not None else () for x in (*refs, *hyps)]
-        lengths = np.array([len(x) for x in sides])
-        tokens = np.array([t for x in sides for t in x], dtype=object)
-        codes = np.split(pd.factorize(tokens, use_na_sentinel=False)[0], np.cumsum(lengths)[:-1])
-        left, right = codes[: len(refs)], codes[len(refs) :]
-        n, m = lengths[: len(refs)], lengths[len(refs) :]
+    @F.arrow_udf(_COUNTS)
+    def counts(refs: pa.Array, hyps: pa.Array) -> pa.Array:
+        left, right = coded_tokens(refs, hyps)
+        n, m = (np.array([len(x) for x in side], dtype=np.int64) for side in (left, right))
         out = np.zeros((len(refs), 4), dtype=np.int64)
         for part in _alike(n, m):
             out[part] = align_all([left[k] for k in part], [right[k] for k in part], weights)
-        return pd.DataFrame(out, columns=["corr", "sub", "del", "ins"])
+        return pa.StructArray.from_arrays([pa.array(out[:, i]) for i in range(4)], names=["corr", "sub", "del", "ins"])
 
     return counts(ref, hyp)
