@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from uttmill.functions import edits
+from uttmill.functions import edits, grams
 from uttmill.functions.assignment import assign
 from uttmill.functions.edits import align_all, align_counts
 from uttmill.functions.text import tokenize
@@ -228,7 +228,6 @@ def test_ngram_probabilities_add_up(spark):
     assert math.isclose(score["perplexity"], math.exp(nll / count), rel_tol=1e-9)
 
 
-
 def test_model_is_kept_as_columns_and_contexts_meet_once(spark):
     df = spark.range(1).select(F.lit("a b a b c").alias("t"))
     counts = ngrams.ngram_counts(df, tokenize(F.col("t"), "word"), 3)
@@ -248,3 +247,23 @@ def test_long_pairs_align_in_small_groups():
     assert sorted(k for g in groups for k in g) == list(range(640))
     assert all(len(g) == 1 or 2 * n[g].max() * len(g) <= edits.TOKENS for g in groups)
     assert max(len(g) for g in groups) == edits.PAIRS
+
+
+
+@pytest.mark.parametrize("size", [7, 1 << 18])
+def test_gram_matches_of_single_repeated_and_null_keys(spark, monkeypatch, size):
+    monkeypatch.setattr(grams, "TOKENS", size)
+    rng = random.Random(8)
+    draw = lambda: rng.choice([None, ""] + 4 * [" ".join(rng.choice("abc") for _ in range(rng.randrange(1, 9)))])
+    rows = [(None if i % 10 == 0 else f"u{i // 2 if i < 12 else i}", draw(), draw()) for i in range(60)]
+    df = spark.createDataFrame(rows, "utt string, r string, h string")
+    found = scoring.gram_matches(df, "utt", tokenize(F.col("r"), "word"), tokenize(F.col("h"), "word"), 3)
+    want = {}
+    for n in (1, 2, 3):
+        sides = Counter(), Counter()
+        for utt, *texts in rows:
+            for side, text in zip(sides, texts):
+                words = (text or "").split()
+                side.update((utt, *words[i : i + n]) for i in range(len(words) - n + 1))
+        want[n] = sum((sides[0] & sides[1]).values()), sum(sides[0].values()), sum(sides[1].values())
+    assert {r["n"]: tuple(r)[1:] for r in found.collect()} == want

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..fixed_values import FAILED_SCORE, FAILED_TEXT, FAILED_TOKEN_ID, REPORT_WEIGHTS, SPACE
 from ..functions.assignment import best_assignment
 from ..functions.edits import edit_counts
+from ..functions.grams import gram_matches as grams_of_pair
 from ..functions.let import let
 from ..functions.sequences import count_equal
-from ..functions.text import WS
+from ..functions.text import WS, characters
 from .manifests import fill_failed
 from .ranking import total_up_to
 
@@ -66,10 +67,23 @@ def _grams(tokens: Column, max_n: int) -> Column:
 def gram_matches(df: DataFrame, key: str, ref: Column, hyp: Column, max_n: int) -> DataFrame:
     """(n, matched, ref_total, hyp_total): clipped n-gram matches over the corpus.
 
-    The rows are partitioned by key before the n-grams are exploded, so the n-grams,
-    many times the size of the texts, are counted where they arise.
+    The rows are partitioned by key as they are, before they have tokens.  The n-grams of a key
+    with one row are counted in the row; those of the rows of a repeated key are added up first.
     """
-    rows = df.select(F.col(key).alias("_key"), ref.alias("_ref"), hyp.alias("_hyp")).repartition("_key")
+    rows = df.withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    orders = range(1, max_n + 1)
+    names = ("matched", "ref_total", "hyp_total")
+    single = rows.where("_rows = 1").select(grams_of_pair(ref, hyp, max_n).alias("_g"))
+    sums = single.agg(*[F.sum(F.get("_g", F.lit(3 * (n - 1) + i))).alias(f"{c}{n}") for n in orders for i, c in enumerate(names)])
+    counted = sums.select(F.inline(F.array(*[F.struct(F.lit(n).alias("n"), *[F.col(f"{c}{n}").alias(c) for c in names]) for n in orders])))
+    repeated = _repeated_matches(rows.where("_rows > 1"), key, ref, hyp, max_n)
+    whole = counted.unionByName(repeated).groupBy("n").agg(*[F.sum(c).alias(c) for c in names])
+    return whole.where((F.col("ref_total") > 0) | (F.col("hyp_total") > 0))
+
+
+def _repeated_matches(df: DataFrame, key: str, ref: Column, hyp: Column, max_n: int) -> DataFrame:
+    """``gram_matches`` of keys with several rows: the n-grams are counted as rows, where they arise."""
+    rows = df.select(F.col(key).alias("_key"), ref.alias("_ref"), hyp.alias("_hyp"))
     sides = F.concat(
         F.transform(_grams(F.col("_ref"), max_n), lambda g: F.struct(g["n"].alias("n"), g["gram"].alias("gram"), F.lit(1).alias("r"), F.lit(0).alias("h"))),
         F.transform(_grams(F.col("_hyp"), max_n), lambda g: F.struct(g["n"].alias("n"), g["gram"].alias("gram"), F.lit(0).alias("r"), F.lit(1).alias("h"))),
@@ -127,7 +141,7 @@ def corpus_chrf(df: DataFrame, key: str, ref: Column, hyp: Column, max_n: int =
     """
 
     def chars(text):
-        return F.regexp_extract_all(F.regexp_replace(text, WS, ""), F.lit("(?s)."), 0)
+        return characters(F.regexp_replace(text, WS, ""))
 
     matches = gram_matches(df, key, chars(ref), chars(hyp), max_n).where(
         (F.col("ref_total") > 0) & (F.col("hyp_total") > 0)

@@ -14,7 +14,7 @@ from ..functions.keys import known_reference, normalize_choice
 from ..operators.manifests import pair_ref_hyp
 from ..operators.runs import decode_rtf, pair_markers, parse_log
 from ..operators.scoring import accuracy, corpus_bleu, corpus_chrf, error_rates, macro_average, matthews, with_edit_counts
-from ..session import cut_lineage
+from ..session import stored
 
 
 def scored_pairs(
@@ -107,14 +107,15 @@ def score_experiment(
     """
     paired = pair_ref_hyp(refs, hyps).select("utt", *[F.coalesce(c, F.lit("")).alias(c) for c in ("spk", "ref", "hyp")])
     # four scores read the pairs, so they are joined and cleaned once
-    pairs = cut_lineage(
+    pairs = stored(
         paired.select(
             "utt",
             "spk",
             cleaner_chain(F.col("ref"), cleaner).alias("ref"),
             cleaner_chain(F.col("hyp"), hyp_cleaner).alias("hyp"),
             squash(F.col("hyp")).alias("raw"),
-        )
+        ),
+        "pairs",
     )
     counts = scored_pairs(pairs, ("char", "word"), None, None).withColumn("dset", F.concat_ws("|", F.lit(dset), "level"))
     rates = error_rates(counts.drop("level")).where(F.col("level") == "set")
