@@ -64,7 +64,9 @@ def subsample(spark, d):
     durations, folder, out = (scratch_path(spark, f"subsample-{n}") for n in ("durations", "clips", "list"))
     rows = clips(spark, d)
     rows.select("clip", (F.col("cost") / 8).alias("seconds")).write.option("sep", "\t").csv(durations)
-    lines = rows.select("lang", F.concat_ws("\t", "spk", "clip", squash(F.col("text"))).alias("value"))
+    # an absent speaker or text is an empty column
+    spk, text = (F.coalesce(c, F.lit("")) for c in (F.col("spk"), squash(F.col("text"))))
+    lines = rows.select("lang", F.concat_ws("\t", spk, "clip", text).alias("value"))
     lines.write.partitionBy("lang").text(folder)
     return corpora.subsample_clips(spark, durations, folder, out, 2.0, SEED, "*.txt")
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from queries import QUERIES
 from uttmill.sources import readers, writers
 from uttmill.streaming.hypotheses import score_arriving
 
@@ -151,6 +152,20 @@ def test_clip_tables(spark, tmp_path):
     assert rows == {("de", "s1", "c_1.mp3", 'Hallo "du'), ("sv-SE", "s2", "c_2.mp3", "Hej")}
 
 
+def test_clips_without_sentence_or_speaker(spark, tmp_path):
+    text_file(tmp_path, "de/train.tsv", "client_id\tpath\tsentence\ns1\tc_1.mp3\t\ns2\tc_2.mp3\t  \n\tc_3.mp3\tx\ns4\tc_4.mp3\n  s5\tc_5.mp3\ty \n")
+    rows = {tuple(r)[1:] for r in readers.read_clip_tsv(spark, str(tmp_path)).collect()}
+    assert rows == {("s1", "c_1.mp3", ""), ("s2", "c_2.mp3", ""), ("", "c_3.mp3", "x"), ("s4", "c_4.mp3", ""), ("s5", "c_5.mp3", "y")}
+
+
+def test_sample_of_clips_without_text(spark, tmp_path):
+    # documents as the query reads them: empty, blank and absent texts, and an absent source
+    data = [(1, "", "en", "s0", 8), (2, " \u3000\n", "en", "s0", 8), (3, None, "de", "s1", 8), (4, "a b", "de", None, 8), (5, "a b", "de", "s1", 8)]
+    spark.createDataFrame(data, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["subsample_clips"](spark, str(tmp_path)).collect()
+    assert {r["utt"] for r in found} == {f"common_voice_{lang}_{i}" for i, _, lang, _, _ in data} and len(found) == len(data)
+
+
 def test_named_tsv_keeps_empty_text(spark, tmp_path):
     path = text_file(tmp_path, "asr.tsv", "id\traw\tnorm\n1\t\tx\n2\ty\t\n")
     rows = [tuple(r) for r in readers.read_named_tsv(spark, path, "id string, raw string, norm string").orderBy("id").collect()]
