@@ -1,13 +1,14 @@
 import math
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from uttmill.functions import edits, grams
+from uttmill.functions import edits, gram_blocks, grams
 from uttmill.functions.assignment import assign
 from uttmill.functions.edits import align_all, align_counts
 from uttmill.functions.text import tokenize
@@ -267,3 +268,45 @@ def test_gram_matches_of_single_repeated_and_null_keys(spark, monkeypatch, size)
                 side.update((utt, *words[i : i + n]) for i in range(len(words) - n + 1))
         want[n] = sum((sides[0] & sides[1]).values()), sum(sides[0].values()), sum(sides[1].values())
     assert {r["n"]: tuple(r)[1:] for r in found.collect()} == want
+
+
+def test_blocks_of_ngrams_are_what_was_packed():
+    rng = np.random.default_rng(3)
+    words = pa.array(["", "a", "ab", "abc" * 40, "abc" * 40 + "d", "übung", "über", "</s>", *(f"w{k}" for k in range(500))])
+    for rows, n in ((0, 2), (1, 1), (3000, 3), (3000, 1)):
+        codes = rng.integers(0, len(words), (rows, n)).astype(np.int32)
+        values = [rng.integers(0, 1 << 40, rows), rng.random(rows)]
+        found = Counter()
+        for bucket, block in gram_blocks.blocks(words, codes, values, slice(None), 7):
+            named, own, numbers = gram_blocks.unpacked(block)
+            assert 0 <= bucket < 7 and len(block) < 200 + 40 * len(own) + 250
+            found.update(zip(*(named.take(pa.array(c)).to_pylist() for c in own.T), *(v.tolist() for v in numbers)))
+        assert found == Counter(zip(*(words.take(pa.array(c)).to_pylist() for c in codes.T), *(v.tolist() for v in values)))
+
+
+@pytest.mark.parametrize("order", [1, 2, 4])
+def test_counts_of_other_orders(spark, order, monkeypatch):
+    monkeypatch.setattr(ngrams, "LEAST", 10)
+    rng = random.Random(order)
+    texts = [" ".join(rng.choices("abcd", k=rng.randrange(0, 7))) for _ in range(40)]
+    df = spark.createDataFrame([*((t,) for t in texts), (None,)], "t string")
+    got = {(r["n"], r["ctx"], r["word"]): (r["cnt"], r["before"]) for r in ngrams.ngram_counts(df, tokenize(F.col("t"), "word"), order).collect()}
+    counts, before = Counter(), defaultdict(set)
+    for t in texts:
+        marked = ["<s>", *t.split(), "</s>"]
+        for n in range(1, order + 1):
+            for i in range(len(marked) - n + 1):
+                if n > 1 or i:
+                    key = (n, " ".join(marked[i : i + n - 1]), marked[i + n - 1])
+                    counts[key] += 1
+                    if n < order and i:
+                        before[key].add(marked[i - 1])
+    assert got == {k: (v, len(before[k]) or None) for k, v in counts.items()}
+
+
+def test_model_shuffles_blocks_and_keeps_no_tables(spark):
+    df = spark.range(1).select(F.lit("a b a b c").alias("t"))
+    probabilities, _, _ = ngrams.ngram_lm(ngrams.ngram_counts(df, tokenize(F.col("t"), "word"), 3), 3)
+    plan = probabilities._jdf.queryExecution().sparkPlan().toString()
+    # no table of n-grams is written for later steps, and none is joined or sorted as rows
+    assert "FlatMapGroupsInArrow" in plan and "FileScan parquet" not in plan and "Join" not in plan and "Window" not in plan
