@@ -118,6 +118,16 @@ def test_instruction_set_from_files_and_lines(spark, hot_rows):
     assert left.columns == ["text", "prefix", "postfix", "output"] and left.count() == 0
 
 
+def test_tokens_are_not_dealt_but_left_over_whole(spark):
+    rows = [(0, 0, "said", '"p"', '""', '"a b"'), (0, 1, "unsaid", '"p"', '""', '"c"'), (0, 2, "unsaid", '"p"', '""', '"c"')]
+    rows = spark.createDataFrame(rows, "shard bigint, line bigint, text string, prefix string, postfix string, output string")
+    utts = spark.createDataFrame([("u0", "said", 0)], "utt string, text string, pos bigint")
+    vocab = spark.createDataFrame([(0, "<unk>"), (1, "a")], "id bigint, token string")
+    dealt, left = corpora.build_instruction_set(rows, utts, vocab, "pos")
+    assert [(r["new_utt"], r["prefix"], r["postfix"], r["output"]) for r in dealt.collect()] == [("u0-1", [0], [], [1, 0])]
+    assert [tuple(r) for r in left.collect()] == [("unsaid", ["p"], [], ["c"])] * 2
+
+
 def test_sample_moves_no_texts_that_nobody_selects(spark, clips):
     sample = sampling.budgeted_diverse_sample(clips, "lang", "text", "cost", 30.0, 9, "clip").select("clip", "round", "cost_before")
     plan = sample._jdf.queryExecution().optimizedPlan().toString()

@@ -207,3 +207,20 @@ def test_13a_tokens(spark):
         "": [],
     }
     assert one(spark, list(cases), text.tokens_13a) == list(cases.values())
+
+
+def test_no_element_becomes_a_row(spark):
+    df = spark.range(3).select(F.array(F.lit("a"), F.lit("b")).alias("x"))
+    vocab = spark.createDataFrame([(0, "<unk>"), (1, "a")], "id long, token string")
+    got = vocabulary.tokens_to_ids(df, vocab, ["x"])
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["x"] for r in got.collect()] == [[1, 0]] * 3
+
+
+def test_arrays_of_their_digests(spark):
+    arrays = spark.createDataFrame([(["a", "b"], None), ([], ["b"]), (["a", "b"], None)], "x array<string>, y array<string>")
+    arrays = arrays.withColumn("_digest", vocabulary.digest_of(["x", "y"]))
+    vocab = spark.createDataFrame([(0, "<unk>"), (1, "a")], "id long, token string")
+    rows = arrays.select(F.lit("u").alias("utt"), "_digest")
+    got = vocabulary.tokens_to_ids(rows, vocab, ["x", "y"], arrays=arrays)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([("u", [1, 0], None), ("u", [], [0]), ("u", [1, 0], None)], key=str)

@@ -12,7 +12,7 @@ from ..functions.text import json_unquote, strip, tokenize, valid_target
 from ..operators.manifests import combine, drop_empty_text, exclude_ids, semi_filter, strict_join, text_fallback
 from ..operators.ranking import HOT_ROWS
 from ..operators.sampling import budgeted_diverse_sample, deal_targets
-from ..operators.vocabulary import tokens_to_ids
+from ..operators.vocabulary import digest_of, tokens_to_ids
 from ..sources.readers import assert_unique, read_allowlist, read_clip_tsv, read_durations
 from ..sources.writers import write_manifest
 
@@ -103,7 +103,11 @@ def build_instruction_set(
         strip(F.col("text")).alias("text"),
         *[tokenize(json_unquote(F.col(c)), level).alias(c) for c in ("prefix", "postfix", "output")],
     )
-    valid = unquoted.where(valid_target(F.col("prefix"), F.col("postfix"), F.col("output")))
-    dealt, leftover = deal_targets(utts, valid, utt_order, ("_shard", "_line"), hot_rows)
-    ids = tokens_to_ids(dealt.drop("_shard", "_line"), vocab, ["prefix", "postfix", "output"])
-    return ids, leftover.drop("_shard", "_line")
+    columns = ["prefix", "postfix", "output"]
+    valid = unquoted.where(valid_target(*[F.col(c) for c in columns])).withColumn("_digest", digest_of(columns))
+    # targets are dealt by their digests; tokens are moved only to become ids, and to those left over
+    dealt, leftover = deal_targets(utts, valid.drop(*columns), utt_order, ("_shard", "_line"), hot_rows)
+    arrays = valid.select("_digest", *columns)
+    ids = tokens_to_ids(dealt.drop("_shard", "_line"), vocab, columns, arrays=arrays)
+    leftover = leftover.drop("_shard", "_line").join(arrays.dropDuplicates(["_digest"]), "_digest").drop("_digest")
+    return ids, leftover
